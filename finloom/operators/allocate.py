@@ -56,22 +56,18 @@ def parse_rule_ids(text: str | None) -> list[int] | None:
     return [int(part) for part in (p.strip() for p in text.split(",")) if part.lstrip("+-").isdigit()]
 
 
-def rule_sources(
-    lines: DataFrame, rules: DataFrame, cost_centers: DataFrame, accounts: DataFrame, fiscal_period_id: int | None = None
-) -> DataFrame:
-    """Rule-line combinations: the lines each rule allocates.
+class RuleMatches(NamedTuple):
+    """Dimension rows each rule takes its lines from."""
+
+    by_centre: DataFrame
+    by_account: DataFrame
 
-    Rules meet the dimensions first, so the lines join on ids only: rules
-    that name or describe cost centres through those, all others through the
-    accounts they describe. What is left of the rule is a row filter.
-    """
-    open_lines = lines.filter((F.col("final_amount") != 0) & ~F.col("is_allocated"))
-    if fiscal_period_id is not None:
-        open_lines = open_lines.filter(F.col("fiscal_period_id") == fiscal_period_id)
-    numbers = accounts.select("gl_account_id", "account_number")
-    open_lines = open_lines.select("line_id", "gl_account_id", "cost_center_id", "fiscal_period_id", "final_amount")
 
+def rule_matches(rules: DataFrame, cost_centers: DataFrame, accounts: DataFrame) -> RuleMatches:
+    """Rules that name or describe cost centres with those, all other rules with the accounts they describe."""
+    numbers = accounts.select("gl_account_id", "account_number")
     centre = cost_centers.select("cost_center_id", "code")
+    detail = rules.select("rule_id", "sequence", "depends_on", "basis", "rounding", "account_pattern")
     named = (
         rules.join(centre, F.col("source_cost_center_id") == F.col("cost_center_id"))
         .filter(F.col("cc_pattern").isNull() | like_escaped("code", "cc_pattern"))
@@ -81,20 +77,46 @@ def rule_sources(
     by_centre = named.unionByName(pattern_matches(described, "cc_pattern", centre, "cost_center_id", "code"))
     anywhere = rules.filter(F.col("source_cost_center_id").isNull() & F.col("cc_pattern").isNull())
     by_account = pattern_matches(anywhere, "account_pattern", numbers, "gl_account_id", "account_number")
+    # stored, because their true size decides how the lines meet them
+    return RuleMatches(
+        materialise(by_centre.join(detail, "rule_id"), "rule-centres"),
+        materialise(by_account.join(detail, "rule_id"), "rule-accounts"),
+    )
 
-    detail = rules.select("rule_id", "sequence", "depends_on", "basis", "rounding", "account_pattern")
+
+def open_lines(lines: DataFrame, fiscal_period_id: int | None = None) -> DataFrame:
+    """Lines that can still be allocated."""
+    found = lines.filter((F.col("final_amount") != 0) & ~F.col("is_allocated"))
+    if fiscal_period_id is not None:
+        found = found.filter(F.col("fiscal_period_id") == fiscal_period_id)
+    return found.select("line_id", "gl_account_id", "cost_center_id", "fiscal_period_id", "final_amount")
+
+
+def attach_rules(rows: DataFrame, matches: RuleMatches, cost_centers: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Each row with each rule that takes it; rows have an account and a cost centre.
+
+    Equality joins on ids only; what is left of a rule is a row filter.
+    """
+    numbers = accounts.select("gl_account_id", "account_number")
+    centres = cost_centers.select("cost_center_id")
     through_centre = (
-        open_lines.join(by_centre.join(detail, "rule_id"), "cost_center_id")
+        rows.join(matches.by_centre, "cost_center_id")
         .join(numbers, "gl_account_id")
         .filter(F.col("account_pattern").isNull() | like_escaped("account_number", "account_pattern"))
     )
-    through_account = open_lines.join(by_account.join(detail, "rule_id"), "gl_account_id").join(
-        centre.select("cost_center_id"), "cost_center_id", "left_semi"
-    )
-    columns = [*open_lines.columns, *[c for c in detail.columns if c != "account_pattern"]]
+    through_account = rows.join(matches.by_account, "gl_account_id").join(centres, "cost_center_id", "left_semi")
+    columns = [*rows.columns, "rule_id", "sequence", "depends_on", "basis", "rounding"]
     return through_centre.select(*columns).unionByName(through_account.select(*columns))
 
 
+def rule_sources(
+    lines: DataFrame, rules: DataFrame, cost_centers: DataFrame, accounts: DataFrame, fiscal_period_id: int | None = None
+) -> DataFrame:
+    """Rule-line combinations: the lines each rule allocates."""
+    matches = rule_matches(rules, cost_centers, accounts)
+    return attach_rules(open_lines(lines, fiscal_period_id), matches, cost_centers, accounts)
+
+
 def target_centres(targets: DataFrame, cost_centers: DataFrame) -> DataFrame:
     """Targets with their cost centre by id or by code; a target naming two centres yields both.
 
@@ -196,7 +218,7 @@ def eligible_rules(rules: DataFrame, productive: DataFrame) -> DataFrame:
     item = F.coalesce("_rows", F.lit(False))
     chains = ancestor_chains(materialise(with_rows, "rules"), "rule_id", F.col("depends_on"), item, RULE_DEPTH)
     parents = F.slice("chain", F.lit(2), F.size("chain"))
-    return chains.filter(F.col("beyond").isNull() & F.forall(parents, lambda ok: ok)).select("rule_id")
+    return materialise(chains.filter(F.col("beyond").isNull() & F.forall(parents, lambda ok: ok)).select("rule_id"), "runnable")
 
 
 class Allocation(NamedTuple):
@@ -228,19 +250,24 @@ def allocation_results(
         .filter("target_is_active")
         .select("rule_id", "priority", "target_pct", F.coalesce("target_id", "joined_id").alias("target_id"))
     )
-    sources = rule_sources(lines, chosen, cost_centers, accounts, fiscal_period_id)
-    # only rules that others wait for need to be known as productive
-    parents = chosen.select(F.col("depends_on").alias("rule_id")).filter(F.col("rule_id").isNotNull()).distinct()
-    awaited = chosen.join(parents, "rule_id", "left_semi").join(targets.select("rule_id").distinct(), "rule_id", "left_semi")
-    productive = rule_sources(lines, awaited, cost_centers, accounts, fiscal_period_id).select("rule_id").distinct()
+    targets = materialise(targets, "rule-targets")
+    matches = rule_matches(chosen, cost_centers, accounts)
+    ready = open_lines(lines, fiscal_period_id)
+    key = ["gl_account_id", "cost_center_id", "fiscal_period_id"]
+    # rules, factors and eligibility depend on the combinations in use, not on the single lines
+    used = attach_rules(ready.select(*key).distinct(), matches, cost_centers, accounts)
+    used = materialise(
+        used.select("rule_id", F.col("cost_center_id").alias("source_id"), "fiscal_period_id", "basis").distinct(), "rule-use"
+    )
+    productive = used.select("rule_id").join(targets.select("rule_id"), "rule_id", "left_semi")
     runnable = eligible_rules(chosen, productive)
-
-    requests = (
-        sources.join(runnable, "rule_id", "left_semi")
-        .join(targets, "rule_id")
+    requests = used.join(runnable, "rule_id", "left_semi").join(targets, "rule_id")
+    factors = allocation_factor(requests, lines, accounts, cost_centers)
+    factored = (
+        attach_rules(ready, matches, cost_centers, accounts)
         .withColumnRenamed("cost_center_id", "source_id")
+        .join(factors.drop("basis"), ["rule_id", "source_id", "fiscal_period_id"])
     )
-    factored = allocation_factor(requests, lines, accounts, cost_centers)
     amount = F.col("final_amount").cast(MONEY)
     share = F.coalesce(F.col("target_pct").cast(FACTOR), F.col("factor"))
     driver_share = share if pct_first else F.col("factor")

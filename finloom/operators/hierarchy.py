@@ -45,7 +45,7 @@ def ancestor_chains(rows: DataFrame, key: str, parent: Column, item: Column, len
             F.when(found, F.col("_next")).otherwise(F.col("beyond")).alias("beyond"),
             F.coalesce("_next_open", F.lit(False)).alias("_open"),
         )
-        if done % 2 == 0 and done < rounds:
+        if done % 3 == 0 and done < rounds:
             # each round doubles the plan, so it is cut here; most hierarchies are complete by now
             chains = materialise(chains, "chains")
             if chains.filter("_open").isEmpty():
