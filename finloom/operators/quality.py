@@ -65,6 +65,9 @@ FOREIGN_KEYS = [
     ("journal_line", "cost_center_id", "cost_center", "cost_center_id"),
 ]
 
+# parents that grow with the business; the others are dimensions
+LARGE_TABLES = ["budget_line_item", "journal"]
+
 
 def checks() -> dict[str, dict[str, Column]]:
     """Condition that a violating row fulfils, per table and rule."""
@@ -98,9 +101,7 @@ def validate_model(tables: dict[str, DataFrame]) -> DataFrame:
     for name, df in tables.items():
         found += [_doubled(name, df, key, "PRIMARY_KEY") for key in [PRIMARY_KEYS[name]]]
         found += [_doubled(name, df, key, "UNIQUE_" + "_".join(key).upper()) for key in UNIQUE_KEYS[name]]
-    for child, column, parent, key in FOREIGN_KEYS:
-        if child in tables and parent in tables and column in tables[child].columns:
-            found.append(_orphans(tables[child], child, column, tables[parent], key))
+    found += _orphans(tables)
     result = next(iter(found))
     for more in found[1:]:
         result = result.unionByName(more)
@@ -134,12 +135,55 @@ def _doubled(name: str, df: DataFrame, key: list[str], rule: str) -> DataFrame:
     )
 
 
-def _orphans(child_df: DataFrame, child: str, column: str, parent_df: DataFrame, key: str) -> DataFrame:
-    """Referencing values without a parent; values are counted before they meet the parent."""
-    values = child_df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_value")).agg(F.count("*").alias("violations"))
-    return values.join(parent_df.select(F.col(key).alias("_value")), "_value", "left_anti").select(
-        F.lit(child).alias("table_name"),
-        F.lit(f"FK_{column.upper()}").alias("rule"),
-        F.col("_value").cast("string").alias("row_key"),
-        "violations",
-    )
+def _orphans(tables: dict[str, DataFrame]) -> list[DataFrame]:
+    """Referencing values without a parent.
+
+    One scan counts the values of all references of a table; only those counts
+    meet the parents, dimensions in one join and large parents one by one.
+    """
+    present = [
+        (child, column, parent, key)
+        for child, column, parent, key in FOREIGN_KEYS
+        if child in tables and parent in tables and column in tables[child].columns
+    ]
+    counted, parents, large = [], [], []
+    for child in dict.fromkeys(fk[0] for fk in present):
+        references = [fk for fk in present if fk[0] == child]
+        values = F.array(
+            *[F.struct(F.lit(column).alias("_column"), F.col(column).cast("long").alias("_value")) for _, column, _, _ in references]
+        )
+        counts = (
+            tables[child]
+            .select(F.inline(values))
+            .filter(F.col("_value").isNotNull())
+            .groupBy("_column", "_value")
+            .agg(F.count("*").alias("violations"))
+            .withColumn("table_name", F.lit(child))
+        )
+        big = [fk for fk in references if fk[2] in LARGE_TABLES]
+        counted.append(counts.filter(~F.col("_column").isin([fk[1] for fk in big])) if big else counts)
+        for _, column, parent, key in references:
+            keys = tables[parent].select(F.col(key).cast("long").alias("_value"))
+            if parent in LARGE_TABLES:
+                large.append(counts.filter(F.col("_column") == column).join(keys, "_value", "left_anti"))
+            else:
+                parents.append(keys.select(F.lit(child).alias("table_name"), F.lit(column).alias("_column"), "_value"))
+
+    def union(frames: list[DataFrame]) -> DataFrame:
+        result = frames[0]
+        for more in frames[1:]:
+            result = result.unionByName(more)
+        return result
+
+    broken = list(large)
+    if parents:
+        broken.append(union(counted).join(union(parents), ["table_name", "_column", "_value"], "left_anti"))
+    return [
+        df.select(
+            "table_name",
+            F.concat(F.lit("FK_"), F.upper("_column")).alias("rule"),
+            F.col("_value").cast("string").alias("row_key"),
+            "violations",
+        )
+        for df in broken
+    ]

@@ -19,10 +19,11 @@ from finloom.sources.tables import cost_centers_as_of
 
 def active_budget(headers: DataFrame, periods: DataFrame, fiscal_period_id: int) -> DataFrame:
     """The approved or locked budget of the highest version spanning the period; the lowest id breaks ties."""
-    period = periods.filter(F.col("fiscal_period_id") == fiscal_period_id).select("fiscal_period_id")
+    wanted = F.lit(fiscal_period_id)
+    known = periods.filter(F.col("fiscal_period_id") == wanted).agg(F.count("*")).scalar() > 0
     return (
-        headers.filter(F.col("status_code").isin("APPROVED", "LOCKED"))
-        .join(period, F.col("fiscal_period_id").between(F.col("start_period_id"), F.col("end_period_id")), "left_semi")
+        headers.filter(F.col("status_code").isin("APPROVED", "LOCKED") & wanted.between(F.col("start_period_id"), F.col("end_period_id")))
+        .filter(known)
         .orderBy(F.col("version_number").desc(), "header_id")
         .limit(1)
     )
