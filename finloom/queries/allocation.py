@@ -167,7 +167,7 @@ def _results(t):
     return allocate.allocation_results(_budget(t), t.allocation_rule, t.cost_center, t.gl_account)
 
 
-@query("allocate_costs", f"select source_line_id, target_cost_center_id, target_gl_account_id, amount, rule_id, sequence, priority from ({_RESULTS}) r")
+@query("allocate_costs", f"select source_line_id, target_cost_center_id, target_gl_account_id, amount, rule_id, sequence, priority from ({_RESULTS}) r", inline=True)
 def allocate_costs(t):
     return _results(t).select(
         "source_line_id", "target_cost_center_id", "target_gl_account_id", "amount", "rule_id", "sequence", "priority"
@@ -177,6 +177,7 @@ def allocate_costs(t):
 @query(
     "rule_totals",
     f"select rule_id, sum(amount)::decimal(38,4) as total_allocated, count(*) as target_count from ({_RESULTS}) r group by 1",
+    inline=True,
 )
 def rule_totals(t):
     return allocate.rule_totals(_results(t))
@@ -185,6 +186,7 @@ def rule_totals(t):
 @query(
     "mark_allocated",
     f"""select l.line_id, l.line_id in (select source_line_id from ({_RESULTS}) r) as is_allocated from budget_line_item l where l.header_id = 1""",
+    inline=True,
 )
 def mark_allocated(t):
     return allocate.mark_allocated(_budget(t), _results(t)).select("line_id", "is_allocated")
@@ -199,6 +201,7 @@ def mark_allocated(t):
                                     order by sequence, rule_id, source_line_id, priority, target_cost_center_id) as n from ({_RESULTS}) r) k
          where n = 1 and not exists (select 1 from budget_line_item l where l.header_id = 1 and l.gl_account_id = k.gl_account_id
                and l.cost_center_id = k.cost_center_id and l.fiscal_period_id = k.fiscal_period_id)""",
+    inline=True,
 )
 def allocated_lines(t):
     run = allocate.allocate_costs(t.budget_line_item, 1, t.allocation_rule, t.cost_center, t.gl_account)

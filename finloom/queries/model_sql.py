@@ -322,8 +322,12 @@ def _money(text: str) -> str:
     return out + text[start:]
 
 
-def model_sql(body: str) -> str:
-    """``body`` behind the tables it names, in order of dependence."""
+def model_sql(body: str, inline: bool = False) -> str:
+    """``body`` behind the tables it names, in order of dependence.
+
+    ``inline`` keeps DuckDB from storing the tables; sharing them makes some
+    versions fail on the longest texts.
+    """
     ordered: list[str] = []
 
     def need(name: str) -> None:
@@ -335,5 +339,6 @@ def model_sql(body: str) -> str:
     for name in _TABLES:
         if re.search(rf"\b{name}\b", body):
             need(name)
-    ctes = ",\n".join(f"{name} as ({_TABLES[name]})" for name in ordered)
+    kept = "as not materialized" if inline else "as"
+    ctes = ",\n".join(f"{name} {kept} ({_TABLES[name]})" for name in ordered)
     return _money(f"with {ctes}\n{body}" if ctes else body)

@@ -13,7 +13,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, inline: bool = False):
     """Register a function of the planning tables under ``name``."""
 
     def register(build: Callable[[PlanningTables], DataFrame]):
@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None):
 
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = model_sql(sql)
+            ORACLES[name] = model_sql(sql, inline)
         return build
 
     return register
