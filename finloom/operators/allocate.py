@@ -253,20 +253,19 @@ def allocation_results(
     targets = materialise(targets, "rule-targets")
     matches = rule_matches(chosen, cost_centers, accounts)
     ready = open_lines(lines, fiscal_period_id)
-    key = ["gl_account_id", "cost_center_id", "fiscal_period_id"]
-    # rules, factors and eligibility depend on the combinations in use, not on the single lines
-    used = attach_rules(ready.select(*key).distinct(), matches, cost_centers, accounts)
-    used = materialise(
-        used.select("rule_id", F.col("cost_center_id").alias("source_id"), "fiscal_period_id", "basis").distinct(), "rule-use"
-    )
+    # factors and eligibility depend on rule, cost centre and period, not on the single lines
+    taken = attach_rules(ready.drop("line_id", "final_amount"), matches, cost_centers, accounts)
+    used = taken.select("rule_id", F.col("cost_center_id").alias("source_id"), "fiscal_period_id", "basis").distinct()
+    used = materialise(used, "rule-use")
     productive = used.select("rule_id").join(targets.select("rule_id"), "rule_id", "left_semi")
     runnable = eligible_rules(chosen, productive)
     requests = used.join(runnable, "rule_id", "left_semi").join(targets, "rule_id")
-    factors = allocation_factor(requests, lines, accounts, cost_centers)
+    # stored, so that a small table of factors is broadcast and the lines are not shuffled for it
+    factors = materialise(allocation_factor(requests, lines, accounts, cost_centers).drop("basis"), "factors")
     factored = (
         attach_rules(ready, matches, cost_centers, accounts)
         .withColumnRenamed("cost_center_id", "source_id")
-        .join(factors.drop("basis"), ["rule_id", "source_id", "fiscal_period_id"])
+        .join(factors, ["rule_id", "source_id", "fiscal_period_id"])
     )
     amount = F.col("final_amount").cast(MONEY)
     share = F.coalesce(F.col("target_pct").cast(FACTOR), F.col("factor"))

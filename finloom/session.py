@@ -34,7 +34,7 @@ def working_root(spark: SparkSession) -> str:
     Only a single-machine session may fall back to a folder of its own; on a
     cluster a machine-local folder would be lost together with its machine.
     """
-    configured = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
+    configured = spark.sparkContext.getConf().get(CHECKPOINT_KEY) or spark.sparkContext.getCheckpointDir()
     app_id = spark.sparkContext.applicationId
     if configured is None:
         if not spark.sparkContext.master.startswith("local"):
