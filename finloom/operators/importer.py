@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from finloom.operators.sinks import insert_ignore, upsert_actions
 from finloom.schemas import FINAL, LINE_KEY, MONEY
+from finloom.session import materialise
 
 # Error codes and texts in the order in which the checks report.
 CHECKS = [
@@ -39,11 +40,16 @@ _STAGING_DEFAULTS = [
 
 
 def staging_rows(rows: DataFrame) -> DataFrame:
-    """Import rows of any source with all staging columns and a row id."""
+    """Import rows of any source with all staging columns and a row id.
+
+    Rows that come without an id are stored once numbered, because a second
+    computation of the source could number them differently.
+    """
+    if "row_id" not in rows.columns:
+        rows = materialise(rows.withColumn("row_id", F.monotonically_increasing_id()), "staging")
     missing = [F.lit(None).cast(kind).alias(name) for name, kind in _STAGING_DEFAULTS if name not in rows.columns]
-    row_id = F.col("row_id") if "row_id" in rows.columns else F.monotonically_increasing_id()
     present = [F.col(name) for name, _ in _STAGING_DEFAULTS if name in rows.columns]
-    return rows.select(row_id.alias("row_id"), *present, *missing)
+    return rows.select("row_id", *present, *missing)
 
 
 def resolve_lookups(staging: DataFrame, accounts: DataFrame, cost_centers: DataFrame, periods: DataFrame) -> DataFrame:

@@ -65,7 +65,7 @@ def closure(t):
     return rule_closure(t.allocation_rule, AS_OF)
 
 
-_SOURCES = """
+SOURCES = """
  select r.rule_id, l.line_id, l.final_amount, l.gl_account_id, l.cost_center_id, l.fiscal_period_id, r.basis, r.rounding, r.sequence, r.depends_on
    from allocation_rule r, budget_line_item l join cost_center c on l.cost_center_id = c.cost_center_id
         join gl_account a on l.gl_account_id = a.gl_account_id
@@ -76,7 +76,7 @@ _SOURCES = """
 """
 
 
-@query("join_rule_source", f"select rule_id, line_id, sequence from ({_SOURCES}) s")
+@query("join_rule_source", f"select rule_id, line_id, sequence from ({SOURCES}) s")
 def join_rule_source(t):
     rules = allocate.active_rules(t.allocation_rule)
     return allocate.rule_sources(_budget(t), rules, t.cost_center, t.gl_account).select("rule_id", "line_id", "sequence")
@@ -84,7 +84,7 @@ def join_rule_source(t):
 
 @query(
     "join_targets",
-    f"""select s.rule_id, s.line_id, coalesce(v.target_id, v.joined_id) as target_id, v.priority from ({_SOURCES}) s
+    f"""select s.rule_id, s.line_id, coalesce(v.target_id, v.joined_id) as target_id, v.priority from ({SOURCES}) s
           join rule_target v on s.rule_id = v.rule_id and v.target_is_active""",
 )
 def join_targets(t):
@@ -138,9 +138,9 @@ def allocation_factor(t):
 
 
 _PRODUCTIVE = f"""
- select distinct s.rule_id from ({_SOURCES}) s join rule_target v on s.rule_id = v.rule_id and v.target_is_active
+ select distinct s.rule_id from ({SOURCES}) s join rule_target v on s.rule_id = v.rule_id and v.target_is_active
 """
-_ELIGIBLE = f"""
+ELIGIBLE = f"""
  select * from (with recursive ok as (
    select rule_id from allocation_rule where is_active and depends_on is null
    union all
@@ -149,11 +149,11 @@ _ELIGIBLE = f"""
   select rule_id from ok) x
 """
 _RESULTS = f"""
- with productive as materialized ({_PRODUCTIVE}), eligible as materialized ({_ELIGIBLE}),
+ with productive as materialized ({_PRODUCTIVE}), eligible as materialized ({ELIGIBLE}),
  request as (
    select s.rule_id, s.line_id, s.final_amount, s.gl_account_id, s.cost_center_id as source_id, s.fiscal_period_id, s.basis, s.rounding, s.sequence,
           coalesce(v.target_id, v.joined_id) as target_id, v.target_pct, v.priority
-     from ({_SOURCES}) s join eligible e on s.rule_id = e.rule_id join rule_target v on s.rule_id = v.rule_id and v.target_is_active)
+     from ({SOURCES}) s join eligible e on s.rule_id = e.rule_id join rule_target v on s.rule_id = v.rule_id and v.target_is_active)
  select line_id as source_line_id, target_id as target_cost_center_id, gl_account_id as target_gl_account_id,
         case rounding when 'UP' then ceil(final_amount::decimal(19,4) * coalesce(target_pct, factor) * 100) / 100
                       when 'DOWN' then floor(final_amount::decimal(19,4) * coalesce(target_pct, factor) * 100) / 100
