@@ -2,7 +2,7 @@
 
 ``lay_out`` sorts a frame by range, so that each partition holds a
 contiguous piece of the total order; a hot key is spread because the order
-ends in a unique column. Windows then run inside the pieces, and one row
+ends in a unique number. Windows then run inside the pieces, and one row
 per piece carries state across their edges. The per-piece frames have as
 many rows as there are sort partitions, whatever the data size.
 """
@@ -22,8 +22,13 @@ _SLOT_MASK = (1 << _SLOT_BITS) - 1
 
 
 def lay_out(df: DataFrame, order: list[str | Column]) -> DataFrame:
-    """Add the piece number and the position inside it, following ``order``."""
-    placed = df.sort(*order).withColumn("_mono", F.monotonically_increasing_id())
+    """Add the piece number and the position inside it, following ``order``.
+
+    Rows that tie on ``order`` are told apart by a number, so that even equal
+    rows can be split over several pieces.
+    """
+    placed = df.withColumn("_tie", F.monotonically_increasing_id()).sort(*order, "_tie").drop("_tie")
+    placed = placed.withColumn("_mono", F.monotonically_increasing_id())
     placed = (
         placed.withColumn(PIECE, F.shiftright("_mono", _SLOT_BITS).cast("int"))
         .withColumn(SLOT, F.col("_mono").bitwiseAND(F.lit(_SLOT_MASK)))

@@ -77,18 +77,18 @@ def append_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("header_id").parquet(path)
 
 
-def overwrite_budgets(rows: DataFrame, path: str) -> None:
+def overwrite_budgets(rows: DataFrame, path: str, from_target: bool = True) -> None:
     """Replace exactly the budgets that ``rows`` contains.
 
-    ``rows`` is stored first, because it may have been computed from the very
-    folders that are about to be replaced.
+    Rows computed from the very folders that are about to be replaced
+    (``from_target``) are stored first.
     """
-    stored = materialise(rows, "overwrite")
-    stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("header_id").parquet(path)
+    ready = materialise(rows, "overwrite") if from_target else rows
+    ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("header_id").parquet(path)
 
 
 def refresh_summary(summary: DataFrame, path: str, header_ids: list[int] | None = None) -> DataFrame:
     """Write the summary per budget; with ``header_ids`` only those budgets are recomputed."""
     changed = summary if header_ids is None else summary.filter(F.col("header_id").isin(header_ids))
-    overwrite_budgets(changed, path)
+    overwrite_budgets(changed, path, from_target=False)
     return summary.sparkSession.read.schema(summary.schema).parquet(path)

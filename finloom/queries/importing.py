@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from finloom.operators import importer
-from finloom.operators.sinks import insert_ignore, overwrite_budgets, upsert, upsert_actions
+from finloom.operators.sinks import append_lines, insert_ignore, overwrite_budgets, upsert, upsert_actions
 from finloom.plans.reports import import_report
 from finloom.queries.registry import query
 from finloom.schemas import LINE_KEY
@@ -195,7 +195,7 @@ def sink_upsert(t):
 def sink_upsert_table(t):
     """The stored target after its budget folder was replaced by the upsert's result."""
     path = new_folder(t.spark, "upsert")
-    overwrite_budgets(t.budget_line_item, path)
+    append_lines(t.budget_line_item, path)
     stored = t.spark.read.schema(t.budget_line_item.schema).parquet(path)
     overwrite_budgets(upsert(_ready(t), stored.filter(F.col("header_id") == HEADER), "row_id"), path)
     after = t.spark.read.schema(t.budget_line_item.schema).parquet(path).filter(F.col("header_id") == HEADER)

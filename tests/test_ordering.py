@@ -126,3 +126,14 @@ def test_zero_rows_and_rounding(spark):
     assert b.collect(final_amounts(amounts), "fiscal_period_id") == [(2,), (3,)]
     rounded = final_amounts(amounts, include_zero=False, rounding=2)
     assert b.collect(rounded, "fiscal_period_id", "final_amount") == [(2, Decimal("1.2400"))]
+
+
+def test_equal_rows_are_split(many_pieces):
+    """Nine rows in ten are the same row; no piece may hold them all."""
+    frame = many_pieces.range(2000).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(7).alias("k"))
+    placed = lay_out(frame, ["k"])
+    sizes = [r["count"] for r in placed.groupBy(PIECE).count().collect()]
+    assert max(sizes) < 1000
+    numbered = with_dense_index(placed, "i")
+    got = [r["k"] for r in numbered.orderBy("i").collect()]
+    assert got == sorted(got) and [r["i"] for r in numbered.orderBy("i").collect()] == list(range(1, 2001))
