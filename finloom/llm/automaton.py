@@ -117,6 +117,16 @@ def mirrored(node: Node) -> Node:
     return (node[0], *map(mirrored, node[:0:-1] if node[0] == "cat" else node[1:]))
 
 
+def relaxed(node: Node, most: int) -> Node:
+    """A larger language: repeats of more than ``most`` ask for ``most`` or more, which keeps automata of many rules small."""
+    if node[0] == "set":
+        return node
+    if node[0] == "rep":
+        inner, low, high = node[1:]
+        return ("rep", relaxed(inner, most), most, None) if low > most else ("rep", relaxed(inner, most), low, high)
+    return (node[0], *(relaxed(x, most) for x in node[1:]))
+
+
 @dataclass(frozen=True)
 class Automaton:
     """``step[state, byte]`` is the next state, state 0 is dead, ``start`` begins; ``accepts[state]`` has a bit per rule."""
@@ -241,13 +251,15 @@ class Scanner:
     """Finds every rule's leftmost, longest, non-overlapping matches.
 
     One pass from the end of the text to its beginning runs the automaton of
-    the reversed rules and marks the places where a match begins; at the marked
-    places that are still free, the rule's own automaton then runs forward to
-    the match's last end.
+    the reversed rules, with long counted repeats relaxed, and marks the places
+    where a match may begin; at the marked places that are still free, the
+    rule's own automaton then runs forward to the match's last end, if any.
     """
 
+    MOST_COUNTED = 3
+
     def __init__(self, trees: list[Node]):
-        back = compile_rules([mirrored(t) for t in trees], anywhere=True)
+        back = compile_rules([mirrored(relaxed(t, self.MOST_COUNTED)) for t in trees], anywhere=True)
         self._rows = [[None] * 257 for _ in back.accepts]
         for k, row in enumerate(self._rows):
             row[:256] = [self._rows[x] for x in back.step[k].tolist()]
@@ -289,6 +301,8 @@ class Scanner:
             free = 0
             for place, bits in reversed(marks):
                 if bits >> rule & 1 and place >= free:
-                    free = self.longest(rule, data, place)
-                    found.append((rule, place, free))
+                    end = self.longest(rule, data, place)
+                    if end > place:
+                        free = end
+                        found.append((rule, place, end))
         return found

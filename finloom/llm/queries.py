@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finloom.llm import jaccard, secrets, topk, warc
+from finloom.llm import jaccard, pii, quality, secrets, topk, warc
 from finloom.llm.shared import ORACLES, QUERIES, register, small_batches, table
 from finloom.session import materialise
 
@@ -87,3 +87,17 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", *secrets.digest(found, ("assign", "access", "hex")))
+
+
+@register("op4_pii")
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *secrets.digest(found, pii.BASE_KINDS))
+
+
+@register("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))

@@ -20,9 +20,7 @@ from finloom.llm import automaton
 
 @dataclass(frozen=True)
 class Rule:
-    """``kind`` names the rule; matches with fewer than ``least_tail`` bytes after ``head`` are dropped.
-
-    """
+    """``kind`` names the rule; matches with fewer than ``least_tail`` bytes after ``head`` are dropped."""
 
     kind: str
     pattern: str
@@ -122,7 +120,11 @@ def digest(df: DataFrame, base_kinds: tuple[str, ...], spans: str = "spans") ->
     """Counts per base kind, the hash of the base spans, and all spans as text."""
     all_spans = F.col(spans)
     base = F.filter(all_spans, lambda s: s.kind.isin(*base_kinds))
-    counts = [F.size(F.filter(all_spans, lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in base_kinds]
+
+    def count(kind: str) -> F.Column:  # a default argument of the lambda would be taken for the element's index
+        return F.size(F.filter(all_spans, lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in base_kinds]
     return [*counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(all_spans).alias("spans")]
 
 
