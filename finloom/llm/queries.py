@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finloom.llm import jaccard, pii, quality, secrets, topk, warc
+from finloom.llm import decontaminate, jaccard, pieces, pii, quality, secrets, topk, warc
 from finloom.llm.shared import ORACLES, QUERIES, register, small_batches, table
 from finloom.session import materialise
 
@@ -101,3 +101,18 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@register("op5_decontaminate")
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    found = decontaminate.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "leaked_items", (F.size("leaked_items") > 0).alias("leaked"))
+
+
+@register("op9_sentencepiece")
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return coded.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.element_at("scores", 1).alias("score"),
+                        F.get("scores", F.lit(1)).alias("second_score"), "round_trip", "piece_ids")
