@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finloom.llm import decontaminate, jaccard, pieces, pii, quality, secrets, topk, warc
+from finloom.llm import decontaminate, jaccard, pieces, pii, pseudo_likelihood, quality, secrets, topk, warc, wordpieces
 from finloom.llm.shared import ORACLES, QUERIES, register, small_batches, table
 from finloom.session import materialise
 
@@ -116,3 +116,17 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return coded.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.element_at("scores", 1).alias("score"),
                         F.get("scores", F.lit(1)).alias("second_score"), "round_trip", "piece_ids")
+
+
+@register("op7_token_counts")
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return wordpieces.count_pieces(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens")
+
+
+@register("op8_lm_scoring")
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = pseudo_likelihood.score(docs, pseudo_likelihood.train(docs))
+    return scored.select("doc_id", "n_words", "log_likelihood", "per_word")
