@@ -79,7 +79,8 @@ class WordChunk:
         h, n = self.hashes, np.diff(self.bounds)
         value = np.full(len(h), k, np.uint64)
         for j in range(k):
-            value[: len(h) - j or None] = mix(value[: len(h) - j or None] * np.uint64(31) + h[j:])
+            m = max(len(h) - j, 0)
+            value[:m] = mix(value[:m] * np.uint64(31) + h[j:])
         short = (n > 0) & (n < k)
         counts = np.where(short, 1, np.maximum(n - k + 1, 0))
         bounds = np.concatenate([[0], np.cumsum(counts)])
