@@ -48,10 +48,17 @@ def effective_on(as_of: dt.date | Column) -> Column:
 
 
 def money_from_double(value: Column) -> Column:
-    """Nearest 4-decimal amount, halves away from zero, same on every engine."""
-    magnitude = F.floor(F.abs(value) * F.lit(10000.0) + F.lit(0.5)).cast("decimal(20,0)")
+    """Nearest 4-decimal amount, halves away from zero, same on every engine.
+
+    A value that is no number or too large for an amount is an error: an
+    amount never takes the place of another one silently.
+    """
+    fits = F.abs(value) < F.lit(9.0e14)
+    magnitude = F.floor(F.abs(F.when(fits, value)) * F.lit(10000.0) + F.lit(0.5)).cast("decimal(20,0)")
     scaled = (magnitude.cast("decimal(24,4)") / F.lit(10000).cast("decimal(5,0)")).cast("decimal(19,4)")
-    return F.when(value < 0, -scaled).otherwise(scaled).cast("decimal(19,4)")
+    told = F.raise_error(F.concat(F.lit("no amount can hold "), value.cast("string"))).cast("decimal(19,4)")
+    signed = F.when(value < 0, -scaled).otherwise(scaled).cast("decimal(19,4)")
+    return F.when(value.isNull() | fits, signed).otherwise(told)
 
 
 def variance_status(variance: Column) -> Column:

@@ -9,14 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from finloom.functions.columns import effective_on
-from finloom.operators.hierarchy import ancestor_chains
 from finloom.operators.sinks import insert_ignore
 from finloom.schemas import FACTOR, FINAL, MONEY
 from finloom.session import materialise
 from finloom.sources.documents import rule_targets
 
-RULE_DEPTH = 100  # longest dependency chain that is followed
-
 
 def like_escaped(text: str, pattern: str) -> Column:
     """``text LIKE pattern`` with a pattern column and backslash as escape."""
@@ -85,8 +82,8 @@ def rule_matches(rules: DataFrame, cost_centers: DataFrame, accounts: DataFrame)
 
 
 def open_lines(lines: DataFrame, fiscal_period_id: int | None = None) -> DataFrame:
-    """Lines that can still be allocated."""
-    found = lines.filter((F.col("final_amount") != 0) & ~F.col("is_allocated"))
+    """Lines that can still be allocated; a line without a flag is not allocated yet."""
+    found = lines.filter((F.col("final_amount") != 0) & ~F.coalesce("is_allocated", F.lit(False)))
     if fiscal_period_id is not None:
         found = found.filter(F.col("fiscal_period_id") == fiscal_period_id)
     return found.select("line_id", "gl_account_id", "cost_center_id", "fiscal_period_id", "final_amount")
@@ -212,13 +209,24 @@ def allocation_factor(
 def eligible_rules(rules: DataFrame, productive: DataFrame) -> DataFrame:
     """Rules without a parent, or whose chain of parents all produced rows and ends.
 
-    Runs on rule-sized frames only; the lines are read once for ``productive``.
+    Chains of any length count; a chain that runs into a cycle or to an unknown
+    rule never ends. Runs on rule-sized frames only; the lines are read once
+    for ``productive``. Every round doubles how far a rule looks and keeps one
+    flag and one id per rule, until no chain is open or all rules are passed.
     """
     with_rows = rules.select("rule_id", "depends_on").join(productive.select("rule_id").distinct().withColumn("_rows", F.lit(True)), "rule_id", "left")
-    item = F.coalesce("_rows", F.lit(False))
-    chains = ancestor_chains(materialise(with_rows, "rules"), "rule_id", F.col("depends_on"), item, RULE_DEPTH)
-    parents = F.slice("chain", F.lit(2), F.size("chain"))
-    return chains.filter(F.col("beyond").isNull() & F.forall(parents, lambda ok: ok)).select("rule_id")
+    # ``good``: the parents looked at so far have rows; ``beyond``: the next one
+    steps = with_rows.select("rule_id", F.coalesce("_rows", F.lit(False)).alias("own"), F.lit(True).alias("good"), F.col("depends_on").alias("beyond"))
+    steps = materialise(steps, "rules")
+    seen, most = 1, steps.count()
+    while seen <= most and not steps.filter("good AND beyond IS NOT NULL").isEmpty():
+        upper = steps.select(F.col("rule_id").alias("beyond"), F.col("own").alias("_own"), F.col("good").alias("_good"), F.col("beyond").alias("_next"))
+        going = steps.filter("good AND beyond IS NOT NULL").join(upper, "beyond", "left")
+        # an unknown parent is not good
+        going = going.select("rule_id", "own", F.coalesce(F.col("_own") & F.col("_good"), F.lit(False)).alias("good"), F.col("_next").alias("beyond"))
+        steps = materialise(going.unionByName(steps.filter("NOT good OR beyond IS NULL")), "rules")
+        seen *= 2
+    return steps.filter("good AND beyond IS NULL").select("rule_id")
 
 
 class Allocation(NamedTuple):
@@ -316,7 +324,7 @@ def mark_allocated(lines: DataFrame, results: DataFrame) -> DataFrame:
     sources = results.select(F.col("source_line_id").alias("line_id")).distinct().withColumn("_source", F.lit(True))
     return (
         lines.join(sources, "line_id", "left")
-        .withColumn("is_allocated", F.col("is_allocated") | F.col("_source").isNotNull())
+        .withColumn("is_allocated", F.coalesce("is_allocated", F.lit(False)) | F.col("_source").isNotNull())
         .drop("_source")
     )
 

@@ -13,7 +13,8 @@ def first_per_key(rows: DataFrame, order: str, last: bool = False) -> DataFrame:
     """The row with the lowest (or highest) ``order`` of each natural key.
 
     An aggregate rather than a window: rows of one key are reduced before
-    the shuffle, so a key with very many rows stays harmless.
+    the shuffle, so a key with very many rows stays harmless. Rows of equal
+    order are told apart by their other columns.
     """
     rest = [c for c in rows.columns if c not in NATURAL_KEY and c != order]
     row = F.struct(F.col(order).alias(order), *rest)
@@ -66,6 +67,8 @@ def upsert(rows: DataFrame, target: DataFrame, order: str) -> DataFrame:
         return F.when(F.col("_old"), before).otherwise(after).alias(c)
 
     result = joined.select(*NATURAL_KEY, *[value(c) for c in shared])
+    if "is_allocated" in shared:  # the default of a new line
+        result = result.withColumn("is_allocated", F.coalesce("is_allocated", F.lit(False)))
     if "final_amount" in shared:
         total = (F.col("original_amount") + F.col("adjusted_amount")).cast(target.schema["final_amount"].dataType)
         result = result.withColumn("final_amount", total)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from finloom.functions.ordering import lay_out, with_dense_index
-from finloom.operators.allocate import allocate_costs, allocated_lines
+from finloom.operators.allocate import allocate_costs, allocated_lines, mark_allocated
 from finloom.plans.consolidation import consolidate_budget
 from finloom.plans.reconciliation import reconcile_intercompany
 from finloom.schemas import NATURAL_KEY
@@ -121,9 +121,14 @@ def close_period(
     new_header_id: int = 1000,
     journal_id: int = 1,
     elimination_mode: str = "corrected",
+    max_depth: int = 10,
 ) -> Close:
     """Run the close. Only step counts and the findings come to the driver.
 
+    Cost centres below ``max_depth`` are not consolidated; the frame
+    ``left_out_lines`` has the lines of all centres left out, ``marked_lines``
+    the lines with the flags that the allocation sets.
+
     A failed step is recorded and the close goes on, except in a FINAL close,
     where it ends the close as FAILED.
     """
@@ -159,8 +164,9 @@ def close_period(
         nonlocal budget_lines, budget_header_id
         result = consolidate_budget(
             lines, headers, accounts, cost_centers, budget_id, new_header_id, run_ts.date(), run_id, run_ts,
-            mode=elimination_mode,
+            mode=elimination_mode, max_depth=max_depth,
         )
+        frames["left_out_lines"] = result.left_out
         # numbering also stores the lines, which the following steps read several times
         with_ids = with_dense_index(lay_out(result.lines, NATURAL_KEY), "line_id").select("line_id", *result.lines.columns)
         frames["consolidated_header"], frames["consolidated_lines"] = result.header, with_ids
@@ -177,6 +183,7 @@ def close_period(
         budget = budget_lines.filter(F.col("header_id") == budget_header_id)
         new_lines = allocated_lines(stored, budget_header_id, budget)
         frames["allocation_results"], frames["allocated_lines"] = stored, new_lines
+        frames["marked_lines"] = mark_allocated(budget, stored)
         # reconciliation also sees the allocated lines
         seen = ["line_id", *NATURAL_KEY, "final_amount"]
         budget_lines = budget.select(*seen).unionByName(new_lines.select(*seen[1:]), allowMissingColumns=True)

@@ -17,6 +17,7 @@ class Consolidation(NamedTuple):
     header: DataFrame
     amounts: DataFrame
     lines: DataFrame
+    left_out: DataFrame
 
 
 def check_source(headers: DataFrame, header_id: int) -> None:
@@ -64,11 +65,16 @@ def consolidate_budget(
     mode: str = "corrected",
     include_zero: bool = True,
     rounding: int | None = None,
+    max_depth: int = 10,
 ) -> Consolidation:
-    """Consolidated lines of one budget under a new header."""
+    """Consolidated lines of one budget under a new header.
+
+    Cost centres deeper than ``max_depth``, inactive or out of their dates are
+    not consolidated; ``left_out`` has the budget's lines on them.
+    """
     check_source(headers, header_id)
     budget = lines.filter(F.col("header_id") == header_id)
-    nodes = explode_hierarchy(cost_centers, as_of)
+    nodes = explode_hierarchy(cost_centers, as_of, max_depth=max_depth)
     amounts = consolidate(budget, nodes)
     if include_eliminations:
         amounts = apply_eliminations(amounts, elimination_pairs(budget, accounts, mode), mode)
@@ -88,4 +94,5 @@ def consolidate_budget(
         F.lit(run_id).alias("source_reference"),
         F.lit(False).alias("is_allocated"),
     )
-    return Consolidation(consolidated_header(headers, header_id, new_header_id, run_id, run_ts), amounts, new_lines)
+    left_out = budget.join(nodes.select("cost_center_id"), "cost_center_id", "left_anti")
+    return Consolidation(consolidated_header(headers, header_id, new_header_id, run_id, run_ts), amounts, new_lines, left_out)

@@ -143,6 +143,23 @@ def test_dependencies(spark, centres, accounts):
     assert b.collect(chosen, "rule_id") == []
 
 
+def test_chains_of_any_length(spark):
+    rows = [{"rule_id": i, "depends_on": i - 1 if i > 1 else None} for i in range(1, 301)]
+    rows += [{"rule_id": 400, "depends_on": 402}, {"rule_id": 401, "depends_on": 400}, {"rule_id": 402, "depends_on": 401}, {"rule_id": 403, "depends_on": 401}]
+    rules = b.rules(spark, rows)
+    got = [r[0] for r in b.collect(allocate.eligible_rules(rules, rules.select("rule_id")), "rule_id")]
+    assert got == list(range(1, 301))  # and none of the cycle or behind it
+    short = [r[0] for r in b.collect(allocate.eligible_rules(rules, rules.select("rule_id").filter("rule_id <> 290")), "rule_id")]
+    assert short == list(range(1, 291))
+
+
+def test_lines_without_a_flag_are_open(spark, centres, accounts):
+    from pyspark.sql import functions as F
+
+    frame = b.lines(spark, [(1, 10, 2, 1, 5)]).withColumn("is_allocated", F.lit(None).cast("boolean"))
+    assert sources(spark, centres, accounts, {}, frame) == [1]
+
+
 def test_dates_only_on_request(spark, centres, accounts):
     frame = b.lines(spark, [(1, 20, 1, 1, 100)])
     rules = [{"rule_id": 1, "basis": "EQUAL", "target_spec": b.spec({"CostCenterID": 2}), "effective_to": dt.date(2000, 2, 1)}]

@@ -3,6 +3,7 @@ from decimal import Decimal
 
 import builders as b
 import pytest
+from pyspark.sql import functions as F
 
 from finloom.operators import forecast
 from finloom.sources.documents import seasonal_factors
@@ -111,6 +112,18 @@ def test_outputs(spark, header, calendar):
     assert (accuracy["actual_data_points"], accuracy["forecast_data_points"], accuracy["mean_absolute_residual"]) == (2, 6, 0.0)
 
 
+def test_amounts_never_saturate(spark):
+    from finloom.functions.columns import money_from_double
+
+    def money(x):
+        return spark.createDataFrame([(x,)], "x double").select(money_from_double(F.col("x")).alias("m")).first()["m"]
+
+    assert money(2.00005) == Decimal("2.0001") and money(-2.00005) == Decimal("-2.0001") and money(None) is None
+    for x in (9.5e14, 1e20, -1e30, float("nan"), float("inf")):
+        with pytest.raises(Exception, match="no amount can hold"):
+            money(x)
+
+
 def test_factors(spark):
     assert b.collect(seasonal_factors(spark, "[0.5, 1.25]")) == [(1, Decimal("0.5")), (2, Decimal("1.25"))]
     assert b.collect(seasonal_factors(spark, None)) == [(m, 1) for m in range(1, 13)]

@@ -173,3 +173,4 @@ def test_upsert_and_partition_overwrite(spark):
     after = spark.read.schema(schema).parquet(path)
     assert b.collect(after, "header_id", "fiscal_period_id", "final_amount") == [(1, 1, 5), (1, 2, 60), (1, 3, 90), (2, 1, 70)]
     assert after.filter("fiscal_period_id = 2").first()["line_id"] == 2
+    assert after.filter("is_allocated IS NULL").isEmpty()
