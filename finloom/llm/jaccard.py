@@ -3,8 +3,11 @@
 Sets meet only within a band of sizes. A band's shingles are hashed into
 segments; two sets that differ in at most H shingles agree in an exact segment
 or differ by at most one in a segment with deletions, whenever
-exact + 2 * deletion segments > H. How many of each a band uses follows from a
-cost estimate. Pairs that share a key are verified by their whole sets.
+exact + 2 * deletion segments > H. The excess over H is the slack: a set whose
+light segments (empty; with deletions, at most one shingle) weigh less than the
+slack has a meeting place beside them and gives no key to nothing. Segments,
+deletions and slack of a band follow from a cost estimate. Pairs that share a
+key are verified by their whole sets.
 """
 
 from __future__ import annotations
@@ -21,8 +24,19 @@ from finloom.llm.components import components
 from finloom.llm.words import mix, word_chunks
 from finloom.session import materialise
 
-#: Weight of a chance meeting of empty segments against one more key.
-CHANCE_WEIGHT = 3e5
+#: Cost of a set that has to give its keys to empty segments, which very many sets may share, against one key.
+EMPTY_WEIGHT = 3e5
+#: Cost of a key made of a single shingle, which a common passage may carry into many sets.
+SINGLE_WEIGHT = 8
+
+
+def _tail(mean: float, least: int) -> float:
+    """Chance that a Poisson count reaches ``least``."""
+    term, below = math.exp(-mean), 0.0
+    for k in range(least):
+        below += term
+        term *= mean / (k + 1)
+    return max(0.0, 1 - below)
 
 
 class Bands:
@@ -30,50 +44,61 @@ class Bands:
 
     def __init__(self, percent: int):
         self.percent, self.low = percent, [1]
-        self._plans: dict[int, tuple[int, int]] = {}
+        self._plans: dict[int, tuple[int, int, int]] = {}
 
     def of(self, size: int) -> int:
         while self.low[-1] <= size:
             self.low.append(self.low[-1] * 100 // self.percent + 1)
         return int(np.searchsorted(self.low, size, "right")) - 1
 
-    def plan(self, band: int) -> tuple[int, int]:
-        """Exact and deletion segments of least cost."""
+    def plan(self, band: int) -> tuple[int, int, int]:
+        """Exact segments, deletion segments and slack of least cost."""
         if band not in self._plans:
             while len(self.low) < band + 2:
                 self.low.append(self.low[-1] * 100 // self.percent + 1)
             low, high = self.low[band], self.low[band + 1] - 1
             differ = (high + high * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
+            half = differ // 2 + 1
             options = []
-            for deletion in range(differ // 2 + 2):
-                exact = max(0, differ + 1 - 2 * deletion)
-                if exact + deletion:
+            for deletion in sorted({0, 1, 2, *(half * j // 8 for j in range(1, 9)), half + 1}):
+                for slack in sorted({1, 2, 3, 4, 6, 8, *(8 + differ * j // 16 for j in range(17))}):
+                    exact = differ + slack - 2 * deletion
+                    if exact < 0 or exact + deletion == 0:
+                        continue
                     mean = low / (exact + deletion)
-                    chance = CHANCE_WEIGHT * math.exp(-mean)
+                    none = math.exp(-mean)
                     keys = exact + deletion * (1 + mean)
-                    options.append((keys + chance * (exact + deletion * (1 + mean)), exact, deletion))
+                    single = none * (exact * mean + deletion * (mean + mean * mean))
+                    light = none * (exact + deletion * (1 + mean))
+                    risk = _tail(light, -(-slack // 2) if deletion else slack)
+                    options.append((keys + SINGLE_WEIGHT * single + EMPTY_WEIGHT * risk, exact, deletion, slack))
             self._plans[band] = min(options)[1:]
         return self._plans[band]
 
 
 def _keys(tokens: np.ndarray, band: int, bands: Bands) -> np.ndarray:
-    exact, deletion = bands.plan(band)
+    exact, deletion, slack = bands.plan(band)
     n = exact + deletion
     salted = mix(tokens + np.uint64(band + 1) * np.uint64(0x9E3779B97F4A7C15))
     segment = (salted % np.uint64(n)).astype(np.int64)
     value = mix(salted ^ np.uint64(0xD6E8FEB86659FD93))
     total = np.zeros(n, np.uint64)
     np.add.at(total, segment, value)
+    filled = np.bincount(segment, minlength=n)
     place = mix(np.arange(n, dtype=np.uint64) + np.uint64((band + 1) << 32))
     whole = mix(total + place)
     near = segment >= exact
-    return np.unique(np.concatenate([whole, mix(total[segment[near]] - value[near] + place[segment[near]])]))
+    less = mix(total[segment[near]] - value[near] + place[segment[near]])
+    light = np.count_nonzero(filled[:exact] == 0) + 2 * np.count_nonzero(filled[exact:] <= 1)
+    if light < slack:  # something else meets
+        whole, less = whole[filled > 0], less[filled[segment[near]] > 1]
+    return np.unique(np.concatenate([whole, less]))
 
 
 def shingle_sets(df: DataFrame, k: int, percent: int, what: str) -> DataFrame:
-    """``what`` = "class": id, n, c1, c2; "keys": c1, c2, key; "sets": id, n, c1, c2, tokens. Columns of ``df``: id, text."""
-    schema = {"class": "id long, n long, c1 long, c2 long", "keys": "c1 long, c2 long, key long",
-              "sets": "id long, n long, c1 long, c2 long, tokens array<long>"}[what]
+    """``what`` = "class": id, n, c1, c2; "keys": id, key; "sets": id, n, tokens. Columns of ``df``: id, text."""
+    schema = {"class": "id long, n long, c1 long, c2 long", "keys": "id long, key long",
+              "sets": "id long, n long, tokens array<long>"}[what]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
@@ -104,10 +129,10 @@ def shingle_sets(df: DataFrame, k: int, percent: int, what: str) -> DataFrame:
                     continue
                 flat = np.concatenate(parts).view(np.int64)
                 if what == "keys":
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(c1, counts)), pa.array(np.repeat(c2, counts)), pa.array(flat)], ["c1", "c2", "key"])
+                    yield pa.RecordBatch.from_arrays([part_ids.take(pa.array(np.repeat(np.arange(len(chunk)), counts))), pa.array(flat)], ["id", "key"])
                 else:
                     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat))
-                    yield pa.RecordBatch.from_arrays([part_ids, pa.array(n), pa.array(c1), pa.array(c2), lists], ["id", "n", "c1", "c2", "tokens"])
+                    yield pa.RecordBatch.from_arrays([part_ids, pa.array(n), lists], ["id", "n", "tokens"])
 
     return df.select("id", "text").mapInArrow(compute, schema)
 
@@ -121,45 +146,44 @@ def jaccard_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     """
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).where("id IS NOT NULL")
     rows = materialise(shingle_sets(docs, k, percent, "class"), "sets")
-    classes = materialise(rows.where("n > 0").groupBy("c1", "c2").agg(F.min("id").alias("rep")), "classes")
-
-    keys = shingle_sets(docs, k, percent, "keys").distinct()
-    firsts = keys.groupBy("key").agg(F.min(F.struct("c1", "c2")).alias("first"), F.count("*").alias("size")).where("size > 1").drop("size")
-    # rows of shared keys only, each with the first class of its key
-    shared = materialise(keys.join(firsts, "key").select("key", "c1", "c2", "first"), "keys")
-    same = "c1 = first.c1 AND c2 = first.c2"
-    star = shared.where(f"NOT ({same})").select(F.col("first.c1").alias("a1"), F.col("first.c2").alias("a2"), F.col("c1").alias("b1"), F.col("c2").alias("b2")).distinct()
-
-    involved = shared.select("c1", "c2").distinct().join(classes, ["c1", "c2"]).select(F.col("rep").alias("id")).distinct()
-    sets = shingle_sets(docs.join(involved, "id", "left_semi"), k, percent, "sets").dropDuplicates(["c1", "c2"])
-    sets = materialise(sets.select("c1", "c2", "id", "n", "tokens"), "tokens")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        a = sets.select(F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-        b = sets.select(F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-        sizes = pairs.join(a.drop("ta"), ["a1", "a2"]).join(b.drop("tb"), ["b1", "b2"])
-        fit = sizes.where(f"least(na, nb) * 100 >= {percent} * greatest(na, nb)").select("a1", "a2", "b1", "b2")
-        met = fit.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).withColumn("both", F.size(F.array_intersect("ta", "tb")))
-        return met.where(f"100L * both >= {percent}L * (na + nb - both)").select("a1", "a2", "b1", "b2")
-
-    linked = materialise(verified(star), "star")
-    # of one key, two classes that both link with the first need no look at each other
-    near = linked.select(F.struct(F.col("a1").alias("c1"), F.col("a2").alias("c2")).alias("first"), F.col("b1").alias("c1"), F.col("b2").alias("c2"), F.lit(True).alias("hit"))
-    members = shared.where(f"NOT ({same})").join(near, ["first", "c1", "c2"], "left").select("key", "c1", "c2", F.coalesce("hit", F.lit(False)).alias("hit"))
-    odd = members.where("NOT hit").select("key", F.col("c1").alias("a1"), F.col("c2").alias("a2"))
-    rest = odd.join(members.select("key", F.col("c1").alias("b1"), F.col("c2").alias("b2"), "hit"), "key")
-    rest = rest.where("hit OR struct(a1, a2) < struct(b1, b2)").where("NOT (a1 = b1 AND a2 = b2)")
-    ordered = rest.select(
-        F.least(F.struct("a1", "a2"), F.struct(F.col("b1").alias("a1"), F.col("b2").alias("a2"))).alias("x"),
-        F.greatest(F.struct("a1", "a2"), F.struct(F.col("b1").alias("a1"), F.col("b2").alias("a2"))).alias("y"),
-    ).distinct()
-    rest = ordered.select(F.col("x.a1").alias("a1"), F.col("x.a2").alias("a2"), F.col("y.a1").alias("b1"), F.col("y.a2").alias("b2"))
-    links = linked.unionByName(verified(rest))
-
-    rep_a = classes.select(F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("rep").alias("a"))
-    rep_b = classes.select(F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("rep").alias("b"))
-    found = components(links.join(rep_a, ["a1", "a2"]).join(rep_b, ["b1", "b2"]).select("a", "b"))
+    classes = materialise(rows.where("n > 0").groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.min("n").alias("n")), "classes")
+    reps = docs.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
+
+    # one shuffle by key serves the first holder of every key and the join with it
+    keys = shingle_sets(reps, k, percent, "keys").repartition("key")
+    firsts = keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
+    shared = materialise(keys.join(firsts.hint("shuffle_hash"), "key").where("id <> first").select("key", "id", "first"), "keys")
+    star = materialise(shared.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+
+    sizes = classes.select(F.col("rep").alias("id"), "n")
+
+    def fitting(pairs: DataFrame) -> DataFrame:
+        near = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a")
+        near = near.join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+        return near.where(f"least(na, nb) * 100 >= {percent} * greatest(na, nb)").select("a", "b").distinct()
+
+    def verified(pairs: DataFrame, label: str) -> DataFrame:
+        pairs = materialise(fitting(pairs), label)
+        involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        sets = materialise(shingle_sets(reps.join(involved, "id", "left_semi"), k, percent, "sets").where("n > 0"), "tokens")
+        a = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
+        b = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+        met = pairs.join(a, "a").join(b, "b").withColumn("both", F.size(F.array_intersect("ta", "tb")))
+        return materialise(met.where(f"100L * both >= {percent}L * (na + nb - both)").select("a", "b").distinct(), label)
+
+    linked = verified(star, "star")
+    # members of a key that the links so far already join need no look at each other
+    labels = materialise(components(linked), "labels")
+    members = shared.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+    hubs = labels.select(F.col("id").alias("first"), F.col("component").alias("hub"))
+    members = members.join(hubs, "first", "left").withColumn("odd", F.col("label") != F.coalesce("hub", "first"))
+    members = materialise(members.select("key", "id", "label", "odd"), "members")
+    odd = members.where("odd").select("key", F.col("id").alias("a"), F.col("label").alias("la"))
+    rest = odd.join(members.select("key", F.col("id").alias("b"), F.col("label").alias("lb"), "odd"), "key")
+    rest = rest.where("la <> lb AND (NOT odd OR a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = materialise(rest, "rest")
+    found = labels if rest.isEmpty() else components(linked.unionByName(verified(rest, "rest")))
     of_class = classes.join(found, F.col("rep") == F.col("id"), "left").select("c1", "c2", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.join(of_class.withColumn("some", F.lit(1)), ["c1", "c2"], "left")
+    out = rows.join(of_class, ["c1", "c2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
