@@ -1,13 +1,16 @@
 """Documents that contain benchmark items, found in a latent space of word passages.
 
-Documents are cut into overlapping passages of hashed words. Inverse document
-frequencies come from all passages; a randomised SVD of the TF-IDF matrix
-(the range finder's products are sums over partitions) gives the space.
-Passages near an item are checked by longest common subsequence and answer.
+Inverse passage frequencies come from all passages of the documents; a range
+finder on their TF-IDF matrix (its products are sums over partitions) gives the
+space. An inverted index of the items' words finds every stretch with enough
+words of an item; stretches that lie close together, or whose passages of about
+the item's length are near it in the latent space, are checked by longest common
+subsequence and answer.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +24,10 @@ from finloom.llm.words import mix, word_chunks
 DIMENSIONS = 4096
 RANK = 48
 WINDOW = 64
-STRIDE = 24
+#: Words that windows of the search begin and end at, counted from the start of a text.
+UNIT = 4
+#: Postings that are added up at once.
+POSTINGS_AT_ONCE = 1 << 22
 #: Items that one pass over the documents compares; more items take more passes.
 ITEMS_AT_ONCE = 20000
 
@@ -30,8 +36,13 @@ def _buckets(hashes: np.ndarray) -> np.ndarray:
     return (mix(hashes) % np.uint64(DIMENSIONS)).astype(np.int64)
 
 
-def _starts(n: int) -> range:
-    return range(0, max(n - WINDOW + STRIDE, 1), STRIDE)
+def _grid(bounds: np.ndarray, size: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, text) of windows of ``size`` every ``step`` places of each text, up to its end; a shorter text is one window."""
+    n = np.diff(bounds)
+    counts = np.where(n > 0, np.maximum(-(-(n - size) // step), 0) + 1, 0)
+    text = np.repeat(np.arange(len(n)), counts)
+    begin = bounds[text] + (np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)) * step
+    return begin, np.minimum(begin + size, bounds[text + 1]), text
 
 
 def _passages(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -60,42 +71,39 @@ def _sum_rows(df: DataFrame, per_partition) -> np.ndarray:
     return out
 
 
-def _rows_of(buckets: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """TF-IDF passages times ``basis``, normed by the TF-IDF length; running sums serve all overlapping passages of a text."""
-    weighted = np.concatenate([np.zeros((1, basis.shape[1])), np.cumsum(basis[buckets] * idf[buckets, None], axis=0)])
-    begin = np.array(_starts(len(buckets)))
-    end = np.minimum(begin + WINDOW, len(buckets))
-    return weighted[end] - weighted[begin]
+def _cut(columns) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Per chunk of texts: the words' buckets, the number of each word's passage (cut without overlap), the number of passages."""
+    for c in columns:
+        for chunk in word_chunks(c) if c is not None else ():
+            begin, end, _ = _grid(chunk.bounds, WINDOW, WINDOW)
+            if len(begin):
+                yield _buckets(chunk.hashes), np.repeat(np.arange(len(begin)), end - begin), len(begin)
 
 
 def latent_space(docs: DataFrame, text: str = "text", seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """(idf, basis): the inverse passage frequencies and the leading right singular vectors of all passages."""
+    """(idf, basis): the inverse passage frequencies and an orthonormal basis near the leading right singular vectors of all passages."""
     texts = docs.select(F.col(f"`{text}`"))
 
     def frequencies(columns):
         total = np.zeros((DIMENSIONS, 2))
-        for c in columns:
-            for _, hashes in _passages(c) if c is not None else ():
-                buckets = _buckets(hashes)
-                for a in range(0, len(buckets), WINDOW):
-                    total[np.unique(buckets[a : a + WINDOW]), 0] += 1
-                total[0, 1] += -(-len(buckets) // WINDOW)
+        for buckets, passage, n in _cut(columns):
+            total[:, 0] += np.bincount(np.unique(passage * DIMENSIONS + buckets) % DIMENSIONS, minlength=DIMENSIONS)
+            total[0, 1] += n
         return total
 
     counted = _sum_rows(texts, frequencies)
     idf = np.log((counted[0, -1] + 1) / (counted[:, 0] + 1)) + 1
     start = np.random.default_rng(seed).normal(size=(DIMENSIONS, RANK))
 
-    def products(columns):  # A^T (A start) over this partition's passages, cut without overlap
-        total = np.zeros((DIMENSIONS, RANK))
-        for c in columns:
-            for _, hashes in _passages(c) if c is not None else ():
-                buckets = _buckets(hashes)
-                cuts = np.arange(0, len(buckets), WINDOW)
-                sums = np.add.reduceat(start[buckets] * idf[buckets, None], cuts, axis=0)
-                length = np.minimum(cuts + WINDOW, len(buckets)) - cuts
-                np.add.at(total, buckets, np.repeat(sums, length, axis=0) * idf[buckets, None])
-        return total
+    def products(columns):  # A^T (A start) over this partition's passages
+        total, right = np.zeros((DIMENSIONS, RANK)), (start * idf[:, None]).astype(np.float32)
+        for buckets, passage, n in _cut(columns):
+            for a in range(0, n, 1024):
+                some = slice(*np.searchsorted(passage, [a, a + 1024]))
+                rows = min(1024, n - a)
+                counts = np.bincount((passage[some] - a) * DIMENSIONS + buckets[some], minlength=rows * DIMENSIONS).reshape(rows, DIMENSIONS).astype(np.float32)
+                total += counts.T @ (counts @ right)
+        return total * idf[:, None]
 
     return idf, np.linalg.qr(_sum_rows(texts, products))[0]
 
@@ -116,9 +124,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", cosine: flo
           answer_words: int = 4) -> DataFrame:
     """``docs`` with ``leaked_items``: sorted ids of the items that the whole text contains.
 
-    A passage is compared with an item when the cosine of their latent vectors
-    (for items shorter than a passage: of the item with the best aligned part)
-    reaches ``cosine``. An item is contained when the longest common subsequence
+    An item is compared with every stretch of twice its words, and with the
+    surroundings (its longest peer on both sides) of every passage of about its
+    length whose latent vector has a cosine of at least ``cosine`` with its own.
+    Stretches that hold too few of its words to contain it are left out by an
+    index of all words of the items; nothing else is.
+    An item is contained when the longest common subsequence
     has ``sure`` of its words, or ``share`` of them and its last
     ``answer_words`` words in a row. Null and empty texts or items match
     nothing; items of under 8 words must be contained wholly. A column of that
@@ -134,14 +145,65 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", cosine: flo
     return out
 
 
+class _Peers:
+    """Items of about the same length: ``numbers``, the longest length, latent ``vectors``, words needed, and postings by word of the vocabulary."""
+
+    def __init__(self, numbers: np.ndarray, words: list[np.ndarray], vectors: np.ndarray, needed: np.ndarray, vocabulary: np.ndarray):
+        self.numbers, self.vectors, self.needed = numbers, vectors[numbers], needed[numbers]
+        self.longest = max(len(words[i]) for i in numbers)
+        item = np.repeat(np.arange(len(numbers)), [len(words[i]) for i in numbers])
+        word = np.searchsorted(vocabulary, np.concatenate([words[i] for i in numbers]))
+        code, self.times = np.unique(word * len(numbers) + item, return_counts=True)  # by word, then by item
+        self.items = code % len(numbers)
+        self.bounds = np.searchsorted(code // len(numbers), np.arange(len(vocabulary) + 1))
+
+    def enough(self, bounds: np.ndarray, at: np.ndarray, text: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, end, item) of the blocks that have the words needed; blocks overlap by half, so every half block of a text is in one.
+
+        ``at``, ``text`` and ``word`` are the places of words of the vocabulary.
+        """
+        step = 4 * (self.longest + UNIT)
+        begin, end, of_text = _grid(bounds, 2 * step, step)
+        if not len(begin):
+            return begin, end, begin
+        first, last = np.searchsorted(of_text, np.arange(len(bounds) - 1)), np.searchsorted(of_text, np.arange(len(bounds) - 1), "right") - 1
+        newest = first[text] + (at - bounds[text]) // step
+        here, before = newest <= last[text], newest > first[text]
+        block = np.concatenate([newest[here], newest[before] - 1])
+        pairs = np.unique(block * (len(self.bounds) - 1) + np.concatenate([word[here], word[before]]))
+        block, word = pairs // (len(self.bounds) - 1), pairs % (len(self.bounds) - 1)
+        size, n = np.diff(self.bounds)[word], len(self.numbers)
+        covered, done = np.zeros(len(begin) * n), np.cumsum(size)
+        for a in range(0, int(done[-1]) if len(done) else 0, POSTINGS_AT_ONCE):
+            some = slice(*np.searchsorted(done, [a, a + POSTINGS_AT_ONCE], "right"))
+            k = size[some]
+            entry = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(self.bounds[word[some]], k)
+            np.add.at(covered, np.repeat(block[some] * n, k) + self.items[entry], self.times[entry])
+        chosen, item = np.nonzero(covered.reshape(-1, n) >= self.needed)
+        return begin[chosen], end[chosen], item
+
+
+def _close(item: np.ndarray, needed: int, hashes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of twice the item's words that begin with one of them and hold as many as needed."""
+    at = np.flatnonzero(np.isin(hashes, item))
+    inside = np.searchsorted(at, at + 2 * len(item)) - np.arange(len(at))
+    for begin in at[inside >= needed]:
+        yield begin, begin + 2 * len(item)
+
+
 def _check(out, ids, item_texts, idf, basis, text, cosine, share, sure, answer_words):
     words = dict(_passages(pa.array(item_texts, pa.large_string())))
     ids, words = [ids[i] for i in words], list(words.values())
     if not ids:
         return out
-    vectors = np.array([(basis[_buckets(w)] * idf[_buckets(w), None]).sum(0) for w in words])
+    weighted = (basis * idf[:, None]).astype(np.float32)
+    vectors = np.array([weighted[_buckets(w)].sum(0) for w in words])
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    shared = out.sparkSession.sparkContext.broadcast((ids, words, vectors, idf, basis))
+    lengths, vocabulary = np.array([len(w) for w in words]), np.unique(np.concatenate(words))
+    needed = np.where(lengths < 8, lengths, np.ceil(min(share, sure) * lengths - 1e-9))
+    of_class = np.floor(np.log(lengths) / np.log(1.5) + 1e-9)
+    peers = [_Peers(np.flatnonzero(of_class == c), words, vectors, needed, vocabulary) for c in np.unique(of_class)]
+    shared = out.sparkSession.sparkContext.broadcast((ids, words, vocabulary, peers, weighted))
 
     def contained(item: np.ndarray, window: np.ndarray) -> bool:
         common = _common(item, window)
@@ -152,24 +214,33 @@ def _check(out, ids, item_texts, idf, basis, text, cosine, share, sure, answer_w
         answer = item[-answer_words:]
         return common >= share * len(item) and any(np.array_equal(window[i : i + len(answer)], answer) for i in np.flatnonzero(window == answer[0]))
 
+    def near(hashes: np.ndarray, vector: np.ndarray, longest: int, weighted: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Surroundings of the passages of about ``longest`` words, a quarter apart, that the latent space puts near the item."""
+        begin, end, _ = _grid(np.array([0, len(hashes)]), max(longest, UNIT), max(longest // 4, 1))
+        sums = np.concatenate([np.zeros((1, weighted.shape[1])), np.cumsum(weighted[_buckets(hashes)], axis=0, dtype=float)])
+        latent = sums[end] - sums[begin]
+        for i in np.flatnonzero(latent @ vector >= cosine * np.maximum(np.linalg.norm(latent, axis=1), 1e-12)):
+            yield max(begin[i] - longest, 0), end[i] + longest
+
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        ids, words, vectors, idf, basis = shared.value
-        longest = max(map(len, words))
+        ids, words, vocabulary, peers, weighted = shared.value
         for texts in batches:
-            array = pa.array(texts, pa.large_string())
-            found: list[list[int]] = [[] for _ in range(len(array))]
-            for row, hashes in _passages(array):
-                latent = _rows_of(_buckets(hashes), idf, basis)
-                norm = np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-                near = (latent / norm) @ vectors.T >= cosine
-                hits = set()
-                for window, item in zip(*np.nonzero(near)):
-                    if ids[item] not in hits:
-                        begin = max(0, window * STRIDE - longest)
-                        if contained(words[item], hashes[begin : window * STRIDE + WINDOW + longest]):
-                            hits.add(ids[item])
-                found[row] = sorted(hits)
-            yield pd.Series(found)
+            found: list[set[int]] = [set() for _ in range(len(texts))]
+            for chunk in word_chunks(pa.array(texts, pa.large_string())):
+                place = np.minimum(np.searchsorted(vocabulary, chunk.hashes), len(vocabulary) - 1)
+                at = np.flatnonzero(vocabulary[place] == chunk.hashes)
+                text_of = chunk.text_of_word()[at]
+                for group in peers:
+                    for begin, end, i in zip(*group.enough(chunk.bounds, at, text_of, place[at])):
+                        row = chunk.first + int(np.searchsorted(chunk.bounds, begin, "right")) - 1
+                        number = group.numbers[i]
+                        if ids[number] in found[row]:
+                            continue
+                        item, block = words[number], chunk.hashes[begin:end]
+                        tried = itertools.chain(_close(item, int(group.needed[i]), block), near(block, group.vectors[i], group.longest, weighted))
+                        if any(contained(item, block[a:b]) for a, b in tried):
+                            found[row].add(ids[number])
+            yield pd.Series([sorted(x) for x in found])
 
     added = F.pandas_udf(run, "array<bigint>")(F.col(f"`{text}`"))
     return out.withColumn("leaked_items", F.array_sort(F.array_union("leaked_items", added)))

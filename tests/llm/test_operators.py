@@ -105,6 +105,17 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate._common(np.array([1, 2, 3, 4]), np.array([2, 9, 4, 1])) == 2
 
 
+def test_decontamination_finds_short_items_in_other_words(spark):
+    item = " ".join(BASE[40:56])
+    changed = " ".join(["other", *BASE[41:47], "more", *BASE[48:56]])
+    around = [f"frame{i % 3}" for i in range(60)]
+    texts = {1: [*around, item, *around], 2: [*around, changed, *around], 3: around * 9, 4: [*BASE[40:47], *around * 9, *BASE[47:56]], 5: [item]}
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, " ".join(f"far{i}" for i in range(59)))], "item_id long, text string")
+    got = {r.doc_id: r.leaked_items for r in decontaminate.leaks(frame, items).collect()}
+    assert got == {1: [1], 2: [1], 3: [], 4: [], 5: [1]}
+
+
 def test_factorisation_machine(docs, empty):
     rng = np.random.default_rng(0)
     machine = quality.Machine(0.1, rng.normal(size=30), rng.normal(size=(30, 4)))
