@@ -1,8 +1,8 @@
 """Personal data, and terms that reveal whom it belongs to, with DataFrame functions only.
 
-Base kinds are found by patterns. Which words near an entity disclose it is
-estimated from the corpus: a word's pointwise mutual information with the
-entity, as a share of the entity's own information, over all documents.
+Base kinds are found by patterns. Which words of a document disclose an entity
+in it is estimated from the corpus: a word's pointwise mutual information with
+the entity, as a share of the entity's own information, over all distinct texts.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from finloom.session import materialise
+
 #: The base patterns, written so that no start inside a tried run is tried again; the result is the same.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -19,6 +21,8 @@ PATTERNS = {
 }
 BASE_KINDS = tuple(PATTERNS)
 WORD = r"[^\x20\x09-\x0D]++"
+#: A text in pieces of some whole words each, nothing left out; places are added up over pieces first, then within each.
+PIECE = r"[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){1,32}+"
 _NO_SPANS = "CAST(array() AS array<struct<start:bigint,end:bigint,value:string>>)"
 
 
@@ -66,41 +70,56 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
-def find_pii(df: DataFrame, text: str = "text", context: int = 80, share: float = 0.8, least_documents: int = 3) -> DataFrame:
+def _plain(word: Column) -> Column:
+    return F.lower(F.regexp_replace(word, r"[.,;:!?]+$", ""))
+
+
+def _words(near: DataFrame) -> DataFrame:
+    """(_key, word, places) of every word of the texts of ``near`` that no base span touches; places are (start, end) of the whole word."""
+    pieces = near.select("_key", "_base", F.explode(_matches(F.col("_text"), PIECE)).alias("p"))
+    words = pieces.select("_key", "_base", F.col("p.start").alias("at"), F.explode(_matches(F.col("p.value"), WORD)).alias("w"))
+    words = words.select("_key", "_base", _plain(F.col("w.value")).alias("word"), (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end"))
+    words = words.where("word <> '' AND NOT exists(_base, b -> b.start < end AND b.end > start)")
+    return words.groupBy("_key", "word").agg(F.collect_list(F.struct("start", "end")).alias("places"))
+
+
+def find_pii(df: DataFrame, text: str = "text", share: float = 0.8) -> DataFrame:
     """``df`` with ``spans``: array of (start, kind_no, kind, end, value), base kinds and ``term``.
 
-    A word within ``context`` characters behind an entity is a ``term`` span
-    when it occurs with that entity in at least ``least_documents`` documents
-    and reveals at least ``share`` of the entity's information:
-    log(n(word, entity) N / (n(word) n(entity))) >= share * log(N / n(entity)).
-    The other words there lack support and stay. Null text is empty and has no
-    spans; equal rows get equal spans; a column named ``spans`` is replaced; no
-    rows give no rows.
+    A word is a ``term`` span wherever it stands whole in a text with an entity
+    of which it reveals at least ``share`` of the information:
+    log((n(word, entity) + n(entity) / N) N / ((n(word) + 1) n(entity))) >=
+    share * log(N / n(entity)). All four numbers count distinct texts. The
+    estimate is smoothed as if one more text, drawn at random, had the word; so
+    entities and words of a single text count too, once the corpus is large
+    enough to call a word rare. Null text is empty and has no spans; equal texts
+    get equal spans; a column named ``spans`` is replaced; no rows give no rows.
     """
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    found = df.drop("spans").withColumn("_base", base_spans(body)).withColumn("_key", F.xxhash64(body))
-    near = found.where(F.size("_base") > 0).withColumn("_text", body).select("_key", "_text", F.explode("_base").alias("b"))
-    words = near.select("_key", "b", F.explode(_matches(F.expr(f"substr(_text, int(b.end + 1), {context})"), WORD)).alias("w"))
-    words = words.select(
-        "_key", F.concat_ws(":", "b.kind", "b.value").alias("entity"), F.lower(F.regexp_replace("w.value", r"[.,;:!?]+$", "")).alias("word"),
-        (F.col("b.end") + F.col("w.start")).alias("start"), (F.col("b.end") + F.col("w.end")).alias("end"),
-    )
-    # documents are counted, not occurrences
-    together = words.groupBy("entity", "word", "_key").agg(F.lit(1).alias("one")).groupBy("entity", "word").agg(F.count("*").alias("n_both"))
-    together = together.where(F.col("n_both") >= least_documents)
-    entities = near.select(F.concat_ws(":", "b.kind", "b.value").alias("entity"), "_key").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    of_word = F.explode(F.array_distinct(F.transform(F.split(body, r"[\x20\x09-\x0D]+"), lambda w: F.lower(F.regexp_replace(w, r"[.,;:!?]+$", "")))))
-    wanted = together.select("word").distinct()
-    counts = df.select(of_word.alias("word")).join(wanted, "word", "left_semi").groupBy("word").agg(F.count("*").alias("n_word"))
-    total = df.agg(F.count("*").alias("n"))
-    told = together.join(entities, "entity").join(counts, "word").join(F.broadcast(total))
-    told = told.where("ln(n_both * n / (n_word * n_entity)) >= " + str(share) + " * ln(n / n_entity) AND n > n_entity").select("entity", "word")
-    terms = words.join(told, ["entity", "word"], "left_semi").groupBy("_key").agg(
-        F.collect_set(F.struct("start", F.lit(len(BASE_KINDS)).alias("kind_no"), F.lit("term").alias("kind"), "end", F.lit("").alias("value"))).alias("_terms")
+    keyed = df.drop("spans").withColumn("_key", F.xxhash64(body))
+    texts = keyed.select("_key", body.alias("_text")).dropDuplicates(["_key"])
+    near = materialise(texts.withColumn("_base", base_spans(F.col("_text"))).where(F.size("_base") > 0), "pii-near")
+    of_word = F.explode(F.array_distinct(F.transform(F.split("_text", r"[\x20\x09-\x0D]+"), _plain)))
+    counts = texts.select(of_word.alias("word")).groupBy("word").agg(F.count("*").alias("n_word"))
+    total = texts.agg(F.count("*").alias("n"))
+    held = near.select("_key", F.explode(F.array_distinct(F.transform("_base", lambda b: F.concat_ws(":", b["kind"], b["value"])))).alias("entity"))
+    entities = held.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    most = F.broadcast(total.crossJoin(entities.agg(F.max("n_entity").alias("most"))))
+    # no more texts than have the word or the entity can have both: words too frequent for any entity, or for this one, drop out before pairs form
+    rare = _words(near).join(counts, "word").crossJoin(most).where(f"n_word + 1 <= (n + 1) * pow(most / n, {share}) * 1.000001")
+    pairs = rare.join(held.join(entities, "entity"), "_key").where(f"n_word + 1 <= (n + 1) * pow(n_entity / n, {share}) * 1.000001 AND n > n_entity")
+    pairs = materialise(pairs.select("_key", "entity", "word", "places", "n_word", "n_entity", "n"), "pii-pairs")
+    told = pairs.groupBy("entity", "word", "n_word", "n_entity", "n").agg(F.count("*").alias("n_both"))
+    told = told.where(f"ln((n_both + n_entity / n) * n / ((n_word + 1) * n_entity)) >= {share} * ln(n / n_entity)").select("entity", "word")
+    places = pairs.join(told, ["entity", "word"], "left_semi").select("_key", F.explode("places").alias("p"))
+    terms = places.groupBy("_key").agg(
+        F.collect_set(F.struct("p.start", F.lit(len(BASE_KINDS)).alias("kind_no"), F.lit("term").alias("kind"), "p.end", F.lit("").alias("value"))).alias("_terms")
     )
-    both = found.join(terms, "_key", "left")
     spans = F.when(F.col("_terms").isNull(), F.col("_base")).otherwise(F.array_sort(F.concat("_base", "_terms")))
-    return both.withColumn("spans", spans).drop("_base", "_key", "_terms")
+    spans = near.select("_key", "_base").join(terms, "_key", "left").select("_key", spans.alias("spans"))
+    none = F.lit(None).cast(spans.schema["spans"].dataType)
+    out = keyed.join(spans, "_key", "left").drop("_key")
+    return out.withColumn("spans", F.coalesce("spans", F.filter(F.array(F.element_at(none, 1)), lambda s: F.lit(False))))
 
 
 def sanitise(df: DataFrame, text: str = "text") -> DataFrame:

@@ -97,6 +97,19 @@ def test_pii_terms_that_disclose(spark):
     assert spans == {"email": "jo@x.org", "term": "Smithson"}
 
 
+def _terms(spark, texts):
+    found = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "text", "spans").collect()
+    return {r.doc_id: [r.text[s.start : s.end] for s in r.spans if s.kind == "term"] for r in found}
+
+
+COMMON = [f"now nothing at to see write {i % 7}" for i in range(60)]
+
+
+def test_pii_terms_of_rare_entities(spark):
+    got = _terms(spark, ["write at jo@x.org Smithson now", *[f"{t} {i}a" for i, t in enumerate(COMMON)]])
+    assert got[0] == ["Smithson"]
+
+
 def test_decontamination(spark, docs, empty):
     items = spark.createDataFrame([(1, " ".join(BASE[30:60])), (2, "never seen words of an item that is nowhere at all"), (3, None)], "item_id long, text string")
     got = {r.doc_id: r.leaked_items for r in decontaminate.leaks(docs, items).collect()}
