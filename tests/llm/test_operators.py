@@ -110,6 +110,12 @@ def test_pii_terms_of_rare_entities(spark):
     assert got[0] == ["Smithson"]
 
 
+def test_pii_terms_of_copies(spark):
+    texts = [f"write to jo@x.org Smithson now {i % 7}" for i in range(3)] + [f"{t} x{i}" for i, t in enumerate(COMMON)]
+    few, many = _terms(spark, texts), _terms(spark, texts + [texts[0]] * 400)
+    assert "Smithson" in few[0] and all(few[i] == many[i] for i in few) and all(many[i] == few[0] for i in range(len(texts), len(many)))
+
+
 def test_decontamination(spark, docs, empty):
     items = spark.createDataFrame([(1, " ".join(BASE[30:60])), (2, "never seen words of an item that is nowhere at all"), (3, None)], "item_id long, text string")
     got = {r.doc_id: r.leaked_items for r in decontaminate.leaks(docs, items).collect()}
