@@ -116,6 +116,12 @@ def test_pii_terms_of_copies(spark):
     assert "Smithson" in few[0] and all(few[i] == many[i] for i in few) and all(many[i] == few[0] for i in range(len(texts), len(many)))
 
 
+def test_pii_terms_anywhere_in_the_text(spark):
+    far = " ".join(COMMON[:7]) + " é"
+    texts = [f"Smithson, now write {far} at jo@x.org {far} Smithsons! <jo@x.org>"] + [f"{t} é x{i}" for i, t in enumerate(COMMON)]
+    assert _terms(spark, texts)[0] == ["Smithson,", "Smithsons!"]
+
+
 def test_decontamination(spark, docs, empty):
     items = spark.createDataFrame([(1, " ".join(BASE[30:60])), (2, "never seen words of an item that is nowhere at all"), (3, None)], "item_id long, text string")
     got = {r.doc_id: r.leaked_items for r in decontaminate.leaks(docs, items).collect()}
