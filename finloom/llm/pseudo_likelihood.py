@@ -1,8 +1,11 @@
 """Masked pseudo-likelihood of texts by a bidirectional window network.
 
-Every word (hashed to a bucket) is predicted from the words on both sides.
-Each round, every task trains a copy on all of its own words; Spark averages
-the copies by words seen, so what is learnt comes from the whole corpus.
+Every word is predicted in two levels: its class (a hash bucket) from the
+classes of the words on both sides, then the word itself within its class.
+Each round, every task trains a copy of the class network on all of its own
+words; Spark averages the copies by words seen. The words within a class have
+their counts over the whole corpus, in a Spark table of all words that texts are
+joined with; rare and new words are spelled byte by byte.
 """
 
 from __future__ import annotations
@@ -15,8 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finloom.llm.words import mix, word_chunks
+from finloom.llm.words import WordChunk, mix, word_chunks
+from finloom.session import materialise
 
+#: Classes, the upper level of the softmax; the words below them are as many as the corpus has.
 VOCABULARY = 256
 SIZE = 8
 SIDE = 2
@@ -26,28 +31,96 @@ _CUTS = np.cumsum([int(np.prod(s)) for s in _SHAPES])
 BATCH = 1024
 
 
-def fresh(seed: int = 5) -> np.ndarray:
+class Model:
+    """The class ``network``, ``spelling`` (log-probability of a byte after a byte; a space begins and ends a word) and the tables of a corpus.
+
+    ``words`` has (word, n_word) for every word; ``classes`` has (class, n_class, n_distinct). Both are None before anything is learnt.
+    """
+
+    def __init__(self, network: np.ndarray, spelling: np.ndarray, words: DataFrame | None = None, classes: DataFrame | None = None):
+        self.network, self.spelling, self.words, self.classes = network, spelling, words, classes
+
+    def __eq__(self, other) -> bool:
+        same = np.array_equal(self.network, other.network) and np.array_equal(self.spelling, other.spelling)
+        return same and self.words is other.words and self.classes is other.classes
+
+
+def fresh(seed: int = 5) -> Model:
     flat = np.random.default_rng(seed).normal(0, 0.1, _CUTS[-1])
     flat[_CUTS[1] :] = 0
-    return flat
+    return Model(flat, _spelling(np.zeros((256, 256))))
+
+
+def _spelling(counts: np.ndarray) -> np.ndarray:
+    return np.log((counts + 1) / (counts + 1).sum(1, keepdims=True))
+
+
+def _steps(chunk: WordChunk) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``spelling``: of every byte after the one before it in its word, and of the end of every word."""
+    before = np.full(len(chunk.data), 32, np.int64)
+    before[1:] = chunk.data[:-1]
+    before[chunk.starts] = 32
+    return before * 256 + chunk.data, chunk.data[chunk.ends - 1].astype(np.int64) * 256 + 32
+
+
+def _inside(chunk: WordChunk) -> np.ndarray:
+    edges = np.zeros(len(chunk.data) + 1, np.int64)
+    np.add.at(edges, chunk.starts, 1)
+    np.add.at(edges, chunk.ends, -1)
+    return np.cumsum(edges[:-1]) > 0
+
+
+def _classes(hashes: np.ndarray) -> np.ndarray:
+    return (mix(hashes) % np.uint64(VOCABULARY)).astype(np.int64)
+
+
+def _columns(*arrays: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names)
+
+
+def _count(texts: DataFrame) -> tuple[np.ndarray, DataFrame, DataFrame]:
+    """Counts of byte pairs, and the tables of words and classes of a corpus."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in word_chunks(batch.column(0)):
+                word, n = np.unique(chunk.hashes, return_counts=True)
+                yield _columns(word.view(np.int64), _classes(word), n, names=["word", "class", "n"])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(256 * 256, np.int64)
+        for batch in batches:
+            for chunk in word_chunks(batch.column(0)):
+                if len(chunk.starts):
+                    step, end = _steps(chunk)
+                    total += np.bincount(step[_inside(chunk)], minlength=len(total)) + np.bincount(end, minlength=len(total))
+        place = np.flatnonzero(total)
+        yield _columns(place, total[place], names=["place", "n"])
+
+    counted = texts.mapInArrow(words, "word long, class long, n long").groupBy("word", "class").agg(F.sum("n").alias("n_word"))
+    counted = materialise(counted, "lm-words")
+    classes = materialise(counted.groupBy("class").agg(F.sum("n_word").alias("n_class"), F.count("*").alias("n_distinct")), "lm-classes")
+    # at most one row per pair of bytes, whatever the corpus
+    spelled = texts.mapInArrow(pairs, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(256 * 256)
+    counts[spelled["place"].to_numpy(int)] = spelled["n"].to_numpy(float)
+    return counts.reshape(256, 256), counted.select("word", "n_word"), classes
 
 
 def _parts(flat: np.ndarray) -> list[np.ndarray]:
     return [x.reshape(s) for x, s in zip(np.split(flat, _CUTS[:-1]), _SHAPES)]
 
 
-def _tokens(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per chunk: tokens, their contexts (VOCABULARY beyond the text), number of the text of each token."""
-    for chunk in word_chunks(texts):
-        tokens = (mix(chunk.hashes) % np.uint64(VOCABULARY)).astype(np.int64)
-        owner = chunk.text_of_word()
-        context = np.full((len(OFFSETS), len(tokens)), VOCABULARY)
-        for row, j in enumerate(OFFSETS):
-            at = np.arange(len(tokens)) + j
-            inside = (at >= 0) & (at < len(tokens))
-            inside[inside] = owner[at[inside]] == owner[inside]
-            context[row, inside] = tokens[at[inside]]
-        yield tokens, context, owner + chunk.first
+def _tokens(chunk: WordChunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of a chunk's words, their contexts (VOCABULARY beyond the text), number of the text of each word."""
+    tokens, owner = _classes(chunk.hashes), chunk.text_of_word()
+    context = np.full((len(OFFSETS), len(tokens)), VOCABULARY)
+    for row, j in enumerate(OFFSETS):
+        at = np.arange(len(tokens)) + j
+        inside = (at >= 0) & (at < len(tokens))
+        inside[inside] = owner[at[inside]] == owner[inside]
+        context[row, inside] = tokens[at[inside]]
+    return tokens, context, owner
 
 
 def _forward(parts: list[np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +132,7 @@ def _forward(parts: list[np.ndarray], context: np.ndarray) -> tuple[np.ndarray,
 
 def train_local(flat: np.ndarray, texts: pa.Array, rate: float) -> tuple[np.ndarray, int]:
     parts, seen = _parts(flat.copy()), 0
-    for tokens, context, _ in _tokens(texts):
+    for tokens, context, _ in map(_tokens, word_chunks(texts)):
         for a in range(0, len(tokens), BATCH):
             t, c = tokens[a : a + BATCH], context[:, a : a + BATCH]
             hidden, log_p = _forward(parts, c)
@@ -78,9 +151,10 @@ def train_local(flat: np.ndarray, texts: pa.Array, rate: float) -> tuple[np.ndar
     return np.concatenate([p.ravel() for p in parts]), seen
 
 
-def train(docs: DataFrame, text: str = "text", rounds: int = 2, rate: float = 2.0) -> np.ndarray:
-    """Parameters after ``rounds`` passes over every word; without words the starting parameters."""
-    flat = fresh()
+def train(docs: DataFrame, text: str = "text", rounds: int = 2, rate: float = 2.0) -> Model:
+    """The model after ``rounds`` passes over every word; without words the starting one."""
+    model = fresh()
+    flat = model.network
     texts = docs.select(F.col(f"`{text}`"))
     for _ in range(rounds):
         shared = docs.sparkSession.sparkContext.broadcast(flat)
@@ -98,28 +172,58 @@ def train(docs: DataFrame, text: str = "text", rounds: int = 2, rate: float = 2.
         mean = texts.mapInArrow(run, "place long, x double, n long").groupBy("place").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
         flat = flat.copy()
         flat[mean["place"].to_numpy(int)] = mean["x"].to_numpy(float)
-    return flat
+    counts, words, classes = _count(texts)
+    return Model(flat, _spelling(counts), words, classes) if counts.any() else model
 
 
-def score(df: DataFrame, parameters: np.ndarray, text: str = "text") -> DataFrame:
+def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``df`` with ``n_words``, ``log_likelihood`` (sum over words) and ``per_word``; null and empty texts have 0, 0 and null.
 
-    Columns of these names are replaced.
+    A word's log-probability is that of its class between its neighbours plus
+    log((n_word + n_distinct * spelled) / (n_class + n_distinct)). Equal texts
+    have equal scores. Columns of these names are replaced.
     """
-    shared = df.sparkSession.sparkContext.broadcast(parameters)
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        parts = _parts(shared.value)
-        for texts in batches:
-            n, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-            for tokens, context, owner in _tokens(pa.array(texts, pa.large_string())):
-                for a in range(0, len(tokens), 8 * BATCH):
-                    t = tokens[a : a + 8 * BATCH]
-                    log_p = _forward(parts, context[:, a : a + 8 * BATCH])[1][np.arange(len(t)), t]
-                    at = owner[a : a + 8 * BATCH]
-                    n += np.bincount(at, minlength=len(n))
-                    total += np.bincount(at, log_p, len(n))
-            yield pd.DataFrame({"n_words": n, "log_likelihood": total})
-
-    out = df.drop("n_words", "log_likelihood", "per_word").withColumn("_s", F.pandas_udf(run, "n_words long, log_likelihood double")(F.col(f"`{text}`")))
-    return out.select("*", "_s.*").drop("_s").withColumn("per_word", F.expr("IF(n_words > 0, log_likelihood / n_words, NULL)"))
+    shared = df.sparkSession.sparkContext.broadcast((model.network, model.spelling))
+    keyed = df.drop("n_words", "log_likelihood", "per_word").withColumn("_key", F.xxhash64(f"`{text}`"))
+    texts = keyed.select("_key", F.col(f"`{text}`").alias("_text")).dropDuplicates(["_key"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row per text and different word; the first one of a text carries the log-probability of its classes."""
+        network, spelling = shared.value
+        parts, spelling = _parts(network), spelling.ravel()
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            for chunk in word_chunks(batch.column(1)):
+                if not len(chunk.hashes):
+                    continue
+                tokens, context, owner = _tokens(chunk)
+                log_p = np.concatenate([
+                    _forward(parts, context[:, a : a + 8 * BATCH])[1][np.arange(len(tokens[a : a + 8 * BATCH])), tokens[a : a + 8 * BATCH]]
+                    for a in range(0, len(tokens), 8 * BATCH)
+                ])
+                of_text = np.bincount(owner, log_p, len(chunk))
+                order = np.lexsort((chunk.hashes, owner))
+                new = np.ones(len(order), bool)
+                new[1:] = (owner[order][1:] != owner[order][:-1]) | (chunk.hashes[order][1:] != chunk.hashes[order][:-1])
+                first = order[new]
+                n = np.diff(np.append(np.flatnonzero(new), len(order)))
+                step, end = _steps(chunk)
+                spelled = np.add.reduceat(spelling[np.append(step, 0)], np.stack([chunk.starts, chunk.ends], 1).ravel())[::2] + spelling[end]
+                lead = np.ones(len(first), bool)
+                lead[1:] = owner[first][1:] != owner[first][:-1]
+                yield _columns(keys[chunk.first + owner[first]], chunk.hashes[first].view(np.int64), tokens[first].astype(np.int32), n.astype(np.int32),
+                               spelled[first], np.where(lead, of_text[owner[first]], 0.0), names=["_key", "word", "class", "n", "spelled", "classes"])
+
+    rows = texts.mapInArrow(run, "_key long, word long, class int, n int, spelled double, classes double")
+    if model.words is None:
+        rows = rows.withColumn("within", F.col("spelled"))
+    else:
+        rows = rows.join(model.words, "word", "left").join(F.broadcast(model.classes), "class", "left")
+        rows = rows.withColumn("within", F.expr(
+            "CASE WHEN n_class IS NULL THEN spelled WHEN n_word IS NULL THEN ln(n_distinct) + spelled - ln(n_class + n_distinct)"
+            " ELSE ln(n_word + n_distinct * exp(spelled)) - ln(n_class + n_distinct) END"
+        ))
+    sums = rows.groupBy("_key").agg(F.sum("n").alias("n_words"), F.sum(F.expr("n * within + classes")).alias("log_likelihood"))
+    out = keyed.join(sums, "_key", "left").drop("_key")
+    out = out.withColumns({"n_words": F.coalesce("n_words", F.lit(0).cast("long")), "log_likelihood": F.coalesce("log_likelihood", F.lit(0.0))})
+    return out.withColumn("per_word", F.expr("IF(n_words > 0, log_likelihood / n_words, NULL)"))

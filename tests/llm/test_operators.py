@@ -185,6 +185,19 @@ def test_pseudo_likelihood(docs, empty):
     assert np.array_equal(pseudo_likelihood.train(empty), fresh)
 
 
+def test_pseudo_likelihood_tells_words_of_a_bucket_apart(spark):
+    corpus = spark.createDataFrame([(i, "the cat sat on the mat and " + " ".join(f"k{j}" for j in range(i, i + 9))) for i in range(60)], "doc_id long, text string")
+    model = pseudo_likelihood.train(corpus, rounds=1)
+    assert model.words.count() == 6 + 68 and model.words.agg(F.sum("n_word")).first()[0] == 60 * 16
+    bucket = lambda w: int(pseudo_likelihood._classes(next(pseudo_likelihood.word_chunks(pseudo_likelihood.pa.array([w]))).hashes)[0])
+    twin = next(f"zq{i}" for i in range(10**5) if bucket(f"zq{i}") == bucket("the"))
+    asked = spark.createDataFrame([("the",), (twin,), (twin * 40,), (f"{twin} the",), ("the",)], "text string")
+    rows = pseudo_likelihood.score(asked, model).collect()
+    got = {r.text: r.log_likelihood for r in rows}
+    assert len(rows) == 5 and got["the"] > got[twin] + 3 and got[twin] > got[twin * 40] > -np.inf
+    assert {r.n_words for r in rows if r.text == f"{twin} the"} == {2}
+
+
 def test_n_best_segmentations(docs, empty):
     lattice = pieces.Lattice.of(pieces.MODEL)
 
