@@ -22,12 +22,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, similarity 0.8) the smallest id stays; rows without an id stay, repeated ids once."""
+    """Of each group of near duplicates (five words, similarity 0.8) the smallest id stays; rows without an id stay; equal rows by id and text stay once."""
     small_batches(spark)
     classes = jaccard.jaccard_classes(docs, k=5, percent=80)
     kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    some = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return some.unionByName(docs.where("doc_id IS NULL"))
+    some = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    return some.unionByName(docs.where("doc_id IS NULL")).dropDuplicates(["doc_id", "text"])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

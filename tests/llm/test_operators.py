@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from finloom.llm import decontaminate, jaccard, pieces, pii, pseudo_likelihood, quality, secrets, topk, warc, wordpieces
 
 SCHEMA = "doc_id long, text string, lang string, spans string, score string"
@@ -52,6 +53,13 @@ def got_n(docs, i):
     return len({tuple(words[k : k + 3]) for k in range(len(words) - 2)})
 
 
+def test_one_of_each_keeps_different_texts(spark):
+    rows = [(1, "one text of some seven words here"), (1, "a wholly other text that shares the id"), (1, "one text of some seven words here"),
+            (None, "no id"), (None, "no id"), (None, None)]
+    kept = corpus_pipeline.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, {*rows}))
+
+
 @pytest.mark.parametrize("percent", [80, 90])
 def test_keys_meet_for_every_pair_in_reach(percent):
     bands, rng = jaccard.Bands(percent), np.random.default_rng(3)
