@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finloom.llm import decontaminate, jaccard, pieces, pii, pseudo_likelihood, quality, secrets, topk, warc, wordpieces
+from finloom.llm import decontaminate, jaccard, licences, pieces, pii, pseudo_likelihood, quality, resampling, secrets, topk, warc, whitening, wordpieces
 from finloom.llm.shared import ORACLES, QUERIES, register, small_batches, table
 from finloom.session import materialise
 
@@ -130,3 +130,62 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = pseudo_likelihood.score(docs, pseudo_likelihood.train(docs))
     return scored.select("doc_id", "n_words", "log_likelihood", "per_word")
+
+
+@register(
+    "op11_importance_resample",
+    r"""
+    WITH RECURSIVE crc_byte(b, k, c) AS (
+      SELECT b, 0, b::BIGINT FROM range(256) r(b)
+      UNION ALL SELECT b, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM crc_byte WHERE k < 8),
+    crc_table AS (SELECT list(c ORDER BY b) AS t FROM crc_byte WHERE k = 8),
+    texts AS (
+      SELECT 1 AS raw, doc_id, text, row_number() OVER () AS row_no FROM documents
+      UNION ALL SELECT 0, item_id, text, -row_number() OVER () FROM benchmark),
+    words AS (
+      SELECT raw, doc_id, row_no, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+    runs AS (
+      SELECT raw, row_no, unnest(list_concat(w,
+        list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+        list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f FROM words),
+    counted AS (SELECT raw, row_no, f, count(*) AS n FROM runs GROUP BY ALL),
+    features AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM counted)),
+    hashed(f, h, i, c) AS (
+      SELECT f, h, 0, 4294967295::BIGINT FROM features
+      UNION ALL
+      SELECT f, h, i + 1, xor(c // 256, t[xor(c % 256, 16 * (strpos('0123456789ABCDEF', h[2 * i + 1]) - 1) + strpos('0123456789ABCDEF', h[2 * i + 2]) - 1) + 1])
+      FROM hashed, crc_table WHERE 2 * i < len(h)),
+    placed AS (SELECT raw, row_no, n, xor(c, 4294967295) % 10000 AS bucket FROM counted JOIN hashed USING (f) WHERE 2 * i = len(h)),
+    totals AS (SELECT coalesce(sum(n) FILTER (raw = 1), 0) AS s, coalesce(sum(n) FILTER (raw = 0), 0) AS t FROM placed),
+    gains AS (
+      SELECT bucket, CAST(floor(1000 * ln((coalesce(sum(n) FILTER (raw = 0), 0) + 1)::DOUBLE * (any_value(totals.s) + 10000)::DOUBLE
+        / ((coalesce(sum(n) FILTER (raw = 1), 0) + 1)::DOUBLE * (any_value(totals.t) + 10000)::DOUBLE))) AS BIGINT) AS gain
+      FROM placed, totals GROUP BY bucket),
+    weights AS (SELECT row_no, sum(n * gain) AS weight FROM placed JOIN gains USING (bucket) WHERE raw = 1 GROUP BY row_no),
+    scored AS (
+      SELECT doc_id, len(w) AS n_words, greatest(len(w), 0) + greatest(len(w) - 1, 0) + greatest(len(w) - 2, 0) AS n_features,
+        CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+        CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+      FROM words LEFT JOIN weights USING (row_no) WHERE raw = 1),
+    ranked AS (
+      SELECT *, n_words >= 20 AS c, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id, n_features) AS r, count(*) FILTER (n_words >= 20) OVER () AS n FROM scored)
+    SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN c AND r <= 5 * n // 100 THEN r END AS rank FROM ranked
+    """,
+)
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@register("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@register("op13_license_scan")
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    found = licences.find_licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *licences.summary())
