@@ -89,9 +89,3 @@ def overwrite_budgets(rows: DataFrame, path: str, from_target: bool = True) -> N
     ready = materialise(rows, "overwrite") if from_target else rows
     ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("header_id").parquet(path)
 
-
-def refresh_summary(summary: DataFrame, path: str, header_ids: list[int] | None = None) -> DataFrame:
-    """Write the summary per budget; with ``header_ids`` only those budgets are recomputed."""
-    changed = summary if header_ids is None else summary.filter(F.col("header_id").isin(header_ids))
-    overwrite_budgets(changed, path, from_target=False)
-    return summary.sparkSession.read.schema(summary.schema).parquet(path)

@@ -37,15 +37,14 @@ SUMMARY_KEYS = [
 ]
 
 
-def budget_summary(
-    lines: DataFrame, headers: DataFrame, accounts: DataFrame, cost_centers: DataFrame, periods: DataFrame
-) -> DataFrame:
-    """Sums per budget, account, cost centre and period.
+MEASURES = [
+    "total_original_amount", "total_adjusted_amount", "total_final_amount", "total_local_currency", "total_reporting_currency", "line_item_count",
+]
 
-    The attributes follow from the four ids, so the lines are grouped on the
-    ids alone and meet the dimensions afterwards.
-    """
-    totals = lines.groupBy(*NATURAL_KEY).agg(
+
+def line_totals(lines: DataFrame) -> DataFrame:
+    """Sums and number of lines per natural key."""
+    return lines.groupBy(*NATURAL_KEY).agg(
         F.sum("original_amount").cast(TOTAL).alias("total_original_amount"),
         F.sum("adjusted_amount").cast(TOTAL).alias("total_adjusted_amount"),
         F.sum(F.col("original_amount") + F.col("adjusted_amount")).cast(TOTAL).alias("total_final_amount"),
@@ -53,8 +52,22 @@ def budget_summary(
         F.coalesce(F.sum("reporting_currency_amount"), F.lit(0)).cast(TOTAL).alias("total_reporting_currency"),
         F.count("*").alias("line_item_count"),
     )
-    measures = [c for c in totals.columns if c not in NATURAL_KEY]
-    return join_star(totals, headers, accounts, cost_centers, periods).select(*SUMMARY_KEYS, *measures)
+
+
+def with_attributes(totals: DataFrame, headers: DataFrame, accounts: DataFrame, cost_centers: DataFrame, periods: DataFrame) -> DataFrame:
+    """Totals per natural key as rows of the summary."""
+    return join_star(totals, headers, accounts, cost_centers, periods).select(*SUMMARY_KEYS, *MEASURES)
+
+
+def budget_summary(
+    lines: DataFrame, headers: DataFrame, accounts: DataFrame, cost_centers: DataFrame, periods: DataFrame
+) -> DataFrame:
+    """Sums per budget, account, cost centre and period.
+
+    The attributes follow from the four ids, so the lines are grouped on the
+    ids alone and meet the dimensions afterwards.
+    """
+    return with_attributes(line_totals(lines), headers, accounts, cost_centers, periods)
 
 
 def _variance_columns(df: DataFrame, threshold_pct: float | None) -> DataFrame:

@@ -6,9 +6,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from finloom.operators import summary
+from finloom.operators import summary, summary_store
 from finloom.operators.consolidate import apply_eliminations, consolidate, elimination_pairs, final_amounts
-from finloom.operators.sinks import refresh_summary
 from finloom.plans.consolidation import consolidate_budget
 from finloom.queries.organisation import AS_OF, exploded
 from finloom.queries.registry import query
@@ -51,12 +50,45 @@ def budget_summary(t):
     return _summary(t)
 
 
+def _served(t, path, version=None):
+    totals = summary_store.stored_totals(t.spark, path, version)
+    return summary.with_attributes(totals, t.budget_header, t.gl_account, t.cost_center, t.fiscal_period)
+
+
 @query("summary_mv", _SUMMARY)
 def summary_mv(t):
-    """Stored summary: built for all budgets, then one budget refreshed."""
+    """Stored summary of an earlier state of the lines, brought up to date by the lines changed since.
+
+    Before, budget 1 lacked its lines of 1997 and every amount of budget 2 was a cent lower.
+    """
+    path = new_folder(t.spark, "summary-mv")
+    lines = t.budget_line_item
+    was_new = (F.col("header_id") == 1) & F.col("fiscal_period_id").between(25, 36)
+    earlier = lines.filter("header_id = 2").withColumn("original_amount", (F.col("original_amount") - F.lit("0.01").cast("decimal(19,4)")).cast("decimal(19,4)"))
+    summary_store.build(lines.filter((F.col("header_id") != 2) & ~was_new).unionByName(earlier), path)
+    summary_store.apply_changes(t.spark, path, added=lines.filter(was_new))
+    summary_store.apply_changes(t.spark, path, removed=earlier, added=lines.filter("header_id = 2"))
+    return _served(t, path)
+
+
+@query("summary_mv_removed", f"select * from ({_SUMMARY}) s where header_id <> 2")
+def summary_mv_removed(t):
+    """Stored summary after one budget lost all its lines."""
+    path = new_folder(t.spark, "summary-mv")
+    summary_store.build(t.budget_line_item, path)
+    summary_store.apply_changes(t.spark, path, removed=t.budget_line_item.filter("header_id = 2"))
+    return _served(t, path)
+
+
+@query("summary_mv_version", _SUMMARY)
+def summary_mv_version(t):
+    """The first version, read after a later one was written and while a third one has data but no manifest."""
     path = new_folder(t.spark, "summary-mv")
-    refresh_summary(_summary(t), path)
-    return refresh_summary(_summary(t), path, header_ids=[2])
+    summary_store.build(t.budget_line_item, path)
+    first = _served(t, path)
+    summary_store.apply_changes(t.spark, path, removed=t.budget_line_item.filter("header_id <> 3"))
+    summary_store.write_data(summary.line_totals(t.budget_line_item), path, 3)
+    return first
 
 
 _SIDES = """

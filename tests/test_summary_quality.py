@@ -6,8 +6,6 @@ import builders as b
 from finloom.functions.columns import with_model_columns
 from finloom.operators import summary
 from finloom.operators.quality import validate_model
-from finloom.operators.sinks import refresh_summary
-from finloom.session import new_folder
 
 
 def dims(spark):
@@ -35,19 +33,13 @@ def test_variance_cases(spark):
     assert b.collect(summary.budget_variance(frame, *dims(spark), 1, 2, account_type="R"), "cost_center_id") == [(1,), (2,)]
 
 
-def test_summary_and_refresh(spark):
+def test_summary(spark):
     frame = b.lines(spark, [(1, 10, 1, 1, 5), (2, 10, 1, 1, 6), (3, 10, 1, 1, 7, 2), (4, 99, 1, 1, 8)])
     headers = b.headers(spark, [{"header_id": 1}, {"header_id": 2, "budget_code": "C"}])
     accounts, centres, periods = dims(spark)
     result = summary.budget_summary(frame, headers, accounts, centres, periods)
     # account 99 is unknown and drops out
     assert b.collect(result, "header_id", "total_final_amount", "line_item_count") == [(1, 11, 2), (2, 7, 1)]
-    path = new_folder(spark, "test-mv")
-    refresh_summary(result, path)
-    more = b.lines(spark, [(1, 10, 1, 1, 500), (3, 10, 1, 1, 70, 2)])
-    changed = summary.budget_summary(more, headers, accounts, centres, periods)
-    stored = refresh_summary(changed, path, header_ids=[2])
-    assert b.collect(stored, "header_id", "total_final_amount") == [(1, 11), (2, 70)]
 
 
 def test_model_columns(spark):
