@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from finloom.functions.columns import effective_on
-from finloom.operators.sinks import insert_ignore
+from finloom.operators.sinks import insert_ignore, new_lines
 from finloom.schemas import FACTOR, FINAL, MONEY
 from finloom.session import materialise
 from finloom.sources.documents import rule_targets
@@ -230,9 +230,11 @@ def eligible_rules(rules: DataFrame, productive: DataFrame) -> DataFrame:
 
 
 class Allocation(NamedTuple):
+    """``lines`` and ``marked`` are None after a dry run."""
+
     results: DataFrame
-    lines: DataFrame
-    marked: DataFrame
+    lines: DataFrame | None
+    marked: DataFrame | None
     totals: DataFrame
 
 
@@ -297,11 +299,13 @@ def allocation_results(
     )
 
 
-def allocated_lines(results: DataFrame, header_id: int, target: DataFrame) -> DataFrame:
-    """Budget lines from allocation results that survive the natural key.
+def allocated_lines(results: DataFrame, header_id: int, target: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """New budget lines from allocation results that survive the natural key.
 
     Rows meeting on one key keep the first by rule sequence, rule, source
     line and target priority; rows whose key the budget already has are left out.
+    Ids follow the source lines; ``lines`` is the whole table when ``target``
+    is a part of it.
     """
     candidates = results.select(
         F.lit(header_id).alias("header_id"),
@@ -316,7 +320,8 @@ def allocated_lines(results: DataFrame, header_id: int, target: DataFrame) -> Da
         F.col("pct").alias("allocation_pct"),
         F.struct("sequence", "rule_id", "source_line_id", "priority", "target_cost_center_id").alias("_order"),
     )
-    return insert_ignore(candidates, target, "_order")
+    added = insert_ignore(candidates, target, "_order")
+    return new_lines(added, target if lines is None else lines, ["allocation_source_line_id", "gl_account_id", "cost_center_id", "fiscal_period_id"])
 
 
 def mark_allocated(lines: DataFrame, results: DataFrame) -> DataFrame:
@@ -337,12 +342,12 @@ def rule_totals(results: DataFrame) -> DataFrame:
 
 
 def allocate_costs(
-    lines: DataFrame, header_id: int, rules: DataFrame, cost_centers: DataFrame, accounts: DataFrame, **options
+    lines: DataFrame, header_id: int, rules: DataFrame, cost_centers: DataFrame, accounts: DataFrame, dry_run: bool = False, **options
 ) -> Allocation:
-    """Allocation of one budget: results, lines to insert, marked lines, rule totals.
-
-    A dry run reads ``results`` and leaves the other frames alone.
-    """
+    """Allocation of one budget: results, lines to insert, marked lines, rule totals; a dry run ends with results and totals."""
     budget = lines.filter(F.col("header_id") == header_id)
     results = allocation_results(budget, rules, cost_centers, accounts, **options)
-    return Allocation(results, allocated_lines(results, header_id, budget), mark_allocated(budget, results), rule_totals(results))
+    if dry_run:
+        return Allocation(results, None, None, rule_totals(results))
+    results = materialise(results, "allocated")
+    return Allocation(results, allocated_lines(results, header_id, budget, lines), mark_allocated(budget, results), rule_totals(results))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from finloom.operators.sinks import insert_ignore, upsert_actions
+from finloom.operators.sinks import new_lines
 from finloom.schemas import FINAL, LINE_KEY, MONEY
 from finloom.session import materialise
 
@@ -83,49 +83,55 @@ def duplicates_in_batch(resolved: DataFrame) -> DataFrame:
     return resolved.filter(_complete_key()).join(first, "row_id", "left_anti")
 
 
-def validate(
-    resolved: DataFrame,
-    accounts: DataFrame,
-    cost_centers: DataFrame,
-    periods: DataFrame,
-    target: DataFrame,
-    mode: str = "STRICT",
-    duplicates: str = "REJECT",
-) -> DataFrame:
-    """Staging rows with ``errors`` (code, message, column, severity), ``is_valid`` and ``validation_errors``.
-
-    All checks run in one pass over the rows. Keys are reduced to one row
-    each before they meet the target budget.
-    """
-    if mode == "NONE":
-        none = F.array().cast("array<struct<code:string,message:string,column_name:string,severity:string>>")
-        return (
-            resolved.withColumn("errors", none)
-            .withColumn("is_valid", F.lit(True))
-            .withColumn("validation_errors", F.lit(None).cast("string"))
-        )
-    existing = target.select(*LINE_KEY).distinct().withColumn("_exists", F.lit(True))
-    keys = first_rows(resolved).join(existing, LINE_KEY, "left")
-    joined = (
-        resolved.join(accounts.select("gl_account_id", "is_budgetable"), "gl_account_id", "left")
+def _with_flags(resolved: DataFrame, accounts: DataFrame, cost_centers: DataFrame, periods: DataFrame) -> DataFrame:
+    """Resolved rows with what the checks need to know of their account, cost centre and period."""
+    return (
+        resolved.join(accounts.select("gl_account_id", F.col("is_budgetable").alias("_budgetable")), "gl_account_id", "left")
         .join(cost_centers.select("cost_center_id", F.col("is_active").alias("_active")), "cost_center_id", "left")
-        .join(periods.select("fiscal_period_id", "is_closed"), "fiscal_period_id", "left")
-        .join(keys, LINE_KEY, "left")
+        .join(periods.select("fiscal_period_id", F.col("is_closed").alias("_closed")), "fiscal_period_id", "left")
+        .select(*resolved.columns, "_budgetable", "_active", "_closed")
     )
+
+
+def _rules(mode: str, duplicates: str) -> dict[str, tuple[Column, str]]:
+    """Condition and severity of each check; no check at all in mode NONE."""
+    if mode == "NONE":
+        return {}
     strict = "ERROR" if mode == "STRICT" else "WARNING"
-    rules = {
+    return {
         "MISSING_ACCOUNT": (F.col("gl_account_id").isNull(), strict),
         "MISSING_COSTCENTER": (F.col("cost_center_id").isNull(), strict),
         "MISSING_PERIOD": (F.col("fiscal_period_id").isNull(), strict),
         "INVALID_AMOUNT": (F.col("original_amount").isNull(), "ERROR"),
-        "NON_BUDGETABLE": (~F.col("is_budgetable"), "WARNING"),
+        "NON_BUDGETABLE": (~F.col("_budgetable"), "WARNING"),
         "INACTIVE_CC": (~F.col("_active"), strict),
-        "CLOSED_PERIOD": (F.col("is_closed"), "ERROR"),
+        "CLOSED_PERIOD": (F.col("_closed"), "ERROR"),
         "DUPLICATE_IN_BATCH": (F.col("row_id") != F.col("first_row_id"), "WARNING"),
-        "ALREADY_EXISTS": (F.col("_exists"), "ERROR" if duplicates == "REJECT" else "WARNING"),
+        "ALREADY_EXISTS": (F.col("_line_id").isNotNull(), "ERROR" if duplicates == "REJECT" else "WARNING"),
     }
+
+
+def _tagged(flagged: DataFrame, target: DataFrame, mode: str, duplicates: str) -> DataFrame:
+    """Rows with their errors and ``action``: INSERT, UPDATE, SKIP or REJECT.
+
+    Two reads of ``flagged``: keys are reduced to one row each, with the first
+    row and the row that would be written, before they meet the target budget.
+    """
+    rules = _rules(mode, duplicates)
+    sound = _complete_key() & F.col("original_amount").isNotNull()
+    for code, (condition, severity) in rules.items():
+        # these two depend on the key; the first is a warning, the second is the same for all rows of a key
+        if severity == "ERROR" and code not in ("DUPLICATE_IN_BATCH", "ALREADY_EXISTS"):
+            sound = sound & ~F.coalesce(condition, F.lit(False))
+    sound_id = F.when(sound, F.col("row_id"))
+    written = F.max(sound_id) if duplicates == "UPDATE" else F.min(sound_id)
+    existing = target.groupBy(*LINE_KEY).agg(F.min("line_id").alias("_line_id"))
+    keys = flagged.filter(_complete_key()).groupBy(*LINE_KEY).agg(F.min("row_id").alias("first_row_id"), written.alias("_written"))
+    joined = flagged.join(keys.join(existing, LINE_KEY, "left"), LINE_KEY, "left")
     checks = []
     for code, message, column in CHECKS:
+        if code not in rules:
+            continue
         condition, severity = rules[code]
         error = F.struct(
             F.lit(code).alias("code"),
@@ -134,20 +140,35 @@ def validate(
             F.lit(severity).alias("severity"),
         )
         checks.append(F.when(condition, error))
+    errors = F.array_compact(F.array(*checks)).cast("array<struct<code:string,message:string,column_name:string,severity:string>>")
+    text = F.array_join(F.transform("errors", lambda e: F.concat(e["code"], F.lit(": "), e["message"])), "; ")
+    importable = F.col("is_valid") & _complete_key() & F.col("original_amount").isNotNull()
+    there = F.col("_line_id").isNotNull()
+    chosen = F.col("row_id") == F.col("_written")
+    taken = F.when(there, "UPDATE").otherwise("INSERT") if duplicates == "UPDATE" else F.when(~there, "INSERT").otherwise("SKIP")
     return (
-        joined.withColumn("errors", F.array_compact(F.array(*checks)))
+        joined.withColumn("errors", errors)
         .withColumn("is_valid", ~F.exists("errors", lambda e: e["severity"] == "ERROR"))
-        .withColumn(
-            "validation_errors",
-            F.when(
-                F.size("errors") > 0,
-                F.array_join(F.transform("errors", lambda e: F.concat(e["code"], F.lit(": "), e["message"])), "; "),
-            ),
-        )
-        .select(*resolved.columns, "errors", "is_valid", "validation_errors")
+        .withColumn("validation_errors", F.when(F.size("errors") > 0, text))
+        .withColumn("action", F.when(~importable, "REJECT").when(chosen, taken).otherwise("SKIP"))
+        .drop("_budgetable", "_active", "_closed", "first_row_id", "_written")
     )
 
 
+def validate(
+    resolved: DataFrame,
+    accounts: DataFrame,
+    cost_centers: DataFrame,
+    periods: DataFrame,
+    target: DataFrame,
+    mode: str = "STRICT",
+    duplicates: str = "REJECT",
+) -> DataFrame:
+    """Staging rows with ``errors`` (code, message, column, severity), ``is_valid`` and ``validation_errors``."""
+    flagged = _with_flags(resolved, accounts, cost_centers, periods)
+    return _tagged(flagged, target, mode, duplicates).select(*resolved.columns, "errors", "is_valid", "validation_errors")
+
+
 def import_errors(validated: DataFrame) -> DataFrame:
     """One row per failed check."""
     return validated.select("row_id", F.inline("errors"))
@@ -185,7 +206,7 @@ def rejected_sample(validated: DataFrame, n: int = 100) -> DataFrame:
     )
 
 
-def importable_rows(validated: DataFrame, header_id: int, run_id: str) -> DataFrame:
+def importable_rows(validated: DataFrame, header_id: int, run_id: str, keep: list[str] | None = None) -> DataFrame:
     """Valid rows as budget lines; a row whose ids stayed unknown cannot become one."""
     adjusted = F.coalesce("adjusted_amount", F.lit(0).cast(MONEY)).cast(MONEY)
     return validated.filter(F.col("is_valid") & _complete_key() & F.col("original_amount").isNotNull()).select(
@@ -198,14 +219,24 @@ def importable_rows(validated: DataFrame, header_id: int, run_id: str) -> DataFr
         F.lit("BULK_IMPORT").alias("source_system"),
         F.lit(run_id).alias("source_reference"),
         "row_id",
+        *(keep or []),
     )
 
 
 class ImportResult(NamedTuple):
+    """``validated``: stored rows with errors and action; ``lines``: written lines with their ids; ``metrics``: counts of the run."""
+
     validated: DataFrame
     errors: DataFrame
     lines: DataFrame
     counts: DataFrame
+    metrics: dict[str, int]
+
+
+def _actions() -> list[Column]:
+    tags = {"inserted": "INSERT", "updated": "UPDATE", "skipped": "SKIP", "rejected": "REJECT"}
+    counted = [F.count_if(F.col("action") == tag).alias(name) for name, tag in tags.items()]
+    return [F.count(F.lit(1)).alias("total_rows"), F.count_if("is_valid").alias("valid_rows"), F.count_if(~F.col("is_valid")).alias("invalid_rows"), *counted]
 
 
 def import_budget(
@@ -219,29 +250,34 @@ def import_budget(
     mode: str = "STRICT",
     duplicates: str = "REJECT",
 ) -> ImportResult:
-    """One import run: validated rows, errors, resulting lines with their action, counts.
+    """One import run: validated rows, errors, written lines with their action, counts.
 
     REJECT and SKIP insert the first row of each new key; UPDATE writes the
     last row of each key. Rows that are valid but not written are skipped.
+
+    The source is read once. Its resolved rows are stored, every row gets its
+    tag in one pass over them, and the counts are observed while the tagged
+    rows are written; lines, errors and reports read the tagged rows. Inserted
+    lines are complete new lines, with ids in the order of the rows; updates
+    carry the id of the line they change.
     """
     target = lines.filter(F.col("header_id") == header_id)
     resolved = resolve_lookups(staging_rows(rows), accounts, cost_centers, periods)
-    validated = validate(resolved, accounts, cost_centers, periods, target, mode, duplicates)
-    ready = importable_rows(validated, header_id, run_id)
-    if duplicates == "UPDATE":
-        written = upsert_actions(ready, target, "row_id")
-    else:
-        written = insert_ignore(ready, target, "row_id").withColumn("action", F.lit("INSERT"))
-    done = written.agg(
-        F.count_if(F.col("action") == "INSERT").alias("inserted"), F.count_if(F.col("action") == "UPDATE").alias("updated")
+    flagged = materialise(_with_flags(resolved, accounts, cost_centers, periods), "resolved")
+    seen = Observation("import")
+    tagged = materialise(_tagged(flagged, target, mode, duplicates).observe(seen, *_actions()), "tagged")
+    # rows that hold nothing to count leave no observation
+    metrics = {name: seen.get.get(name) or 0 for name in ("total_rows", "rejected", "inserted", "updated", "skipped", "valid_rows", "invalid_rows")}
+    tags = ["row_id", "action"]
+    inserted = importable_rows(tagged.filter("action = 'INSERT'"), header_id, run_id, keep=["action"])
+    updated = importable_rows(tagged.filter("action = 'UPDATE'"), header_id, run_id, keep=["action", "_line_id"])
+    written = new_lines(inserted, lines, ["row_id"], keep=tags).unionByName(
+        updated.withColumnRenamed("_line_id", "line_id"), allowMissingColumns=True
     )
-    importable = F.col("is_valid") & _complete_key() & F.col("original_amount").isNotNull()
-    seen = validated.agg(F.count("*").alias("total_rows"), F.count_if(importable).alias("importable"))
-    counts = seen.select(
-        "total_rows",
-        (F.col("total_rows") - F.col("importable")).alias("rejected"),
-        done.select("inserted").scalar().alias("inserted"),
-        done.select("updated").scalar().alias("updated"),
-        (F.col("importable") - done.select(F.col("inserted") + F.col("updated")).scalar()).alias("skipped"),
+    counts = rows.sparkSession.createDataFrame(
+        [tuple(metrics[c] for c in COUNTS)], ", ".join(f"{c} long" for c in COUNTS)
     )
-    return ImportResult(validated, import_errors(validated), written, counts)
+    return ImportResult(tagged, import_errors(tagged), written, counts, metrics)
+
+
+COUNTS = ["total_rows", "rejected", "inserted", "updated", "skipped"]

@@ -1,11 +1,12 @@
-"""Writing budget lines: insert-ignore, upsert, partition overwrite."""
+"""Writing budget lines: new lines with their ids and defaults, insert-ignore, upsert, partition overwrite."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finloom.schemas import NATURAL_KEY
+from finloom.functions.identity import largest_id, with_new_ids
+from finloom.schemas import FINAL, MONEY, NATURAL_KEY
 from finloom.session import materialise
 
 
@@ -42,37 +43,52 @@ def upsert_actions(rows: DataFrame, target: DataFrame, order: str) -> DataFrame:
     )
 
 
-def upsert(rows: DataFrame, target: DataFrame, order: str) -> DataFrame:
-    """``target`` after the upsert: matched rows take the new amounts, others are added.
+# Columns that a new line has a default for.
+DEFAULTS = {"original_amount": 0, "adjusted_amount": 0, "is_allocated": False}
 
-    One full join on the natural key; rows are unique on both sides.
+
+def new_lines(rows: DataFrame, lines: DataFrame, order: list[str], keep: list[str] | None = None) -> DataFrame:
+    """``rows`` as complete new lines of the table ``lines``: all its columns, defaults, and ids above the largest one.
+
+    ``lines`` is the whole table, since ids are unique over all budgets; the
+    ids follow ``order``, integer columns that tell the rows apart. Every
+    writer of lines takes them from here. ``keep`` names further columns of
+    ``rows`` to carry along.
     """
-    fresh = first_per_key(rows, order, last=True)
-    updated = [c for c in UPDATED if c in fresh.columns and c in target.columns]
-    shared = [c for c in target.columns if c not in NATURAL_KEY]
-    old, new = target.withColumn("_old", F.lit(True)), fresh.withColumn("_new", F.lit(True))
-    for c in shared:
-        old = old.withColumnRenamed(c, f"_o_{c}")
-    for c in [c for c in fresh.columns if c not in NATURAL_KEY]:
-        new = new.withColumnRenamed(c, f"_n_{c}")
-    joined = old.join(new, NATURAL_KEY, "full")
+    numbered = with_new_ids(rows, order, largest_id(lines))
+
+    def value(name: str, kind):
+        if name == "final_amount":
+            amounts = [value(c, MONEY) for c in ("original_amount", "adjusted_amount")]
+            return (amounts[0] + amounts[1]).cast(FINAL)
+        given = F.col(name) if name in numbered.columns else F.lit(None)
+        default = F.lit(DEFAULTS[name]) if name in DEFAULTS else None
+        return (given if default is None else F.coalesce(given.cast(kind), default)).cast(kind)
+
+    return numbered.select(*[value(f.name, f.dataType).alias(f.name) for f in lines.schema], *(keep or []))
+
+
+def upsert(rows: DataFrame, target: DataFrame, order: str, lines: DataFrame | None = None) -> DataFrame:
+    """``target`` after the upsert: matched rows take the new amounts, others are added as new lines in the order of ``order``.
+
+    ``lines`` is the whole table when ``target`` is a part of it.
+    """
+    # the order is kept beside the rows: it numbers the new lines
+    actions = materialise(upsert_actions(rows.withColumn("_place", F.col(order)), target, order), "upsert")
+    updated = [c for c in UPDATED if c in rows.columns and c in target.columns]
+    changes = actions.filter("action = 'UPDATE'").select(*NATURAL_KEY, F.lit(True).alias("_new"), *[F.col(c).alias(f"_n_{c}") for c in updated])
 
     def value(c: str):
-        before, kind = F.col(f"_o_{c}"), target.schema[c].dataType
-        if c not in fresh.columns:
-            return before.alias(c)
-        after = F.col(f"_n_{c}").cast(kind)
+        kind = target.schema[c].dataType
+        if c == "final_amount":
+            return F.coalesce(F.when(F.col("_new"), (value("original_amount") + value("adjusted_amount")).cast(kind)), F.col(c))
         if c in updated:
-            return F.when(F.col("_new"), after).otherwise(before).alias(c)
-        return F.when(F.col("_old"), before).otherwise(after).alias(c)
-
-    result = joined.select(*NATURAL_KEY, *[value(c) for c in shared])
-    if "is_allocated" in shared:  # the default of a new line
-        result = result.withColumn("is_allocated", F.coalesce("is_allocated", F.lit(False)))
-    if "final_amount" in shared:
-        total = (F.col("original_amount") + F.col("adjusted_amount")).cast(target.schema["final_amount"].dataType)
-        result = result.withColumn("final_amount", total)
-    return result.select(*target.columns)
+            return F.when(F.col("_new"), F.col(f"_n_{c}").cast(kind)).otherwise(F.col(c))
+        return F.col(c)
+
+    kept = target.join(changes, NATURAL_KEY, "left").select(*[value(c).alias(c) for c in target.columns])
+    added = new_lines(actions.filter("action = 'INSERT'"), target if lines is None else lines, ["_place"])
+    return kept.unionByName(added.select(*target.columns))
 
 
 def append_lines(rows: DataFrame, path: str) -> None:

@@ -8,11 +8,11 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finloom.functions.ordering import lay_out, with_dense_index
-from finloom.operators.allocate import allocate_costs, allocated_lines, mark_allocated
+from finloom.operators.allocate import allocated_lines, allocation_results, mark_allocated
+from finloom.operators.sinks import new_lines
 from finloom.plans.consolidation import consolidate_budget
 from finloom.plans.reconciliation import reconcile_intercompany
-from finloom.schemas import NATURAL_KEY
+from finloom.schemas import LINE_KEY
 from finloom.session import materialise
 from finloom.sources.tables import cost_centers_as_of
 
@@ -167,8 +167,8 @@ def close_period(
             mode=elimination_mode, max_depth=max_depth,
         )
         frames["left_out_lines"] = result.left_out
-        # numbering also stores the lines, which the following steps read several times
-        with_ids = with_dense_index(lay_out(result.lines, NATURAL_KEY), "line_id").select("line_id", *result.lines.columns)
+        # stored, as the following steps read the lines several times
+        with_ids = materialise(new_lines(result.lines, lines, LINE_KEY), "consolidated")
         frames["consolidated_header"], frames["consolidated_lines"] = result.header, with_ids
         budget_lines, budget_header_id = with_ids, new_header_id
         metrics["consolidated_header_id"] = new_header_id
@@ -176,17 +176,16 @@ def close_period(
 
     def allocation(name: str) -> Step:
         nonlocal budget_lines
-        result = allocate_costs(
-            budget_lines, budget_header_id, rules, cost_centers, accounts, fiscal_period_id=fiscal_period_id
-        )
-        stored = materialise(result.results, "allocated")
         budget = budget_lines.filter(F.col("header_id") == budget_header_id)
-        new_lines = allocated_lines(stored, budget_header_id, budget)
-        frames["allocation_results"], frames["allocated_lines"] = stored, new_lines
+        results = allocation_results(budget, rules, cost_centers, accounts, fiscal_period_id=fiscal_period_id)
+        stored = materialise(results, "allocated")
+        # the consolidated lines are not part of the table yet, their ids are taken all the same
+        known = lines if budget_lines is lines else lines.unionByName(budget_lines)
+        added = allocated_lines(stored, budget_header_id, budget, known)
+        frames["allocation_results"], frames["allocated_lines"] = stored, added
         frames["marked_lines"] = mark_allocated(budget, stored)
         # reconciliation also sees the allocated lines
-        seen = ["line_id", *NATURAL_KEY, "final_amount"]
-        budget_lines = budget.select(*seen).unionByName(new_lines.select(*seen[1:]), allowMissingColumns=True)
+        budget_lines = budget.unionByName(added)
         return Step(name, "COMPLETED", stored.count(), None)
 
     def reconciliation(name: str) -> Step:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finloom.operators.importer import ImportResult, conditional_counts, import_error_summary, rejected_sample
+from finloom.operators.importer import ImportResult, import_error_summary, rejected_sample
 from finloom.operators.reconcile import LINK_KEY, PAIR_KEY, report_order
 from finloom.plans.close import Close
 
@@ -47,23 +47,23 @@ def reconciliation_xml(status: DataFrame, types: DataFrame, accounts: DataFrame)
 
 
 def import_report(result: ImportResult, run_id: str, source: str, header_id: int) -> DataFrame:
-    """One JSON document: counts, errors by type, first rejected rows."""
+    """One JSON document: counts, errors by type, first rejected rows with all their values."""
     by_code = import_error_summary(result.validated).agg(
         F.array_sort(F.collect_list(F.struct("code", "error_count", "max_severity"))).alias("error_summary")
     )
-    sample = rejected_sample(result.validated).agg(
-        F.array_sort(F.collect_list(F.struct("row_id", "account_number", "cost_center_code", "validation_errors"))).alias("sample")
-    )
-    summary = conditional_counts(result.validated)
-    return summary.select(
+    sample = rejected_sample(result.validated)
+    listed = sample.agg(F.array_sort(F.collect_list(F.struct(*sample.columns))).alias("sample"))
+    names = ["total_rows", "valid_rows", "invalid_rows", "inserted", "updated", "skipped", "rejected"]
+    counts = F.struct(*[F.lit(result.metrics[n]).cast("long").alias(n) for n in names])
+    return by_code.select(
         F.to_json(
             F.struct(
                 F.lit(run_id).alias("batch_id"),
                 F.lit(source).alias("source"),
                 F.lit(header_id).alias("target_header_id"),
-                F.struct("total_rows", "valid_rows", "invalid_rows").alias("summary"),
-                by_code.scalar().alias("error_summary"),
-                sample.scalar().alias("rejected_sample"),
+                counts.alias("summary"),
+                "error_summary",
+                listed.scalar().alias("rejected_sample"),
             )
         ).alias("document")
     )

@@ -8,6 +8,7 @@ from finloom.operators import allocate
 from finloom.operators.hierarchy import rule_closure
 from finloom.queries.organisation import AS_OF
 from finloom.queries.registry import query
+from finloom.schemas import LINE_KEY
 from finloom.sources.documents import rule_targets
 
 
@@ -117,7 +118,7 @@ _FACTORED = """
 _REQUESTS = """
  select c.parent_id as source_id, c.cost_center_id as target_id, b.basis, p.fiscal_period_id
    from cost_center c, fiscal_period p, (select unnest(['REVENUE', 'EXPENSE', 'HEADCOUNT', 'EQUAL', 'OTHER']) as basis) b
-  where c.parent_id is not null and p.fiscal_year = 1997
+  where c.parent_id is not null
 """
 
 
@@ -126,8 +127,8 @@ _REQUESTS = """
     f"select source_id, target_id, basis, fiscal_period_id, factor from ({_FACTORED.format(requests=_REQUESTS)}) f",
 )
 def allocation_factor(t):
-    """Factor of every child under its parent, for all bases and the months of one year."""
-    months = t.fiscal_period.filter("fiscal_year = 1997").agg(F.collect_list("fiscal_period_id")).scalar()
+    """Factor of every child under its parent, for all bases and all periods of the calendar."""
+    months = t.fiscal_period.agg(F.collect_list("fiscal_period_id")).scalar()
     bases = F.array(*[F.lit(b) for b in ("REVENUE", "EXPENSE", "HEADCOUNT", "EQUAL", "OTHER")])
     requests = (
         t.cost_center.filter(F.col("parent_id").isNotNull())
@@ -194,7 +195,9 @@ def mark_allocated(t):
 
 @query(
     "allocated_lines",
-    f"""select gl_account_id, cost_center_id, fiscal_period_id, original_amount, allocation_source_line_id from (
+    f"""select (select max(line_id) from budget_line_item) + row_number() over (order by allocation_source_line_id, gl_account_id, cost_center_id, fiscal_period_id) as line_id,
+               gl_account_id, cost_center_id, fiscal_period_id, original_amount, original_amount::decimal(20,4) as final_amount,
+               allocation_source_line_id, true as is_allocated from (
           select target_gl_account_id as gl_account_id, target_cost_center_id as cost_center_id, fiscal_period_id, amount as original_amount,
                  source_line_id as allocation_source_line_id,
                  row_number() over (partition by target_gl_account_id, target_cost_center_id, fiscal_period_id
@@ -204,5 +207,6 @@ def mark_allocated(t):
     inline=True,
 )
 def allocated_lines(t):
+    """Lines an allocation inserts, with the ids they get."""
     run = allocate.allocate_costs(t.budget_line_item, 1, t.allocation_rule, t.cost_center, t.gl_account)
-    return run.lines.select("gl_account_id", "cost_center_id", "fiscal_period_id", "original_amount", "allocation_source_line_id")
+    return run.lines.select("line_id", *LINE_KEY, "original_amount", "final_amount", "allocation_source_line_id", "is_allocated")

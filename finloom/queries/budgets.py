@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from finloom.operators import summary, summary_store
 from finloom.operators.consolidate import apply_eliminations, consolidate, elimination_pairs, final_amounts
+from finloom.operators.sinks import append_lines, insert_ignore, new_lines
 from finloom.plans.consolidation import consolidate_budget
 from finloom.queries.organisation import AS_OF, exploded
 from finloom.queries.registry import query
+from finloom.schemas import LINE_KEY, NATURAL_KEY
 from finloom.session import new_folder
 
 _STAR = """
@@ -254,26 +256,22 @@ def consolidate_all(t):
 
 @query(
     "sink_results",
-    f"""select 900 as header_id, count(*) as lines, sum(consolidated_amount)::decimal(38,4) as original_amount from ({_CONSOLIDATED}) c
-         where consolidated_amount <> 0""",
+    f"""select (select max(line_id) from budget_line_item) + row_number() over (order by gl_account_id, cost_center_id, fiscal_period_id) as line_id,
+               900 as header_id, gl_account_id, cost_center_id, fiscal_period_id, consolidated_amount::decimal(19,4) as original_amount,
+               0::decimal(19,4) as adjusted_amount, 'CONSOLIDATION_PROC' as source_system, false as is_allocated
+          from ({_CONSOLIDATED}) c where consolidated_amount <> 0""",
 )
 def sink_results(t):
-    """Consolidated lines without eliminations, appended to a stored table twice; the second append finds them there."""
-    from finloom.operators.sinks import append_lines, insert_ignore
-
+    """Consolidated lines without eliminations, appended with their ids to the stored table twice; the second append finds them there."""
     run = consolidate_budget(
         t.budget_line_item, t.budget_header, t.gl_account, t.cost_center, 1, 900, AS_OF, "run-1", dt.datetime(2001, 6, 30),
         include_eliminations=False,
     )
-    path = new_folder(t.spark, "results")
-    order = F.struct("gl_account_id", "cost_center_id", "fiscal_period_id")
-    lines = run.lines.withColumn("_order", order)
-    append_lines(run.lines, path)
-    stored = t.spark.read.schema(run.lines.schema).parquet(path)
-    append_lines(insert_ignore(lines, stored, "_order"), path)
-    return (
-        t.spark.read.schema(run.lines.schema)
-        .parquet(path)
-        .groupBy("header_id")
-        .agg(F.count("*").alias("lines"), F.sum("original_amount").cast("decimal(38,4)").alias("original_amount"))
-    )
+    path, schema = new_folder(t.spark, "results"), t.budget_line_item.schema
+    append_lines(t.budget_line_item, path)
+    candidates = run.lines.withColumn("_order", F.struct(*LINE_KEY))
+    for _ in range(2):
+        stored = t.spark.read.schema(schema).parquet(path)
+        append_lines(new_lines(insert_ignore(candidates, stored, "_order"), stored, LINE_KEY), path)
+    after = t.spark.read.schema(schema).parquet(path).filter("header_id = 900")
+    return after.select("line_id", *NATURAL_KEY, "original_amount", "adjusted_amount", "source_system", "is_allocated")

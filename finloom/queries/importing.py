@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from finloom.operators import importer
-from finloom.operators.sinks import append_lines, insert_ignore, overwrite_budgets, upsert, upsert_actions
+from finloom.operators.sinks import append_lines, insert_ignore, new_lines, overwrite_budgets, upsert, upsert_actions
 from finloom.plans.reports import import_report
 from finloom.queries.registry import query
 from finloom.schemas import LINE_KEY
@@ -166,12 +166,18 @@ def _ready(t):
     return importer.importable_rows(_validated(t, "LENIENT", "UPDATE"), HEADER, RUN)
 
 
+_NEXT_ID = "(select max(line_id) from budget_line_item) + row_number() over (order by row_id)"
+
+
 @query(
     "sink_insert_ignore",
-    f"select gl_account_id, cost_center_id, fiscal_period_id, original_amount, adjusted_amount from ({_NEW_ROWS}) n",
+    f"""select {_NEXT_ID} as line_id, gl_account_id, cost_center_id, fiscal_period_id, original_amount, adjusted_amount,
+               (original_amount + adjusted_amount)::decimal(20,4) as final_amount, false as is_allocated from ({_NEW_ROWS}) n""",
 )
 def sink_insert_ignore(t):
-    return insert_ignore(_ready(t), _target(t), "row_id").select(*LINE_KEY, "original_amount", "adjusted_amount")
+    """New lines as they are inserted: first row of each new key, with ids above the table's and the defaults."""
+    added = new_lines(insert_ignore(_ready(t).withColumn("_place", F.col("row_id")), _target(t), "row_id"), t.budget_line_item, ["_place"])
+    return added.select("line_id", *LINE_KEY, "original_amount", "adjusted_amount", "final_amount", "is_allocated")
 
 
 @query(
@@ -185,21 +191,23 @@ def sink_upsert(t):
 
 @query(
     "sink_upsert_table",
-    f"""select coalesce(l.gl_account_id, n.gl_account_id) as gl_account_id, coalesce(l.cost_center_id, n.cost_center_id) as cost_center_id,
-               coalesce(l.fiscal_period_id, n.fiscal_period_id) as fiscal_period_id,
-               coalesce(n.original_amount, l.original_amount) as original_amount,
-               (coalesce(n.original_amount, l.original_amount) + coalesce(n.adjusted_amount, l.adjusted_amount))::decimal(20,4) as final_amount
-          from (select * from budget_line_item where header_id = 3) l full join ({_LAST_ROWS}) n
-            on l.gl_account_id = n.gl_account_id and l.cost_center_id = n.cost_center_id and l.fiscal_period_id = n.fiscal_period_id""",
+    f"""select l.line_id, l.gl_account_id, l.cost_center_id, l.fiscal_period_id, coalesce(n.original_amount, l.original_amount) as original_amount,
+               (coalesce(n.original_amount, l.original_amount) + coalesce(n.adjusted_amount, l.adjusted_amount))::decimal(20,4) as final_amount,
+               false as is_allocated
+          from (select * from budget_line_item where header_id = 3) l left join ({_LAST_ROWS}) n
+            on l.gl_account_id = n.gl_account_id and l.cost_center_id = n.cost_center_id and l.fiscal_period_id = n.fiscal_period_id
+        union all
+        select line_id, gl_account_id, cost_center_id, fiscal_period_id, original_amount, (original_amount + adjusted_amount)::decimal(20,4), false
+          from (select {_NEXT_ID} as line_id, * from ({_LAST_ROWS}) x where not present) a""",
 )
 def sink_upsert_table(t):
     """The stored target after its budget folder was replaced by the upsert's result."""
     path = new_folder(t.spark, "upsert")
     append_lines(t.budget_line_item, path)
     stored = t.spark.read.schema(t.budget_line_item.schema).parquet(path)
-    overwrite_budgets(upsert(_ready(t), stored.filter(F.col("header_id") == HEADER), "row_id"), path)
+    overwrite_budgets(upsert(_ready(t), stored.filter(F.col("header_id") == HEADER), "row_id", stored), path)
     after = t.spark.read.schema(t.budget_line_item.schema).parquet(path).filter(F.col("header_id") == HEADER)
-    return after.select(*LINE_KEY, "original_amount", "final_amount")
+    return after.select("line_id", *LINE_KEY, "original_amount", "final_amount", "is_allocated")
 
 
 @query(
@@ -217,6 +225,23 @@ def import_budget(t):
     return run.counts
 
 
+@query(
+    "import_lines",
+    f"""select case when present then l.line_id else a.line_id end as line_id, n.gl_account_id, n.cost_center_id, n.fiscal_period_id,
+               (n.original_amount + n.adjusted_amount)::decimal(20,4) as final_amount, case when present then 'UPDATE' else 'INSERT' end as action, n.row_id
+          from ({_LAST_ROWS}) n
+          left join (select row_id, {_NEXT_ID} as line_id from ({_LAST_ROWS}) x where not present) a on n.row_id = a.row_id
+          left join (select * from budget_line_item where header_id = 3) l on n.gl_account_id = l.gl_account_id
+           and n.cost_center_id = l.cost_center_id and n.fiscal_period_id = l.fiscal_period_id""",
+)
+def import_lines(t):
+    """Written lines of an import with the ids they get or have, the row they come from and their action."""
+    run = importer.import_budget(
+        t.import_staging, HEADER, t.budget_line_item, t.gl_account, t.cost_center, t.fiscal_period, RUN, "LENIENT", "UPDATE"
+    )
+    return run.lines.select("line_id", *LINE_KEY, "final_amount", "action", "row_id")
+
+
 @query("nested_report_import")
 def nested_report_import(t):
     run = importer.import_budget(

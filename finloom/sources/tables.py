@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from finloom.schemas import IMPORT_CODES, IMPORT_ROWSET
+from finloom.session import materialise
 
 BAD_LINE = "_bad_line"
 
@@ -23,7 +24,8 @@ def read_csv(
     """Comma-separated UTF-8 file with a header line.
 
     Lines that do not fit the schema go to ``<path>.errors``; more than
-    ``max_errors`` of them fail the load.
+    ``max_errors`` of them fail the load. The file is read once: its rows are
+    stored with the text of the bad lines, which are counted on the way.
     """
     names = schema.fieldNames()
     texts = T.StructType([*[T.StructField(n, T.StringType()) for n in names], T.StructField(BAD_LINE, T.StringType())])
@@ -40,14 +42,15 @@ def read_csv(
     broken = F.col(BAD_LINE).isNotNull()
     for field in schema.fields:
         broken = broken | (F.col(field.name).isNotNull() & F.col(field.name).try_cast(field.dataType).isNull())
-    target = error_path or f"{path.rstrip('/')}.errors"
-    bad = rows.filter(broken).select(F.coalesce(F.col(BAD_LINE), F.to_csv(F.struct(*names))).alias("value"))
-    bad.write.mode("overwrite").text(target)
-    if max_errors is not None:
-        count = spark.read.text(target).count()
-        if count > max_errors:
-            raise ValueError(f"{count} lines of {path} do not fit the schema; at most {max_errors} may")
-    return rows.filter(~broken).select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
+    line = F.when(broken, F.coalesce(F.col(BAD_LINE), F.to_csv(F.struct(*names))))
+    seen = Observation("csv")
+    typed = rows.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields], line.alias(BAD_LINE))
+    stored = materialise(typed.observe(seen, F.count(BAD_LINE).alias("bad")), "csv")
+    bad = seen.get.get("bad") or 0
+    stored.filter(F.col(BAD_LINE).isNotNull()).select(F.col(BAD_LINE).alias("value")).write.mode("overwrite").text(error_path or f"{path.rstrip('/')}.errors")
+    if max_errors is not None and bad > max_errors:
+        raise ValueError(f"{bad} lines of {path} do not fit the schema; at most {max_errors} may")
+    return stored.filter(F.col(BAD_LINE).isNull()).select(*names)
 
 
 def read_rowset(rows: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from finloom.operators import importer
-from finloom.operators.sinks import append_lines, insert_ignore, overwrite_budgets, upsert
+from finloom.operators.sinks import append_lines, insert_ignore, overwrite_budgets, upsert, upsert_actions
 from finloom.schemas import IMPORT_CODES
 from finloom.session import new_folder
 from finloom.sources.tables import read_csv, read_rowset, read_staging_table
@@ -174,3 +174,46 @@ def test_upsert_and_partition_overwrite(spark):
     assert b.collect(after, "header_id", "fiscal_period_id", "final_amount") == [(1, 1, 5), (1, 2, 60), (1, 3, 90), (2, 1, 70)]
     assert after.filter("fiscal_period_id = 2").first()["line_id"] == 2
     assert after.filter("is_allocated IS NULL").isEmpty()
+
+
+def test_lines_carry_ids_and_rows(spark, world):
+    result = run(spark, world, duplicates="UPDATE")
+    # ids go on above the largest of the whole table, in the order of the rows; an update keeps its line's id
+    assert b.collect(result.lines, "row_id", "line_id", "action", "header_id", "is_allocated") == [
+        (6, 102, "INSERT", 1, False), (9, 100, "UPDATE", 1, None), (10, 103, "INSERT", 1, False)]
+    assert b.collect(result.validated, "row_id", "action") == [
+        (i, {6: "INSERT", 9: "UPDATE", 10: "INSERT", 1: "SKIP"}.get(i, "REJECT")) for i in range(1, 12)]
+
+
+@pytest.mark.parametrize("mode", ["STRICT", "LENIENT", "NONE"])
+@pytest.mark.parametrize("duplicates", ["REJECT", "SKIP", "UPDATE"])
+def test_tags_agree_with_the_single_sinks(spark, world, mode, duplicates):
+    result = run(spark, world, mode=mode, duplicates=duplicates)
+    target = world["lines"].filter("header_id = 1")
+    ready = importer.importable_rows(result.validated, 1, "r")
+    if duplicates == "UPDATE":
+        want = upsert_actions(ready, target, "row_id")
+    else:
+        want = insert_ignore(ready, target, "row_id").withColumn("action", F.lit("INSERT"))
+    columns = ["gl_account_id", "cost_center_id", "fiscal_period_id", "original_amount", "action"]
+    assert b.collect(result.lines, *columns) == b.collect(want, *columns)
+    counts = result.counts.first().asDict()
+    assert counts["total_rows"] == 11 == counts["rejected"] + counts["inserted"] + counts["updated"] + counts["skipped"]
+    assert counts["rejected"] == 11 - ready.count() and counts["inserted"] + counts["updated"] == want.count()
+
+
+def test_import_of_no_rows(spark, world):
+    result = run(spark, world, rows=[])
+    assert result.counts.first().asDict() == dict.fromkeys(importer.COUNTS, 0)
+    assert result.lines.isEmpty() and result.errors.isEmpty()
+
+
+def test_the_source_is_scanned_once(spark, world, tmp_path):
+    path = str(tmp_path / "staging")
+    staged(spark, ROWS).write.parquet(path)
+    source = spark.read.parquet(path)
+    resolved = importer._with_flags(importer.resolve_lookups(importer.staging_rows(source), *[world[k] for k in ("accounts", "cost_centers", "periods")]), *[world[k] for k in ("accounts", "cost_centers", "periods")])
+    assert resolved._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    result = importer.import_budget(source, 1, run_id="r", **world)
+    for frame in (result.validated, result.errors, result.lines, result.counts):
+        assert not any(path in f for f in frame.inputFiles())
