@@ -5,37 +5,26 @@ from __future__ import annotations
 import datetime as dt
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from finloom.functions.columns import effective_on
+from finloom.functions.patterns import like, matches_all, pattern_pairs
 from finloom.operators.sinks import insert_ignore, new_lines
 from finloom.schemas import FACTOR, FINAL, MONEY
 from finloom.session import materialise
 from finloom.sources.documents import rule_targets
 
 
-def like_escaped(text: str, pattern: str) -> Column:
-    """``text LIKE pattern`` with a pattern column and backslash as escape."""
-    return F.expr(f"{text} LIKE {pattern} ESCAPE '\\\\'")
-
-
 def pattern_matches(rules: DataFrame, pattern: str, dimension: DataFrame, key: str, text: str) -> DataFrame:
-    """(rule_id, key): dimension rows whose ``text`` matches the rule's LIKE pattern.
+    """(rule_id, key): dimension rows whose ``text`` matches the rule's LIKE pattern; a null pattern matches everything, like ``%``.
 
-    The literal start of a pattern is joined by equality with equally long
-    starts of the texts, and LIKE decides among those candidates. A null
-    pattern matches everything, like ``%``.
+    Distinct patterns are matched with the texts once, through an index of
+    their literals.
     """
-    literal = F.regexp_extract(F.col("pattern"), r"^[^%_\\\\]*", 0)
-    wanted = rules.select("rule_id", F.coalesce(pattern, F.lit("%")).alias("pattern"))
-    wanted = wanted.withColumn("start", literal).withColumn("start_len", F.length("start"))
-    lengths = wanted.select("start_len").distinct()
-    starts = dimension.select(key, F.col(text).alias("text"), F.explode(F.sequence(F.lit(0), F.length(text))).alias("start_len"))
-    candidates = starts.join(F.broadcast(lengths), "start_len", "left_semi").withColumn(
-        "start", F.substring(F.col("text"), F.lit(1), F.col("start_len"))
-    )
-    return candidates.join(wanted, ["start_len", "start"]).filter(like_escaped("text", "pattern")).select("rule_id", key)
+    wanted = rules.select("rule_id", F.when(matches_all(F.col(pattern)), "%").otherwise(F.col(pattern)).alias("pattern"))
+    texts = dimension.select(key, F.coalesce(text, F.lit("")).alias("text"))
+    return pattern_pairs(wanted.select("pattern"), texts).join(wanted, "pattern").select("rule_id", key)
 
 
 def active_rules(rules: DataFrame, rule_ids: list[int] | None = None, as_of: dt.date | None = None) -> DataFrame:
@@ -54,30 +43,39 @@ def parse_rule_ids(text: str | None) -> list[int] | None:
 
 
 class RuleMatches(NamedTuple):
-    """Dimension rows each rule takes its lines from."""
+    """Dimension rows each rule takes its lines from, and the accounts of each account pattern."""
 
     by_centre: DataFrame
     by_account: DataFrame
+    pattern_accounts: DataFrame
 
 
 def rule_matches(rules: DataFrame, cost_centers: DataFrame, accounts: DataFrame) -> RuleMatches:
-    """Rules that name or describe cost centres with those, all other rules with the accounts they describe."""
+    """Rules that name or describe cost centres with those, all other rules with the accounts they describe.
+
+    A pattern that every text matches counts as none.
+    """
     numbers = accounts.select("gl_account_id", "account_number")
     centre = cost_centers.select("cost_center_id", "code")
+    for pattern in ("cc_pattern", "account_pattern"):
+        rules = rules.withColumn(pattern, F.when(~matches_all(F.col(pattern)), F.col(pattern)))
     detail = rules.select("rule_id", "sequence", "depends_on", "basis", "rounding", "account_pattern")
     named = (
         rules.join(centre, F.col("source_cost_center_id") == F.col("cost_center_id"))
-        .filter(F.col("cc_pattern").isNull() | like_escaped("code", "cc_pattern"))
+        .filter(F.col("cc_pattern").isNull() | like(F.col("code"), F.col("cc_pattern")))
         .select("rule_id", "cost_center_id")
     )
     described = rules.filter(F.col("source_cost_center_id").isNull() & F.col("cc_pattern").isNotNull())
     by_centre = named.unionByName(pattern_matches(described, "cc_pattern", centre, "cost_center_id", "code"))
     anywhere = rules.filter(F.col("source_cost_center_id").isNull() & F.col("cc_pattern").isNull())
     by_account = pattern_matches(anywhere, "account_pattern", numbers, "gl_account_id", "account_number")
+    texts = numbers.select("gl_account_id", F.col("account_number").alias("text"))
+    pairs = pattern_pairs(rules.select(F.col("account_pattern").alias("pattern")), texts)
     # stored, because their true size decides how the lines meet them
     return RuleMatches(
         materialise(by_centre.join(detail, "rule_id"), "rule-centres"),
         materialise(by_account.join(detail, "rule_id"), "rule-accounts"),
+        materialise(pairs.select(F.col("pattern").alias("account_pattern"), "gl_account_id"), "pattern-accounts"),
     )
 
 
@@ -94,16 +92,16 @@ def attach_rules(rows: DataFrame, matches: RuleMatches, cost_centers: DataFrame,
 
     Equality joins on ids only; what is left of a rule is a row filter.
     """
-    numbers = accounts.select("gl_account_id", "account_number")
+    known = accounts.select("gl_account_id")
     centres = cost_centers.select("cost_center_id")
-    through_centre = (
-        rows.join(matches.by_centre, "cost_center_id")
-        .join(numbers, "gl_account_id")
-        .filter(F.col("account_pattern").isNull() | like_escaped("account_number", "account_pattern"))
+    at_centre = rows.join(matches.by_centre, "cost_center_id")
+    columns = [*rows.columns, "rule_id", "sequence", "depends_on", "basis", "rounding"]
+    any_account = at_centre.filter("account_pattern IS NULL").join(known, "gl_account_id", "left_semi")
+    through_centre = any_account.select(*columns).unionByName(
+        at_centre.join(matches.pattern_accounts, ["account_pattern", "gl_account_id"], "left_semi").select(*columns)
     )
     through_account = rows.join(matches.by_account, "gl_account_id").join(centres, "cost_center_id", "left_semi")
-    columns = [*rows.columns, "rule_id", "sequence", "depends_on", "basis", "rounding"]
-    return through_centre.select(*columns).unionByName(through_account.select(*columns))
+    return through_centre.unionByName(through_account.select(*columns))
 
 
 def rule_sources(

@@ -46,6 +46,28 @@ def pattern_filter(t):
     return allocate.pattern_matches(rules, "account_pattern", t.gl_account, "gl_account_id", "account_number")
 
 
+@query(
+    "pattern_filter_sets",
+    """
+    select r.cost_center_id as rule_id, c.cost_center_id from cost_center r join cost_center c on case
+      when r.cost_center_id > 1000 then c.code like concat('%S', r.cost_center_id - 1000)
+      when r.cost_center_id > 100 then regexp_full_match(c.code, concat('R[', substr(r.code, 2, 1), '-4]', substr(r.code, 3), '-S.*[^02468]'))
+      when r.cost_center_id > 10 then regexp_full_match(c.code, '[^A]..*[0-2]') else true end
+    """,
+)
+def pattern_filter_sets(t):
+    """Centres matched by patterns made of every centre's code: a leading wildcard per supplier, sets per nation, no literal per region, null for the root."""
+    rule, code = F.col("cost_center_id"), F.col("code")
+    at_nation = F.concat(F.lit("R["), code.substr(2, 1), F.lit("-4]"), F.expr("substr(code, 3)"), F.lit("-S%[^02468]"))
+    pattern = (
+        F.when(rule > 1000, F.concat(F.lit("%S"), (rule - 1000).cast("string")))
+        .when(rule > 100, at_nation)
+        .when(rule > 10, F.lit("[^A]_%[0-2]"))
+    )
+    rules = t.cost_center.select(rule.alias("rule_id"), pattern.alias("pattern"))
+    return allocate.pattern_matches(rules, "pattern", t.cost_center, "cost_center_id", "code")
+
+
 @query(
     "rule_closure",
     """
