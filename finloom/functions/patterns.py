@@ -12,141 +12,103 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Longest pieces of literals that are looked up.
-GRAM = 4
+GRAM = 6
 #: Patterns without any literal meet the texts in this many groups.
 SPREAD = 64
 
-_NOTHING = "(?!)"
-_TOKENS = r"(?s)\\.|\[(?:\\.|[^\]\\])*\]|."
-_MEMBERS = r"(?s)(?:\\.|[^\\])-(?:\\.|[^\\])|\\.|."
+# SQL texts: expressions of this size are parsed faster than they are put together from columns.
+_BACKSLASH = "chr(92)"
+_TOKENS = r"regexp_extract_all({0}, r'(?s)\\.|\[(?:\\.|[^\]\\])*\]|.', 0)"
+_MEMBERS = r"regexp_extract_all({0}, r'(?s)(?:\\.|[^\\])-(?:\\.|[^\\])|\\.|.', 0)"
 
 
-def _tokens(pattern: Column) -> Column:
-    """The pattern's escapes, sets, wildcards and characters in order."""
-    return F.regexp_extract_all(pattern, F.lit(_TOKENS), F.lit(0))
+def _bare(token: str) -> str:
+    """The character of an escape, any other token as it is."""
+    return f"if(length({token}) = 2 and substr({token}, 1, 1) = {_BACKSLASH}, substr({token}, 2, 1), {token})"
 
 
-def _escaped(token: Column) -> Column:
-    return token.startswith("\\") & (F.length(token) == 2)
+def _quoted(character: str) -> str:
+    return rf"if({character} rlike r'^[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]$', concat({_BACKSLASH}, {character}), {character})"
 
 
-def _set(token: Column) -> Column:
-    return token.startswith("[") & (F.length(token) > 1)
-
-
-def _character(token: Column) -> Column:
+def _character(token: str) -> str:
     """The character a literal token stands for, null for any other token."""
-    literal = ~token.isin("%", "_", "[", "\\") & ~_set(token)
-    return F.when(_escaped(token), F.substring(token, 2, 1)).when(literal, token)
-
-
-def _quoted(character: Column) -> Column:
-    return F.when(character.rlike(r"^[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]$"), F.concat(F.lit("\\"), character)).otherwise(character)
-
-
-def _set_regex(token: Column) -> Column:
-    inner = token.substr(F.lit(2), F.length(token) - 2)
-    negated = inner.startswith("^")
-    members = F.regexp_extract_all(F.when(negated, inner.substr(F.lit(2), F.length(inner))).otherwise(inner), F.lit(_MEMBERS), F.lit(0))
-
-    def bare(part: Column) -> Column:
-        return F.when(_escaped(part), F.substring(part, 2, 1)).otherwise(part)
-
-    def member(m: Column) -> Column:
-        low, high = bare(F.regexp_extract(m, r"(?s)^(\\.|[^\\])-", 1)), bare(F.regexp_extract(m, r"(?s)-(\\.|[^\\])$", 1))
-        a_range = (F.length(m) > 2) & (F.length(low) == 1) & (F.length(high) == 1)
-        between = F.when(low <= high, F.concat(_quoted(low), F.lit("-"), _quoted(high))).otherwise(F.lit(""))
-        return F.when(a_range, between).otherwise(_quoted(bare(m)))
-
-    listed = F.array_join(F.transform(members, member), "")
-    some = F.when(negated, F.concat(F.lit("[^"), listed, F.lit("]"))).otherwise(F.concat(F.lit("["), listed, F.lit("]")))
-    return F.when(listed != "", some).when(negated & (F.size(members) > 0), F.lit(r"[\s\S]")).otherwise(F.lit(_NOTHING))
+    return f"if({token} in ('%', '_', '[', {_BACKSLASH}) or (length({token}) > 1 and substr({token}, 1, 1) = '['), null, {_bare(token)})"
 
 
-def like_regex(pattern: Column) -> Column:
-    """The regular expression of a LIKE pattern, for whole texts."""
+def _set_regex(token: str) -> str:
+    first = f"if(substr({token}, 2, 1) = '^', 3, 2)"
+    inner = f"substr({token}, {first}, length({token}) - {first})"
+    low, high = _bare(r"regexp_extract(m, r'(?s)^(\\.|[^\\])-', 1)"), _bare(r"regexp_extract(m, r'(?s)-(\\.|[^\\])$', 1)")
+    of_range = f"if({low} <= {high}, concat({_quoted(low)}, '-', {_quoted(high)}), '')"
+    member = rf"if(m rlike r'(?s)^(?:\\.|[^\\])-(?:\\.|[^\\])$', {of_range}, {_quoted(_bare('m'))})"
+    listed = f"array_join(transform({_MEMBERS.format(inner)}, m -> {member}), '')"
+    return rf"""case when {listed} <> '' then concat(if({first} = 3, '[^', '['), {listed}, ']')
+                     when {first} = 3 and {inner} <> '' then r'[\s\S]' else '(?!)' end"""
 
-    def part(token: Column) -> Column:
-        return (
-            F.when(token == "%", F.lit(r"[\s\S]*"))
-            .when(token == "_", F.lit(r"[\s\S]"))
-            .when(_set(token), _set_regex(token))
-            .when(_character(token).isNotNull(), _quoted(_character(token)))
-            .otherwise(F.lit(_NOTHING))
-        )
 
-    return F.concat(F.lit(r"\A"), F.array_join(F.transform(_tokens(pattern), part), ""), F.lit(r"\z"))
+def like_regex(pattern: str) -> Column:
+    """The regular expression of a LIKE pattern, a column name, for whole texts."""
+    part = rf"""case when t = '%' then r'[\s\S]*' when t = '_' then r'[\s\S]' when t in ('[', {_BACKSLASH}) then '(?!)'
+                      when length(t) > 1 and substr(t, 1, 1) = '[' then {_set_regex("t")} else {_quoted(_bare("t"))} end"""
+    return F.expr(rf"concat(r'\A', array_join(transform({_TOKENS.format(pattern)}, t -> {part}), ''), r'\z')")
 
 
-def like(text: Column, pattern: Column) -> Column:
-    """``text LIKE pattern``; null when either is null."""
-    return F.rlike(text, like_regex(pattern))
+def like(text: str, pattern: str) -> Column:
+    """``text LIKE pattern``, both column names; null when either is null."""
+    return F.rlike(F.col(text), like_regex(pattern))
 
 
-def matches_all(pattern: Column) -> Column:
+def matches_all(pattern: str) -> Column:
     """Whether the pattern is null or made of ``%`` alone, so that every text matches."""
-    return pattern.isNull() | pattern.rlike("^%+$")
+    return F.expr(f"{pattern} is null or {pattern} rlike '^%+$'")
 
 
-def _longest_fragment(pattern: Column) -> Column:
+def _longest_fragment(pattern: str) -> Column:
     """The longest run of literal characters, empty if there is none; of equally long ones the first."""
-    text = F.array_join(F.transform(_tokens(pattern), lambda t: F.coalesce(_character(t), F.lit("\0"))), "")
-    return F.reduce(F.split(text, "\0"), F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best))
+    fragments = f"split(array_join(transform({_TOKENS.format(pattern)}, t -> coalesce({_character('t')}, chr(0))), ''), chr(0))"
+    return F.expr(f"reduce({fragments}, '', (best, x) -> if(length(x) > length(best), x, best))")
 
 
-def _grams(text: Column, size: Column) -> Column:
-    """The distinct pieces of ``size`` characters; none if the text is shorter."""
-    places = F.when((size > 0) & (F.length(text) >= size), F.sequence(F.lit(1), F.length(text) - size + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(places, lambda i: text.substr(i, size)))
+def _grams(text: str, size: str) -> str:
+    """The pieces of ``size`` characters; none if the text is shorter."""
+    return f"if(length({text}) >= {size}, transform(sequence(1, length({text}) - {size} + 1), i -> substr({text}, i, {size})), cast(array() as array<string>))"
 
 
-def lookup_keys(patterns: DataFrame, texts: DataFrame) -> DataFrame:
-    """pattern, key: the keys under which each distinct pattern meets its texts.
+def lookup_keys(patterns: DataFrame) -> DataFrame:
+    """The columns of ``patterns``, all of them different rows, and ``key``: the keys under which a ``pattern`` meets its texts.
 
     A pattern with a literal has one key: of the pieces of its longest
-    fragment the one that the fewest texts hold; patterns with a piece that no
-    text holds have none. Without ``%`` and literals the key is the length.
-    Other patterns have one key per group of texts, so they share no key with
-    patterns that have a literal, and no group is as large as the texts.
+    fragment the one that the fewest patterns hold. Without ``%`` and literals
+    the key is the length. Other patterns have one key per group of texts, so
+    they share no key with patterns that have a literal, and no group is as
+    large as the texts.
     """
-    fragment = F.col("fragment")
-    size = F.least(F.length("fragment"), F.lit(GRAM))
-    named = patterns.select("pattern", _longest_fragment(F.col("pattern")).alias("fragment"))
-    # kept apart by nothing but what the pattern holds, so that the three branches read it once each
-    wanted = named.filter(F.length("fragment") > 0).select("pattern", F.explode(_grams(fragment, size)).alias("gram"))
-    held = _text_grams(texts).join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("texts"))
-    counted = wanted.join(held, "gram", "left").select("pattern", "gram", F.coalesce("texts", F.lit(0)).alias("texts"))
-    rarest = counted.groupBy("pattern").agg(F.min_by("gram", F.struct("texts", "gram")).alias("gram"), F.min("texts").alias("texts"))
-    by_gram = rarest.filter("texts > 0").select("pattern", F.concat(F.lit("g"), F.col("gram")).alias("key"))
-    bare = named.filter(F.length("fragment") == 0).withColumn("tokens", _tokens(F.col("pattern")))
-    fixed = ~F.array_contains("tokens", "%")
-    by_length = F.array(F.concat(F.lit("n"), F.size("tokens").cast("string")))
-    everywhere = F.transform(F.sequence(F.lit(0), F.lit(SPREAD - 1)), lambda i: F.concat(F.lit("s"), i.cast("string")))
-    return by_gram.unionByName(bare.select("pattern", F.explode(F.when(fixed, by_length).otherwise(everywhere)).alias("key")))
-
-
-def _text_grams(texts: DataFrame) -> DataFrame:
-    """key columns, text, gram: every distinct piece of 1 .. GRAM characters of every text."""
-    pieces = F.flatten(F.array(*[_grams(F.col("text"), F.lit(n)) for n in range(1, GRAM + 1)]))
-    return texts.select("*", F.explode(F.array_distinct(pieces)).alias("gram"))
-
-
-def pattern_pairs(patterns: DataFrame, texts: DataFrame) -> DataFrame:
+    own = patterns.columns
+    named = patterns.withColumn("fragment", _longest_fragment("pattern"))
+    grams = F.expr(f"array_distinct({_grams('fragment', f'least(length(fragment), {GRAM})')})")
+    wanted = named.filter("fragment <> ''").select(*own, F.explode(grams).alias("gram"))
+    held = wanted.groupBy("gram").agg(F.count("*").alias("patterns"))
+    rarest = wanted.join(held, "gram").groupBy(*own).agg(F.min_by("gram", F.struct("patterns", "gram")).alias("gram"))
+    by_gram = rarest.select(*own, F.expr("concat('g', gram)").alias("key"))
+    tokens = _TOKENS.format("pattern")
+    places = f"if(array_contains({tokens}, '%'), transform(sequence(0, {SPREAD - 1}), i -> concat('s', i)), array(concat('n', size({tokens}))))"
+    return by_gram.unionByName(named.filter("fragment = ''").select(*own, F.explode(F.expr(places)).alias("key")))
+
+
+def pattern_pairs(patterns: DataFrame, texts: DataFrame, domain: str | None = None) -> DataFrame:
     """The columns of ``texts`` with each ``pattern`` of ``patterns`` that its ``text`` matches.
 
-    ``patterns`` has one column, ``pattern``; equal patterns are looked up
-    once, null ones and null texts match nothing here. Texts and patterns meet
-    by equality of keys, and the regular expression decides.
+    ``patterns`` has the column ``pattern``; equal patterns are looked up
+    once, null ones and null texts match nothing here. With ``domain``, a
+    column of both, patterns meet the texts of their own domain only. Texts
+    and patterns meet by equality of keys, and the regular expression decides.
     """
-    distinct = patterns.filter("pattern IS NOT NULL").distinct()
-    texts = texts.filter("text IS NOT NULL")
-    keys = lookup_keys(distinct, texts)
-    own = F.array(
-        F.concat(F.lit("n"), F.length("text").cast("string")),
-        F.concat(F.lit("s"), F.pmod(F.xxhash64("text"), F.lit(SPREAD)).cast("string")),
-    )
-    pieces = F.flatten(F.array(*[_grams(F.col("text"), F.lit(n)) for n in range(1, GRAM + 1)]))
-    grams = F.transform(F.array_distinct(pieces), lambda g: F.concat(F.lit("g"), g))
-    keyed = texts.select("*", F.explode(F.concat(grams, own)).alias("key"))
-    found = keyed.join(keys.withColumn("regex", like_regex(F.col("pattern"))), "key").filter(F.rlike("text", F.col("regex")))
+    own = ["pattern"] if domain is None else [domain, "pattern"]
+    keys = lookup_keys(patterns.select(*own).filter("pattern IS NOT NULL").distinct()).withColumn("regex", like_regex("pattern"))
+    sizes = ", ".join(_grams("text", str(n)) for n in range(1, GRAM + 1))
+    places = f"concat('n', length(text)), concat('s', pmod(xxhash64(text), {SPREAD}))"
+    own_keys = F.expr(f"concat(transform(array_distinct(concat({sizes})), g -> concat('g', g)), array({places}))")
+    keyed = texts.filter("text IS NOT NULL").select("*", F.explode(own_keys).alias("key"))
+    found = keyed.join(keys, ["key"] if domain is None else [domain, "key"]).filter(F.rlike("text", F.col("regex")))
     return found.select(*texts.columns, "pattern")

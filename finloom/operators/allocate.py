@@ -22,7 +22,7 @@ def pattern_matches(rules: DataFrame, pattern: str, dimension: DataFrame, key: s
     Distinct patterns are matched with the texts once, through an index of
     their literals.
     """
-    wanted = rules.select("rule_id", F.when(matches_all(F.col(pattern)), "%").otherwise(F.col(pattern)).alias("pattern"))
+    wanted = rules.select("rule_id", F.when(matches_all(pattern), "%").otherwise(F.col(pattern)).alias("pattern"))
     texts = dimension.select(key, F.coalesce(text, F.lit("")).alias("text"))
     return pattern_pairs(wanted.select("pattern"), texts).join(wanted, "pattern").select("rule_id", key)
 
@@ -58,24 +58,34 @@ def rule_matches(rules: DataFrame, cost_centers: DataFrame, accounts: DataFrame)
     numbers = accounts.select("gl_account_id", "account_number")
     centre = cost_centers.select("cost_center_id", "code")
     for pattern in ("cc_pattern", "account_pattern"):
-        rules = rules.withColumn(pattern, F.when(~matches_all(F.col(pattern)), F.col(pattern)))
+        rules = rules.withColumn(pattern, F.when(~matches_all(pattern), F.col(pattern)))
     detail = rules.select("rule_id", "sequence", "depends_on", "basis", "rounding", "account_pattern")
     named = (
         rules.join(centre, F.col("source_cost_center_id") == F.col("cost_center_id"))
-        .filter(F.col("cc_pattern").isNull() | like(F.col("code"), F.col("cc_pattern")))
+        .filter(F.col("cc_pattern").isNull() | like("code", "cc_pattern"))
         .select("rule_id", "cost_center_id")
     )
-    described = rules.filter(F.col("source_cost_center_id").isNull() & F.col("cc_pattern").isNotNull())
-    by_centre = named.unionByName(pattern_matches(described, "cc_pattern", centre, "cost_center_id", "code"))
-    anywhere = rules.filter(F.col("source_cost_center_id").isNull() & F.col("cc_pattern").isNull())
-    by_account = pattern_matches(anywhere, "account_pattern", numbers, "gl_account_id", "account_number")
-    texts = numbers.select("gl_account_id", F.col("account_number").alias("text"))
-    pairs = pattern_pairs(rules.select(F.col("account_pattern").alias("pattern")), texts)
+    anywhere = F.col("source_cost_center_id").isNull() & F.col("cc_pattern").isNull()
+    described = F.col("source_cost_center_id").isNull() & F.col("cc_pattern").isNotNull()
+    # centres and accounts are looked up together; a rule that takes everything has no pattern to look up but a percent sign
+    of_account = F.coalesce("account_pattern", F.when(anywhere, "%"))
+    wanted = rules.select(
+        F.inline(F.array(F.struct(F.lit("C").alias("domain"), F.when(described, F.col("cc_pattern")).alias("pattern")), F.struct(F.lit("A").alias("domain"), of_account.alias("pattern"))))
+    )
+    texts = centre.select(F.lit("C").alias("domain"), F.col("cost_center_id").alias("id"), F.coalesce("code", F.lit("")).alias("text")).unionByName(
+        numbers.select(F.lit("A").alias("domain"), F.col("gl_account_id").alias("id"), F.coalesce("account_number", F.lit("")).alias("text"))
+    )
     # stored, because their true size decides how the lines meet them
+    pairs = materialise(pattern_pairs(wanted, texts, "domain").select("domain", "pattern", "id"), "pattern-pairs")
+    of_centre = pairs.filter("domain = 'C'").select("pattern", F.col("id").alias("cost_center_id"))
+    pattern_accounts = pairs.filter("domain = 'A'").select("pattern", F.col("id").alias("gl_account_id"))
+    through_pattern = rules.filter(described).withColumnRenamed("cc_pattern", "pattern").join(of_centre, "pattern").select("rule_id", "cost_center_id")
+    by_centre = named.unionByName(through_pattern)
+    by_account = rules.filter(anywhere).select("rule_id", of_account.alias("pattern")).join(pattern_accounts, "pattern").select("rule_id", "gl_account_id")
     return RuleMatches(
         materialise(by_centre.join(detail, "rule_id"), "rule-centres"),
         materialise(by_account.join(detail, "rule_id"), "rule-accounts"),
-        materialise(pairs.select(F.col("pattern").alias("account_pattern"), "gl_account_id"), "pattern-accounts"),
+        pattern_accounts.withColumnRenamed("pattern", "account_pattern"),
     )
 
 
