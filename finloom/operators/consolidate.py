@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finloom.functions.ordering import lay_out, with_dense_index, with_last_known, with_neighbours
+from finloom.functions.scan import cancelling_neighbours
 from finloom.schemas import LINE_KEY, TOTAL
 
 
@@ -18,45 +18,22 @@ def consolidate(lines: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def elimination_pairs(lines: DataFrame, accounts: DataFrame, mode: str = "corrected") -> DataFrame:
+def elimination_pairs(lines: DataFrame, accounts: DataFrame, mode: str = "corrected", pieces: int | None = None) -> DataFrame:
     """Adjacent lines of opposite amount on intercompany accounts, paired greedily.
 
     Walking the lines in order, a line pairs with its successor when their
-    amounts cancel, and both are then used up. Within a run of consecutive
-    cancelling neighbours the greedy walk takes every other link, so a line
-    opens a pair when it has a link and an even distance from the run's start.
-    ``reference`` walks across account boundaries, ``corrected`` does not.
+    amounts cancel, and both are then used up. ``reference`` walks across
+    account boundaries, ``corrected`` does not. The lines are read once and
+    their order once; ``pieces`` is the number of parts the order is cut into.
     """
     flagged = accounts.filter("intercompany_flag").select("gl_account_id")
-    ordered = lay_out(
-        lines.join(flagged, "gl_account_id", "left_semi").select(
-            "gl_account_id", "cost_center_id", "fiscal_period_id", "line_id", "final_amount"
-        ),
-        ["gl_account_id", "cost_center_id", "fiscal_period_id", "line_id"],
-    )
-    columns = ["gl_account_id", "cost_center_id", "fiscal_period_id", "line_id", "final_amount"]
-    near = with_neighbours(with_dense_index(ordered, "_position"), columns)
-
-    def cancels(other):
-        linked = (F.col("final_amount") != 0) & (other["final_amount"] == -F.col("final_amount"))
-        if mode == "corrected":
-            linked = linked & (other["gl_account_id"] == F.col("gl_account_id"))
-        return F.coalesce(linked, F.lit(False))
-
-    near = near.withColumn("_opens", cancels(F.col("_after"))).withColumn("_joins", cancels(F.col("_before")))
-    runs = with_last_known(near, F.when(~F.col("_joins"), F.col("_position")), "_run_start")
-    second = F.col("_after")
-    return runs.filter(F.col("_opens") & ((F.col("_position") - F.col("_run_start")) % 2 == 0)).select(
-        F.col("line_id").alias("first_line_id"),
-        second["line_id"].alias("second_line_id"),
-        F.col("gl_account_id").alias("first_gl_account_id"),
-        F.col("cost_center_id").alias("first_cost_center_id"),
-        F.col("fiscal_period_id").alias("first_period_id"),
-        second["gl_account_id"].alias("second_gl_account_id"),
-        second["cost_center_id"].alias("second_cost_center_id"),
-        second["fiscal_period_id"].alias("second_period_id"),
-        F.col("final_amount").alias("amount"),
-    )
+    columns = ["gl_account_id", "cost_center_id", "fiscal_period_id", "line_id"]
+    chosen = lines.join(flagged, "gl_account_id", "left_semi").select(*columns, "final_amount")
+    within = ["gl_account_id"] if mode == "corrected" else []
+    pairs = cancelling_neighbours(chosen, columns, "final_amount", within, pieces)
+    named = {"line_id": "line_id", "gl_account_id": "gl_account_id", "cost_center_id": "cost_center_id", "fiscal_period_id": "period_id"}
+    sides = [F.col(f"{side}.{c}").alias(f"{side}_{name}") for side in ("first", "second") for c, name in named.items()]
+    return pairs.select(*sides, F.col("first.final_amount").alias("amount"))
 
 
 def apply_eliminations(consolidated: DataFrame, pairs: DataFrame, mode: str = "corrected") -> DataFrame:

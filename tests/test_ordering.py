@@ -69,10 +69,10 @@ def walk(amounts, groups=None):
     return pairs
 
 
-def pairs_of(spark, amounts, accounts, mode):
+def pairs_of(spark, amounts, accounts, mode, pieces=None):
     flagged = b.accounts(spark, [{"gl_account_id": a, "intercompany_flag": True} for a in set(accounts)])
     frame = b.lines(spark, [(i, accounts[i], 1, i, amounts[i]) for i in range(len(amounts))])
-    return b.collect(elimination_pairs(frame, flagged, mode), "first_line_id", "second_line_id")
+    return b.collect(elimination_pairs(frame, flagged, mode, pieces), "first_line_id", "second_line_id")
 
 
 @pytest.mark.parametrize(
@@ -100,8 +100,42 @@ def test_random_walks_over_pieces(many_pieces, seed):
         amounts.append(5 * sign)
         sign = -sign if rnd.random() < 0.95 else sign
     accounts = sorted(rnd.choice([101, 101, 101, 102]) for _ in amounts)
-    assert pairs_of(many_pieces, amounts, accounts, "reference") == walk(amounts)
-    assert pairs_of(many_pieces, amounts, accounts, "corrected") == walk(amounts, accounts)
+    for pieces in (1, 4, 32):
+        assert pairs_of(many_pieces, amounts, accounts, "reference", pieces) == walk(amounts)
+        assert pairs_of(many_pieces, amounts, accounts, "corrected", pieces) == walk(amounts, accounts)
+
+
+def test_small_batches_and_pieces_of_one_row(many_pieces):
+    """State is carried over Arrow batches and over pieces shorter than a pair."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = many_pieces.conf.get(key)
+    amounts = [5, -5, 5, None, 5, -5, -5, 5, 0, 0, "0.0001", "-0.0001", "123456789012345.6789", "-123456789012345.6789", 5, -5, 5, -5, 5]
+    plain = [Decimal(x) if x is not None else Decimal("1e9") + i for i, x in enumerate(amounts)]
+    try:
+        many_pieces.conf.set(key, "2")
+        for pieces in (1, 3, 19):
+            flagged = b.accounts(many_pieces, [{"gl_account_id": 101, "intercompany_flag": True}])
+            frame = b.lines(many_pieces, [(i, 101, 1, i, x or 0) for i, x in enumerate(amounts)])
+            frame = frame.withColumn("final_amount", F.when(F.col("line_id") != 3, F.col("final_amount")))
+            assert b.collect(elimination_pairs(frame, flagged, "corrected", pieces), "first_line_id", "second_line_id") == walk(plain)
+    finally:
+        many_pieces.conf.set(key, before)
+
+
+def test_no_intercompany_lines(spark):
+    flagged = b.accounts(spark, [{"gl_account_id": 101, "intercompany_flag": True}])
+    assert elimination_pairs(b.lines(spark, [(1, 5, 1, 1, 5)]), flagged).isEmpty()
+
+
+def test_lines_and_order_are_read_once(spark, tmp_path):
+    """The source is scanned by one job; what is left to read are pairs and edges."""
+    flagged = b.accounts(spark, [{"gl_account_id": 101, "intercompany_flag": True}])
+    path = str(tmp_path / "lines")
+    b.lines(spark, [(i, 101, 1, i, 5 - 10 * (i % 2)) for i in range(100)]).write.parquet(path)
+    pairs = elimination_pairs(spark.read.parquet(path), flagged, pieces=4)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert path not in "".join(pairs.inputFiles()) and plan.count("FileScan") == 1 and "Window" not in plan
+    assert pairs.count() == 50
 
 
 def test_elimination_effects(spark):
