@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from finloom.functions.columns import entity_of
-from finloom.functions.ordering import lay_out, with_last_known, with_next_known, with_running_total
+from finloom.functions.ordering import lay_out, with_dense_index, with_last_known, with_next_known, with_running_total
 from finloom.schemas import TOTAL
 from finloom.session import materialise
 
@@ -227,13 +227,86 @@ def match_amounts(lines: DataFrame, accounts: DataFrame, tolerance_amount: str =
     )
 
 
-def match_lines(lines: DataFrame, matches: DataFrame) -> DataFrame:
-    """Every intercompany source line with its match counts and best match."""
-    return (
+def ranked_lines(lines: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Lines on either side of a link with ``rank``, their place by line id among the lines of their account and amount.
+
+    The rank is a distance in one spread order, so an amount that fills most
+    of an account is not gathered anywhere.
+    """
+    own = lines.join(_link_accounts(accounts), "gl_account_id", "left_semi").select("gl_account_id", F.col("final_amount").alias("amount"), "line_id")
+    numbered = with_dense_index(lay_out(own.filter("amount IS NOT NULL"), ["gl_account_id", "amount", "line_id"]), "_index")
+    first = numbered.groupBy("gl_account_id", "amount").agg(F.min("_index").alias("_first"))
+    ranked = numbered.join(first, ["gl_account_id", "amount"]).withColumn("rank", F.col("_index") - F.col("_first") + 1)
+    return materialise(ranked.select("gl_account_id", "amount", "line_id", "rank"), "ranked")
+
+
+def match_targets(lines: DataFrame, accounts: DataFrame) -> DataFrame:
+    """source_line_id, gl_account_id, partner_account_id, target_line_id, target_amount and pairing of every source line.
+
+    The k-th source line of an amount is paired with the k-th partner line of
+    the opposite amount (EXACT), by line id. The source lines left over get
+    the partner line left over in their link whose amount is NEAREST to the
+    opposite one; of two equally near the lower amount, of equal amounts the
+    lowest line id. A source line has no target when none is left over.
+    Pairs are found by equality of amount and rank, and nearest amounts in one
+    order of the amounts that are left over; no two lists of lines are multiplied.
+    """
+    ranked, links = ranked_lines(lines, accounts), ic_links(accounts)
+    amounts = ranked.groupBy("gl_account_id", "amount").agg(F.max("rank").alias("n"))
+    amounts = materialise(amounts, "ic-amounts")
+    opposite = (-F.col("amount")).cast(amounts.schema["amount"].dataType)
+    source = amounts.join(links, "gl_account_id").select(*LINK_KEY, opposite.alias("point"), F.col("n").alias("source_n"))
+    target = links.join(amounts.withColumnRenamed("gl_account_id", "partner_account_id"), "partner_account_id")
+    target = target.select(*LINK_KEY, F.col("amount").alias("point"), F.col("n").alias("target_n"))
+    zero = F.lit(0).cast("long")
+    sides = source.join(target, [*LINK_KEY, "point"], "full").select(
+        *LINK_KEY, "point", F.coalesce("source_n", zero).alias("source_n"), F.coalesce("target_n", zero).alias("target_n")
+    )
+    # only one side of an amount can be left over
+    left_over = lay_out(sides.filter("source_n <> target_n"), [*LINK_KEY, "point"])
+    held = F.when(F.col("target_n") > F.col("source_n"), F.struct(*LINK_KEY, "point", (F.col("source_n") + 1).alias("rank")))
+    placed = with_next_known(with_last_known(left_over, held, "below"), held, "above").filter("source_n > target_n")
+
+    def of_link(side: str) -> Column:
+        same = (F.col(f"{side}.gl_account_id") == F.col("gl_account_id")) & (F.col(f"{side}.partner_account_id") == F.col("partner_account_id"))
+        return F.when(same, F.col(side))
+
+    below, above = of_link("below"), of_link("above")
+    is_below = above.isNull() | (F.col("point") - below["point"] <= above["point"] - F.col("point"))
+    nearest = placed.select(*LINK_KEY, "point", "target_n", F.when(is_below, below).otherwise(above).alias("_t")).select(
+        *LINK_KEY, "point", "target_n", F.col("_t.point").alias("near"), F.col("_t.rank").alias("near_rank")
+    )
+    # every source line asks for one line of its partner account, by amount and rank
+    asked = (
+        ranked.join(links, "gl_account_id")
+        .withColumn("point", opposite)
+        .join(nearest, [*LINK_KEY, "point"], "left")
+        .withColumn("_exact", F.col("target_n").isNull() | (F.col("rank") <= F.col("target_n")))
+        .select(
+            F.col("line_id").alias("source_line_id"),
+            *LINK_KEY,
+            F.when(F.col("_exact"), "EXACT").otherwise("NEAREST").alias("pairing"),
+            F.when(F.col("_exact"), F.col("point")).otherwise(F.col("near")).alias("target_amount"),
+            F.when(F.col("_exact"), F.col("rank")).otherwise(F.col("near_rank")).alias("_rank"),
+        )
+    )
+    there = ranked.select(
+        F.col("gl_account_id").alias("partner_account_id"), F.col("amount").alias("target_amount"), F.col("rank").alias("_rank"), F.col("line_id").alias("target_line_id")
+    )
+    answered = asked.join(there, ["partner_account_id", "target_amount", "_rank"], "left")
+    return answered.select(
+        "source_line_id", *LINK_KEY, "target_line_id", "target_amount", F.when(F.col("target_line_id").isNotNull(), F.col("pairing")).alias("pairing")
+    )
+
+
+def match_lines(lines: DataFrame, matches: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """Every intercompany source line with its match counts and best match, and with ``targets`` the line it is paired with."""
+    detail = (
         lines.select(F.col("line_id").alias("source_line_id"), "gl_account_id", F.col("final_amount").alias("source_amount"))
         .join(matches, ["gl_account_id", "source_amount"])
         .drop("source_lines")
     )
+    return detail if targets is None else detail.join(targets, ["source_line_id", *LINK_KEY], "left")
 
 
 def match_types(matches: DataFrame) -> DataFrame:

@@ -87,24 +87,45 @@ def src_xml_entities(t):
     return _pairs(t, entities=wanted).select(*reconcile.PAIR_KEY, "variance")
 
 
+_RANKED = "select *, row_number() over (partition by gl_account_id, final_amount order by line_id) as r from ic_line"
+_PAIRED = f"""
+ select k.gl_account_id, k.partner_account_id, a.line_id as source_line_id, b.line_id as target_line_id, b.final_amount as target_amount
+   from ic_link k join ({_RANKED}) a on a.gl_account_id = k.gl_account_id
+        join ({_RANKED}) b on b.gl_account_id = k.partner_account_id and b.final_amount = -a.final_amount and b.r = a.r
+"""
+_TARGETS = f"""
+ select *, 'EXACT' as pairing from ({_PAIRED}) p
+ union all
+ select gl_account_id, partner_account_id, source_line_id, target_line_id, target_amount, 'NEAREST' from (
+   select a.gl_account_id, b.gl_account_id as partner_account_id, a.line_id as source_line_id, b.line_id as target_line_id, b.final_amount as target_amount,
+          row_number() over (partition by a.line_id, b.gl_account_id order by abs(a.final_amount + b.final_amount), b.final_amount, b.line_id) as nth
+     from ic_link k join ic_line a on a.gl_account_id = k.gl_account_id join ic_line b on b.gl_account_id = k.partner_account_id
+    where (a.line_id, k.partner_account_id) not in (select source_line_id, partner_account_id from ({_PAIRED}) p)
+      and (b.line_id, k.gl_account_id) not in (select target_line_id, gl_account_id from ({_PAIRED}) p)) n where nth = 1
+"""
+
+
 @query(
     "join_ic_detail",
-    """
-    select gl_account_id, partner_account_id, source_line_id, source_amount, count(*) filter (match_type = 'EXACT') as exact_n,
-           count(*) filter (match_type = 'TOLERANCE') as tolerance_n, count(*) filter (match_type = 'PARTIAL') as partial_n,
-           count(target_line_id) as partner_lines,
-           coalesce(min(abs(source_amount + target_amount)), abs(source_amount))::decimal(21,4) as smallest_difference,
-           min_by(match_type, abs(source_amount + coalesce(target_amount, 0))) as match_type
-      from ic_match group by 1, 2, 3, 4
+    f"""
+    select d.*, t.target_line_id, t.target_amount, t.pairing from (
+      select gl_account_id, partner_account_id, source_line_id, source_amount, count(*) filter (match_type = 'EXACT') as exact_n,
+             count(*) filter (match_type = 'TOLERANCE') as tolerance_n, count(*) filter (match_type = 'PARTIAL') as partial_n,
+             count(target_line_id) as partner_lines,
+             coalesce(min(abs(source_amount + target_amount)), abs(source_amount))::decimal(21,4) as smallest_difference,
+             min_by(match_type, abs(source_amount + coalesce(target_amount, 0))) as match_type
+        from ic_match group by 1, 2, 3, 4) d
+      left join ({_TARGETS}) t on d.source_line_id = t.source_line_id and d.partner_account_id = t.partner_account_id
     """,
 )
 def join_ic_detail(t):
-    """Match counts and best match of every source line."""
-    detail = reconcile.match_lines(_budget(t), _matches(t))
+    """Match counts, best match and paired target line of every source line."""
+    budget = _budget(t)
+    detail = reconcile.match_lines(budget, _matches(t), reconcile.match_targets(budget, t.gl_account))
     difference = F.abs(F.col("source_amount") + F.coalesce("nearest_amount", F.lit(0))).cast("decimal(21,4)")
     return detail.select(
         "gl_account_id", "partner_account_id", "source_line_id", "source_amount", "exact_n", "tolerance_n", "partial_n",
-        "partner_lines", difference.alias("smallest_difference"), "match_type",
+        "partner_lines", difference.alias("smallest_difference"), "match_type", "target_line_id", "target_amount", "pairing",
     )
 
 

@@ -152,3 +152,43 @@ def test_whole_run_with_journal(spark):
     journal = run.journal.first()
     assert (journal["journal_number"], journal["fiscal_period_id"], journal["status_code"]) == ("ICR-20000315-abcdefgh", 3, "DRAFT")
     assert b.collect(run.journal_lines, "debit_amount", "credit_amount", "cost_center_id") == [(0, 5, 3)]
+
+
+def paired_by_hand(rows, links):
+    """Target of every source line: equal ranks of opposite amounts, then the nearest line left over."""
+    out = []
+    for account, partner in links:
+        sources = sorted((r for r in rows if r[1] == account and r[4] is not None), key=lambda r: r[0])
+        targets = sorted((r for r in rows if r[1] == partner and r[4] is not None), key=lambda r: r[0])
+        rank = lambda side, r: sum(x[4] == r[4] and x[0] <= r[0] for x in side)
+        found = {s[0]: t[0] for s in sources for t in targets if t[4] == -s[4] and rank(sources, s) == rank(targets, t)}
+        left = [t for t in targets if t[0] not in found.values()]
+        for s in sources:
+            if s[0] in found:
+                out.append((s[0], account, partner, found[s[0]], "EXACT"))
+            elif left:
+                near = min(left, key=lambda t: (abs(s[4] + t[4]), t[4], t[0]))
+                out.append((s[0], account, partner, near[0], "NEAREST"))
+            else:
+                out.append((s[0], account, partner, None, None))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_targets_of_source_lines(many_pieces, seed):
+    rng = random.Random(seed)
+    links = [(101, 102), (102, 101), (103, 102), (104, 999)]
+    accounts = b.accounts(many_pieces, [{"gl_account_id": a, "intercompany_flag": True, "consolidation_account_id": p} for a, p in links])
+    # account 102 holds one amount in most of its lines
+    rows = [(i, rng.choice([101, 101, 102, 103, 104]), 1, i, rng.choice([-5, -5, -5, 5, 5, rng.randrange(-9, 10)])) for i in range(250)]
+    got = reconcile.match_targets(b.lines(many_pieces, rows), accounts)
+    names = ["source_line_id", "gl_account_id", "partner_account_id", "target_line_id", "pairing"]
+    assert sorted((tuple(r) for r in got.select(*names).collect()), key=str) == paired_by_hand(rows, links)
+    assert got.filter("target_line_id IS NOT NULL AND target_amount IS NULL").isEmpty()
+
+
+def test_targets_without_partner_lines(spark):
+    accounts = b.accounts(spark, [{"gl_account_id": 101, "intercompany_flag": True, "consolidation_account_id": 102}])
+    got = reconcile.match_targets(b.lines(spark, [(1, 101, 1, 1, 5), (2, 101, 1, 2, 0)]), accounts)
+    assert b.collect(got, "source_line_id", "target_line_id", "pairing") == [(1, None, None), (2, None, None)]
+    assert reconcile.match_targets(b.lines(spark, []), accounts).isEmpty()
