@@ -47,18 +47,31 @@ def effective_on(as_of: dt.date | Column) -> Column:
     return (F.col("effective_from") <= day) & (F.col("effective_to").isNull() | (F.col("effective_to") >= day))
 
 
+#: Doubles from here on are no amounts: their four decimals would not fit.
+TOO_LARGE = 9.0e14
+
+
+def amount_misfit(value: Column) -> Column:
+    """Why no amount can hold a double: null if one can, or if there is no value."""
+    return F.when(F.isnan(value), "NOT_A_NUMBER").when(F.abs(value) >= F.lit(TOO_LARGE), "TOO_LARGE")
+
+
+def money_if_fits(value: Column) -> Column:
+    """Nearest 4-decimal amount, halves away from zero, same on every engine; null where ``amount_misfit`` gives a reason."""
+    held = F.when(amount_misfit(value).isNull(), value)
+    magnitude = F.floor(F.abs(held) * F.lit(10000.0) + F.lit(0.5)).cast("decimal(20,0)")
+    scaled = (magnitude.cast("decimal(24,4)") / F.lit(10000).cast("decimal(5,0)")).cast("decimal(19,4)")
+    return F.when(value < 0, -scaled).otherwise(scaled).cast("decimal(19,4)")
+
+
 def money_from_double(value: Column) -> Column:
-    """Nearest 4-decimal amount, halves away from zero, same on every engine.
+    """The amount of a double that must fit.
 
     A value that is no number or too large for an amount is an error: an
     amount never takes the place of another one silently.
     """
-    fits = F.abs(value) < F.lit(9.0e14)
-    magnitude = F.floor(F.abs(F.when(fits, value)) * F.lit(10000.0) + F.lit(0.5)).cast("decimal(20,0)")
-    scaled = (magnitude.cast("decimal(24,4)") / F.lit(10000).cast("decimal(5,0)")).cast("decimal(19,4)")
     told = F.raise_error(F.concat(F.lit("no amount can hold "), value.cast("string"))).cast("decimal(19,4)")
-    signed = F.when(value < 0, -scaled).otherwise(scaled).cast("decimal(19,4)")
-    return F.when(value.isNull() | fits, signed).otherwise(told)
+    return F.when(amount_misfit(value).isNull(), money_if_fits(value)).otherwise(told)
 
 
 def variance_status(variance: Column) -> Column:

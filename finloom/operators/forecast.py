@@ -12,7 +12,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from finloom.functions.columns import money_from_double
+from finloom.functions.columns import amount_misfit, money_from_double, money_if_fits
+from finloom.operators.sinks import new_lines
 from finloom.schemas import MONEY, TOTAL
 from finloom.sources.documents import factor_of_month
 
@@ -184,8 +185,11 @@ def forecast_rows(
 
 
 class Forecast(NamedTuple):
+    """``detail`` keeps doubles; ``misfits`` lists the values of it that no amount can hold."""
+
     trends: DataFrame
     detail: DataFrame
+    misfits: DataFrame
 
 
 def rolling_forecast(
@@ -201,7 +205,12 @@ def rolling_forecast(
     confidence: float = 0.95,
     trend: str = "reference",
 ) -> Forecast:
-    """History with its components, and the forecast detail of one budget."""
+    """History with its components, the forecast detail of one budget, and what of it no amount can hold.
+
+    With the default arguments a series grows by its own mean trend, an amount
+    and not a rate, so later periods often leave the range of amounts. Such
+    values stay out of lines and totals and are listed with their reason.
+    """
     header = headers.filter(F.col("header_id") == header_id).select("fiscal_year").first()
     if header is None:
         raise ValueError("Base budget header not found")
@@ -211,16 +220,35 @@ def rolling_forecast(
     recent = periods.filter(F.col("fiscal_year") >= header["fiscal_year"] - 1).select("fiscal_period_id")
     used = budget.select("fiscal_period_id").join(recent, "fiscal_period_id", "left_semi")
     future = future_periods(used, periods, forecast_periods)
-    return Forecast(trends, forecast_rows(forecast_baseline(trends), future, method, growth_rate, seasonality))
+    detail = forecast_rows(forecast_baseline(trends), future, method, growth_rate, seasonality)
+    return Forecast(trends, detail, forecast_misfits(detail))
+
+
+VALUES = ["forecast_amount", "lower_bound", "upper_bound"]
+
+
+def forecast_misfits(detail: DataFrame) -> DataFrame:
+    """One row per value of the detail that no amount can hold: series, period, column, value and reason."""
+    value = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value"), amount_misfit(F.col(c)).alias("reason")) for c in VALUES]))
+    return detail.select(*SERIES, "fiscal_period_id", "future_seq", value.alias("_v")).select("*", "_v.*").drop("_v").filter("reason IS NOT NULL")
+
+
+def forecast_lines(detail: DataFrame, header_id: int, method: str, lines: DataFrame | None = None) -> DataFrame:
+    """Forecast rows as budget lines; rows without an amount, or with a value that no amount can hold, are left out.
+
+    With ``lines``, the table they go to, they are complete new lines with ids.
+    """
+    rows = _forecast_lines(detail, header_id, method)
+    return rows if lines is None else new_lines(rows, lines, [*SERIES, "fiscal_period_id"])
 
 
-def forecast_lines(detail: DataFrame, header_id: int, method: str) -> DataFrame:
-    """Forecast rows as budget lines; rows without an amount are dropped."""
-    return detail.filter(F.col("forecast_amount").isNotNull()).select(
+def _forecast_lines(detail: DataFrame, header_id: int, method: str) -> DataFrame:
+    amount = money_if_fits(F.col("forecast_amount"))
+    return detail.filter(amount.isNotNull()).select(
         F.lit(header_id).alias("header_id"),
         *SERIES,
         "fiscal_period_id",
-        money_from_double(F.col("forecast_amount")).alias("original_amount"),
+        amount.alias("original_amount"),
         F.lit(0).cast(MONEY).alias("adjusted_amount"),
         F.lit(method).alias("spread_method"),
         F.lit("ROLLING_FORECAST").alias("source_system"),
@@ -228,13 +256,14 @@ def forecast_lines(detail: DataFrame, header_id: int, method: str) -> DataFrame:
 
 
 def _money_total(name: str) -> Column:
-    return F.sum(money_from_double(F.col(name))).cast(TOTAL)
+    return F.sum(money_if_fits(F.col(name))).cast(TOTAL)
 
 
 def forecast_summary(detail: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Totals by account type, year and quarter."""
+    """Totals by account type, year and quarter; ``left_out`` counts the values that no amount can hold."""
+    misfits = [F.count(amount_misfit(F.col(c))) for c in VALUES]
     by_account = detail.groupBy("gl_account_id", "fiscal_year", "fiscal_quarter").agg(
-        *[_money_total(c).alias(c) for c in ("forecast_amount", "lower_bound", "upper_bound")]
+        *[_money_total(c).alias(c) for c in VALUES], (misfits[0] + misfits[1] + misfits[2]).alias("left_out")
     )
     return (
         by_account.join(accounts.select("gl_account_id", "account_type"), "gl_account_id")
@@ -243,12 +272,13 @@ def forecast_summary(detail: DataFrame, accounts: DataFrame) -> DataFrame:
             F.sum("forecast_amount").cast(TOTAL).alias("total_forecast"),
             F.sum("lower_bound").cast(TOTAL).alias("total_lower_bound"),
             F.sum("upper_bound").cast(TOTAL).alias("total_upper_bound"),
+            F.sum("left_out").alias("left_out"),
         )
     )
 
 
 def forecast_pivot(detail: DataFrame, future: DataFrame, accounts: DataFrame, cost_centers: DataFrame) -> DataFrame:
-    """One column per future period name, sorted by name."""
+    """One column per future period name, sorted by name; values that no amount can hold are left out."""
     names = sorted({row["period_name"] for row in future.select("period_name").collect()})  # at most one per forecast period
     wide = detail.groupBy(*SERIES).pivot("period_name", names).agg(_money_total("forecast_amount"))
     return (

@@ -164,6 +164,43 @@ def rolling_forecast(t):
     return _rounded(_run(t, growth_rate=0.01, seasonality=FACTORS))
 
 
+_DEFAULT = _detail("weighted_avg * pow(1.0::double + avg_trend, k)", _WIDE)
+
+
+def _reason(value: str) -> str:
+    return f"case when isnan({value}) then 'NOT_A_NUMBER' when abs({value}) >= 9e14::double then 'TOO_LARGE' end"
+
+
+def _size(value: str) -> str:
+    """Sign and logarithm of a value: engines agree on them however large it is."""
+    return f"round(sign({value}) * ln(abs({value}) + 1.0::double), 6)"
+
+
+@query(
+    "rolling_forecast_default",
+    f"""select {KEYS}, future_seq, {_size('forecast_amount')} as size, {_reason('forecast_amount')} as reason,
+               forecast_amount is not null and {_reason('forecast_amount')} is null as has_line from ({_DEFAULT}) d""",
+)
+def rolling_forecast_default(t):
+    """The forecast with default arguments: every detail row, whether an amount can hold it, and whether it becomes a line."""
+    run = _run(t)
+    lines = forecast.forecast_lines(run.detail, 901, "WEIGHTED_AVERAGE").select(*KEY, F.lit(True).alias("_line"))
+    reasons = run.misfits.filter("column_name = 'forecast_amount'").select(*KEY, "reason")
+    rows = run.detail.join(lines, KEY, "left").join(reasons, KEY, "left")
+    return rows.select(*KEY, "future_seq", F.expr(_size("forecast_amount").replace("::double", "D")).alias("size"), "reason", F.col("_line").isNotNull().alias("has_line"))
+
+
+@query(
+    "forecast_summary_default",
+    f"""select a.account_type, d.fiscal_year, d.fiscal_quarter, count(*) filter ({_reason('d.forecast_amount')} is not null)
+               + count(*) filter ({_reason('d.lower_bound')} is not null) + count(*) filter ({_reason('d.upper_bound')} is not null) as left_out
+          from ({_DEFAULT}) d join gl_account a on d.gl_account_id = a.gl_account_id group by 1, 2, 3""",
+)
+def forecast_summary_default(t):
+    """How many values each total of the default forecast leaves out."""
+    return forecast.forecast_summary(_run(t).detail, t.gl_account).select("account_type", "fiscal_year", "fiscal_quarter", "left_out")
+
+
 @query("rolling_forecast_linear", _shown(_LINEAR))
 def rolling_forecast_linear(t):
     return _rounded(_run(t, "LINEAR_TREND"))
@@ -181,11 +218,12 @@ def rolling_forecast_seasonal(t):
 
 @query(
     "forecast_lines",
-    f"select {KEYS}, money(forecast_amount) as original_amount from ({_SEASONAL}) d where forecast_amount is not null",
+    f"""select (select max(line_id) from budget_line_item) + row_number() over (order by gl_account_id, cost_center_id, fiscal_period_id) as line_id,
+               {KEYS}, money(forecast_amount) as original_amount, false as is_allocated from ({_SEASONAL}) d where forecast_amount is not null""",
 )
 def forecast_lines(t):
     run = _run(t, "SEASONAL", growth_rate=0.01, seasonality=FACTORS)
-    return forecast.forecast_lines(run.detail, 901, "SEASONAL").select(*KEY, "original_amount")
+    return forecast.forecast_lines(run.detail, 901, "SEASONAL", t.budget_line_item).select("line_id", *KEY, "original_amount", "is_allocated")
 
 
 @query("join_cross_horizon", f"select {KEYS}, future_seq from ({_EXPONENTIAL}) d")
@@ -196,7 +234,8 @@ def join_cross_horizon(t):
 @query(
     "forecast_summary",
     f"""select a.account_type, d.fiscal_year, d.fiscal_quarter, sum(money(d.forecast_amount))::decimal(38,4) as total_forecast,
-               sum(money(d.lower_bound))::decimal(38,4) as total_lower_bound, sum(money(d.upper_bound))::decimal(38,4) as total_upper_bound
+               sum(money(d.lower_bound))::decimal(38,4) as total_lower_bound, sum(money(d.upper_bound))::decimal(38,4) as total_upper_bound,
+               0 as left_out
           from ({_EXPONENTIAL}) d join gl_account a on d.gl_account_id = a.gl_account_id group by 1, 2, 3""",
 )
 def forecast_summary(t):

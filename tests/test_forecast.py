@@ -127,3 +127,18 @@ def test_amounts_never_saturate(spark):
 def test_factors(spark):
     assert b.collect(seasonal_factors(spark, "[0.5, 1.25]")) == [(1, Decimal("0.5")), (2, Decimal("1.25"))]
     assert b.collect(seasonal_factors(spark, None)) == [(m, 1) for m in range(1, 13)]
+
+
+def test_values_that_no_amount_can_hold(spark):
+    from finloom.operators import forecast
+
+    values = [(1, 1.5, -1e15, 2.0), (2, float("nan"), 1.0, float("inf")), (3, None, None, 8.9e14), (4, -9e14, 0.0, 0.0)]
+    rows = [(10, 1, i, 2000, 1, i, "P", i, i, None, *v) for i, *v in values]
+    detail = spark.createDataFrame(rows, "gl_account_id int, cost_center_id int, fiscal_period_id int, fiscal_year int, fiscal_quarter int, fiscal_month int, period_name string, future_seq int, seq int, seasonal_factor decimal(8,6), forecast_amount double, lower_bound double, upper_bound double")
+    misfits = b.collect(forecast.forecast_misfits(detail), "fiscal_period_id", "column_name", "reason")
+    assert misfits == [(1, "lower_bound", "TOO_LARGE"), (2, "forecast_amount", "NOT_A_NUMBER"), (2, "upper_bound", "TOO_LARGE"), (4, "forecast_amount", "TOO_LARGE")]
+    table = b.lines(spark, [(70, 1, 1, 1, 5)])
+    lines = forecast.forecast_lines(detail, 9, "LINEAR_TREND", table)
+    assert b.collect(lines, "line_id", "header_id", "fiscal_period_id", "original_amount", "is_allocated") == [(71, 9, 1, Decimal("1.5"), False)]
+    total = forecast.forecast_summary(detail, b.accounts(spark, [{"gl_account_id": 10}])).first()
+    assert (total.total_forecast, total.total_lower_bound, total.total_upper_bound, total.left_out) == (Decimal("1.5"), 1, Decimal("890000000000002"), 4)
