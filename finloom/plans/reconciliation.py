@@ -14,6 +14,8 @@ from finloom.operators.reconcile import (
     entity_stats,
     ic_pairs,
     match_amounts,
+    match_lines,
+    match_targets,
     match_types,
     recon_stats,
     recon_status,
@@ -24,6 +26,7 @@ from finloom.session import materialise
 class Reconciliation(NamedTuple):
     status: DataFrame
     matches: DataFrame
+    lines: DataFrame
     match_types: DataFrame
     stats: DataFrame
     entity_stats: DataFrame
@@ -45,11 +48,13 @@ def reconcile_intercompany(
     create_adjustments: bool = False,
     journal_id: int = 1,
     mode: str = "reference",
+    with_targets: bool = False,
 ) -> Reconciliation:
-    """Pairs with status, match counts, statistics and, on request, an adjustment journal."""
+    """Pairs with status, match counts, statistics and, on request, target lines and an adjustment journal."""
     budget = lines.filter(F.col("header_id") == header_id)
     pairs = ic_pairs(budget, accounts, cost_centers, entities, tolerance_amount, tolerance_pct, mode)
-    matches = match_amounts(budget, accounts, tolerance_amount)
+    # read by the status, the match types and the matched lines
+    matches = materialise(match_amounts(budget, accounts, tolerance_amount), "matches")
     # read by the statistics, the journal and the report
     status = materialise(recon_status(pairs, matches), "recon-status")
     listed = entities if entities is not None else entities_of_budget(budget, cost_centers)
@@ -57,6 +62,7 @@ def reconcile_intercompany(
     if create_adjustments:
         journal = adjustment_journal(periods, header_id, journal_id, run_id, on)
         journal_lines = adjustment_lines(status, cost_centers, journal_id, tolerance_amount)
+    detail = match_lines(budget, matches, match_targets(budget, accounts) if with_targets else None)
     return Reconciliation(
-        status, matches, match_types(matches), recon_stats(status), entity_stats(status, listed), journal, journal_lines
+        status, matches, detail, match_types(matches), recon_stats(status), entity_stats(status, listed), journal, journal_lines
     )

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from finloom.operators import importer
 from finloom.operators.sinks import append_lines, insert_ignore, new_lines, overwrite_budgets, upsert, upsert_actions
-from finloom.plans.reports import import_report
+from finloom.plans.documents import items_of
+from finloom.plans.reports import import_document
 from finloom.queries.registry import query
 from finloom.schemas import LINE_KEY
 from finloom.session import new_folder
@@ -242,12 +243,40 @@ def import_lines(t):
     return run.lines.select("line_id", *LINE_KEY, "final_amount", "action", "row_id")
 
 
-@query("nested_report_import")
+_STRICT_ROWS = f"""select i.* from (select *, row_number() over (partition by gl_account_id, cost_center_id, fiscal_period_id order by row_id) as n
+                      from ({_valid(_ERRORS)}) v) i where n = 1"""
+
+
+@query(
+    "nested_report_import",
+    f"""
+    select 'Summary' as section, u.key, cast(u.value as varchar) as value from
+      (select (select count(*) from resolved) as total, (select count(*) from ({_valid(_ERRORS)}) v) as valid, (select count(*) from ({_STRICT_ROWS}) s) as inserted) c,
+      lateral (select * from (values ('TotalRows', total), ('ValidRows', valid), ('InvalidRows', total - valid), ('InsertedRows', inserted), ('UpdatedRows', 0),
+                                     ('SkippedRows', valid - inserted), ('RejectedRows', total - valid)) v(key, value)) u
+    union all
+    select 'ErrorType', code, concat(count(*), '|', case when max((severity = 'ERROR')::int) = 1 then 'ERROR' else 'WARNING' end) from ({_ERRORS}) e group by code
+    union all
+    select 'RejectedRow', cast(row_id as varchar), concat_ws('|', account_number, cost_center_code, fiscal_year, fiscal_month, original_amount, errors) from (
+      select row_id, account_number, cost_center_code, fiscal_year, fiscal_month, original_amount, string_agg(concat(code, ': ', {_MESSAGES}), '; ' order by pos) as errors
+        from ({_ERRORS}) e group by all having max((severity = 'ERROR')::int) = 1 order by row_id limit 100) r
+    """,
+)
 def nested_report_import(t):
+    """The whole XML report of an import, parsed back: counts, errors by type, the first rejected rows with all their values."""
     run = importer.import_budget(
         t.import_staging, HEADER, t.budget_line_item, t.gl_account, t.cost_center, t.fiscal_period, RUN
     )
-    return import_report(run, RUN, "STAGING_TABLE", HEADER)
+    pieces = import_document(run, RUN, "STAGING_TABLE", HEADER)
+    names = ["TotalRows", "ValidRows", "InvalidRows", "InsertedRows", "UpdatedRows", "SkippedRows", "RejectedRows"]
+    counts = items_of(pieces, "Summary", ", ".join(f"{n} long" for n in names))
+    summary = counts.select(F.lit("Summary").alias("section"), F.inline(F.array(*[F.struct(F.lit(n).alias("key"), F.col(n).cast("string").alias("value")) for n in names])))
+    errors = items_of(pieces, "ErrorType", "_Code string, Count long, MaxSeverity string")
+    errors = errors.select(F.lit("ErrorType").alias("section"), F.col("_Code").alias("key"), F.concat_ws("|", F.col("Count").cast("string"), "MaxSeverity").alias("value"))
+    fields = ["Account", "CostCenter", "Year", "Month", "Amount", "Errors"]
+    rows = items_of(pieces, "RejectedRow", "_Row long, " + ", ".join(f"{n} string" for n in fields))
+    rows = rows.select(F.lit("RejectedRow").alias("section"), F.col("_Row").cast("string").alias("key"), F.concat_ws("|", *fields).alias("value"))
+    return summary.unionByName(errors).unionByName(rows)
 
 
 _CODES = "account_number, cost_center_code, fiscal_year, fiscal_month"

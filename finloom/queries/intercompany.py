@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from finloom.functions.columns import entity_of
 from finloom.functions.ordering import lay_out, with_dense_index
 from finloom.operators import journals, reconcile
+from finloom.plans.documents import items_of
 from finloom.plans.reconciliation import reconcile_intercompany
-from finloom.plans.reports import reconciliation_report, reconciliation_xml
+from finloom.plans.reports import reconciliation_document, reconciliation_report, reconciliation_xml
 from finloom.queries.registry import query
 from finloom.sources.documents import entity_list
 
@@ -255,6 +256,51 @@ def nested_report_xml(t):
     return report.select(*reconcile.PAIR_KEY, F.expr("xpath_string(document, '/Pair/@Status')").alias("status"))
 
 
+_ORDER = f"case status when 'UNRECONCILED' then 1 when 'PARTIAL_MATCH' then 2 else 3 end, abs(variance) desc, {PAIR}"
+
+
+def _document(t):
+    run = reconcile_intercompany(_budget(t), t.gl_account, t.cost_center, t.fiscal_period, 1, "recon-1", ON, with_targets=True)
+    return reconciliation_document(run, t.gl_account, "recon-1", ON, 1)
+
+
+@query(
+    "nested_report_reconciliation",
+    f"""
+    select r.pair_id, r.entity1, r.entity2, r.status, r.partner_account_id, a.account_number, r.entity1_amount::decimal(38,4) as amount1, r.entity2_amount::decimal(38,4) as amount2,
+           r.variance::decimal(38,4) as variance, r.is_within_tolerance, m.matches
+      from (select *, row_number() over (order by {_ORDER}) as pair_id from recon) r join gl_account a on r.gl_account_id = a.gl_account_id
+      left join (select gl_account_id, partner_account_id, string_agg(concat(match_type, '=', n), ',' order by match_type) as matches
+                   from (select gl_account_id, partner_account_id, match_type, count(*) as n from ic_match group by 1, 2, 3) c group by 1, 2) m
+        on r.gl_account_id = m.gl_account_id and r.partner_account_id = m.partner_account_id
+    """,
+)
+def nested_report_reconciliation(t):
+    """The pairs of the whole XML report, parsed back, with the places they have in it."""
+    schema = """_ID long, _Entity1 string, _Entity2 string, _Status string, _Partner int, Account string, Amount1 decimal(38,4), Amount2 decimal(38,4),
+                Variance decimal(38,4), WithinTolerance boolean, Match array<struct<_Type:string,Count:bigint>>"""
+    items = items_of(_document(t), "Pair", schema)
+    listed = F.array_join(F.transform("Match", lambda m: F.concat(m["_Type"], F.lit("="), m["Count"].cast("string"))), ",")
+    return items.select(
+        F.col("_ID").alias("pair_id"), F.coalesce("_Entity1", F.lit("")).alias("entity1"), F.coalesce("_Entity2", F.lit("")).alias("entity2"),
+        F.col("_Status").alias("status"), F.col("_Partner").alias("partner_account_id"), F.col("Account").alias("account_number"),
+        F.col("Amount1").alias("amount1"), F.col("Amount2").alias("amount2"), F.col("Variance").alias("variance"),
+        F.col("WithinTolerance").alias("is_within_tolerance"), listed.alias("matches"),
+    )
+
+
+@query(
+    "nested_report_matched_lines",
+    f"""select a.line_id as source_line_id, k.gl_account_id, k.partner_account_id, t.target_line_id
+          from ic_link k join ic_line a on a.gl_account_id = k.gl_account_id
+          left join ({_TARGETS}) t on t.source_line_id = a.line_id and t.partner_account_id = k.partner_account_id""",
+)
+def nested_report_matched_lines(t):
+    """The matched lines of the whole XML report, parsed back."""
+    items = items_of(_document(t), "MatchedLine", "_Account int, _Partner int, SourceID long, TargetID long")
+    return items.select(F.col("SourceID").alias("source_line_id"), F.col("_Account").alias("gl_account_id"), F.col("_Partner").alias("partner_account_id"), F.col("TargetID").alias("target_line_id"))
+
+
 @query(
     "join_range_period",
     """select j.journal_id, min(p.fiscal_period_id) as fiscal_period_id from (select o_orderkey as journal_id, cast(o_orderdate as date) as d from orders) j
