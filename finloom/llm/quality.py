@@ -65,8 +65,16 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(self.raw(place, value), -30, 30))))
 
 
-def train(texts: list[str], labels: list[int], rank: int = 8, epochs: int = 12, rate: float = 0.1, decay: float = 1e-5, seed: int = 7) -> Machine:
-    """Adaptive gradient descent on log loss; without examples of both labels every score is the share of label 1 (0.5 without any)."""
+Example = tuple[np.ndarray, np.ndarray]
+
+
+def examples(texts: list[str]) -> list[Example]:
+    """Features of a few texts that are at hand."""
+    return [x for chunk in word_chunks(pa.array(texts, pa.large_string()), fold=False) for x in features(chunk)]
+
+
+def train(rows: list[Example], labels: list[int], rank: int = 8, epochs: int = 12, rate: float = 0.1, decay: float = 1e-5, seed: int = 7) -> Machine:
+    """Adaptive gradient descent on log loss over features; without examples of both labels every score is the share of label 1 (0.5 without any)."""
     size = STATISTICS + BUCKETS
     y = np.array(labels, float)
     rng = np.random.default_rng(seed)
@@ -75,7 +83,6 @@ def train(texts: list[str], labels: list[int], rank: int = 8, epochs: int = 12,
     if len(set(labels)) < 2:
         return machine
     machine.factors = rng.normal(0, 0.02, (size, rank))
-    rows = [x for chunk in word_chunks(pa.array(texts, pa.large_string()), fold=False) for x in features(chunk)]
     g_linear, g_factors, g_bias = np.full(size, 1e-6), np.full((size, rank), 1e-6), 1e-6
     weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
     for _ in range(epochs):
@@ -99,12 +106,36 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
+def _feature_lists(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Features of texts as lists of small numbers; null texts are empty."""
+    for texts in batches:
+        wide = texts.cast(pa.large_string()).fill_null("")
+        found = [x for chunk in word_chunks(wide, fold=False) for x in features(chunk)]
+        ends = pa.array(np.cumsum([0, *(len(place) for place, _ in found)]), pa.int32())
+        flat = [np.concatenate([x[k] for x in found]) if found else np.zeros(0) for k in (0, 1)]
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(kind))) for x, kind in zip(flat, (np.int16, np.float32))]
+        yield pa.StructArray.from_arrays(lists, ["place", "value"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Machine:
-    """Trains on at most ``most`` labelled rows that are not held out, taken by a hash of the id; labels that are null or not 0 or 1 do not count."""
+    """Trains on at most ``most`` labelled rows that are not held out, taken by a hash of the id; labels that are null or not 0 or 1 do not count.
+
+    Features are made where the texts are; the driver gets six bytes per
+    feature, in the order of ids and hashes of the texts, and no text.
+    """
     chosen = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").limit(most).toPandas()
-    return train([t or "" for t in rows["text"]], [int(q) for q in rows["quality"]])
+    listed = F.arrow_udf(_feature_lists, "place array<short>, value array<float>")(F.col("text"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = rows.select("doc_id", F.xxhash64("text").alias("h"), F.col("quality").cast("int"), listed.alias("x")).orderBy("doc_id", "h").limit(most)
+    table = rows.select("quality", "x.place", "x.value").toArrow().combine_chunks()
+    learned: list[Example] = []
+    for batch in table.to_batches():
+        place, value = batch.column(1), batch.column(2)
+        ends = place.offsets.to_numpy()
+        numbers = [x.values.to_numpy() for x in (place, value)]
+        learned += [(numbers[0][a:b], numbers[1][a:b]) for a, b in zip(ends, ends[1:])]
+    return train(learned, table["quality"].to_pylist())
 
 
 def score(df: DataFrame, machine: Machine, text: str = "text", into: str = "score") -> DataFrame:

@@ -155,7 +155,7 @@ def test_factorisation_machine(docs, empty):
     place, value = np.array([1, 4, 9]), np.array([0.5, 2.0, 1.0])
     pairs = sum(machine.factors[a] @ machine.factors[b] * x * y for k, (a, x) in enumerate(zip(place, value)) for b, y in list(zip(place, value))[k + 1 :])
     assert machine.raw(place, value) == pytest.approx(0.1 + machine.linear[place] @ value + pairs)
-    trained = quality.train(["good plain words here"] * 20 + ["BAD!! ### | TEXT!!"] * 20, [1] * 20 + [0] * 20)
+    trained = quality.train(quality.examples(["good plain words here"] * 20 + ["BAD!! ### | TEXT!!"] * 20), [1] * 20 + [0] * 20)
     assert all(0 <= r.score <= 1 for r in quality.score(docs, trained).collect())
     assert quality.score(empty, trained).count() == 0
     assert quality.train([], []).score(place, value) == pytest.approx(0.5)
