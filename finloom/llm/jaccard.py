@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from finloom.llm.components import components
@@ -149,10 +149,9 @@ def jaccard_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     classes = materialise(rows.where("n > 0").groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.min("n").alias("n")), "classes")
     reps = docs.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
 
-    # one shuffle by key serves the first holder of every key and the join with it
-    keys = shingle_sets(reps, k, percent, "keys").repartition("key")
-    firsts = keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
-    shared = materialise(keys.join(firsts.hint("shuffle_hash"), "key").where("id <> first").select("key", "id", "first"), "keys")
+    # a window, not a join of the keys with themselves: that would compute and shuffle all of them twice
+    keys = shingle_sets(reps, k, percent, "keys").withColumn("first", F.min("id").over(Window.partitionBy("key")))
+    shared = materialise(keys.where("id <> first").select("key", "id", "first"), "keys")
     star = materialise(shared.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
 
     sizes = classes.select(F.col("rep").alias("id"), "n")
