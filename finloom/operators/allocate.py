@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from finloom.functions.columns import effective_on
 from finloom.functions.patterns import like, matches_all, pattern_pairs
-from finloom.operators.sinks import insert_ignore, new_lines
-from finloom.schemas import FACTOR, FINAL, MONEY
+from finloom.operators.sinks import new_lines
+from finloom.schemas import FACTOR, FINAL, MONEY, NATURAL_KEY
 from finloom.session import materialise
 from finloom.sources.documents import rule_targets
 
@@ -238,12 +238,13 @@ def eligible_rules(rules: DataFrame, productive: DataFrame) -> DataFrame:
 
 
 class Allocation(NamedTuple):
-    """``lines`` and ``marked`` are None after a dry run."""
+    """``lines``, ``marked`` and ``ledger`` are None after a dry run."""
 
     results: DataFrame
     lines: DataFrame | None
     marked: DataFrame | None
     totals: DataFrame
+    ledger: DataFrame | None
 
 
 def allocation_results(
@@ -307,13 +308,14 @@ def allocation_results(
     )
 
 
-def allocated_lines(results: DataFrame, header_id: int, target: DataFrame, lines: DataFrame | None = None) -> DataFrame:
-    """New budget lines from allocation results that survive the natural key.
+def allocation_ledger(results: DataFrame, header_id: int, target: DataFrame) -> DataFrame:
+    """Every result row as a budget line with what becomes of it, stored.
 
-    Rows meeting on one key keep the first by rule sequence, rule, source
-    line and target priority; rows whose key the budget already has are left out.
-    Ids follow the source lines; ``lines`` is the whole table when ``target``
-    is a part of it.
+    ``outcome`` is INSERT for the first row of a key by rule sequence, rule,
+    source line and target priority, COLLISION for the others, and EXISTS for
+    all rows of a key the budget already has. ``winner_line_id`` is the source
+    line whose row is inserted, ``kept_line_id`` the line that was there. One
+    aggregate finds the winners; rows that agree in everything count one by one.
     """
     candidates = results.select(
         F.lit(header_id).alias("header_id"),
@@ -326,9 +328,33 @@ def allocated_lines(results: DataFrame, header_id: int, target: DataFrame, lines
         F.lit(True).alias("is_allocated"),
         F.col("source_line_id").alias("allocation_source_line_id"),
         F.col("pct").alias("allocation_pct"),
-        F.struct("sequence", "rule_id", "source_line_id", "priority", "target_cost_center_id").alias("_order"),
+        "rule_id",
+        "sequence",
+        "priority",
     )
-    added = insert_ignore(candidates, target, "_order")
+    candidates = materialise(candidates.withColumn("_row", F.monotonically_increasing_id()), "candidates")
+    order = F.struct("sequence", "rule_id", "allocation_source_line_id", "priority", "_row")
+    winners = candidates.groupBy(*NATURAL_KEY).agg(F.min(order).alias("_winner"))
+    there = target.groupBy(*NATURAL_KEY).agg(F.min("line_id").alias("kept_line_id"))
+    joined = candidates.join(winners.join(there, NATURAL_KEY, "left"), NATURAL_KEY)
+    outcome = (
+        F.when(F.col("kept_line_id").isNotNull(), "EXISTS").when(F.col("_winner._row") == F.col("_row"), "INSERT").otherwise("COLLISION")
+    )
+    winner = F.when(F.col("kept_line_id").isNull(), F.col("_winner.allocation_source_line_id"))
+    return materialise(joined.withColumn("outcome", outcome).withColumn("winner_line_id", winner).drop("_winner", "_row"), "ledger")
+
+
+def ledger_totals(ledger: DataFrame) -> DataFrame:
+    """Rows and amount per outcome; together they are all results."""
+    return ledger.groupBy("outcome").agg(F.count("*").alias("rows"), F.sum("original_amount").cast("decimal(38,4)").alias("amount"))
+
+
+def allocated_lines(ledger: DataFrame, target: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """The ledger's inserted rows as new budget lines; ids follow the source lines.
+
+    ``lines`` is the whole table when ``target`` is a part of it.
+    """
+    added = ledger.filter("outcome = 'INSERT'")
     return new_lines(added, target if lines is None else lines, ["allocation_source_line_id", "gl_account_id", "cost_center_id", "fiscal_period_id"])
 
 
@@ -352,10 +378,13 @@ def rule_totals(results: DataFrame) -> DataFrame:
 def allocate_costs(
     lines: DataFrame, header_id: int, rules: DataFrame, cost_centers: DataFrame, accounts: DataFrame, dry_run: bool = False, **options
 ) -> Allocation:
-    """Allocation of one budget: results, lines to insert, marked lines, rule totals; a dry run ends with results and totals."""
+    """Allocation of one budget: results, lines to insert, marked lines, rule totals, and the ledger that says
+    what becomes of every result; a dry run ends with results and totals.
+    """
     budget = lines.filter(F.col("header_id") == header_id)
     results = allocation_results(budget, rules, cost_centers, accounts, **options)
     if dry_run:
-        return Allocation(results, None, None, rule_totals(results))
+        return Allocation(results, None, None, rule_totals(results), None)
     results = materialise(results, "allocated")
-    return Allocation(results, allocated_lines(results, header_id, budget, lines), mark_allocated(budget, results), rule_totals(results))
+    ledger = allocation_ledger(results, header_id, budget)
+    return Allocation(results, allocated_lines(ledger, budget, lines), mark_allocated(budget, results), rule_totals(results), ledger)

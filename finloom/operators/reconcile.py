@@ -45,6 +45,26 @@ def _link_accounts(accounts: DataFrame) -> DataFrame:
     return ic_links(accounts).select(F.explode(F.array("gl_account_id", "partner_account_id")).alias("gl_account_id")).distinct()
 
 
+#: Pairs that one task puts together.
+ROWS_PER_TASK = 250_000
+
+
+def _spread_join(left: DataFrame, right: DataFrame, keys: list[str], split_by: str, rows_per_task: int) -> DataFrame:
+    """``left`` with all rows of ``right`` of the same key, a left join whose hot keys are dealt to several tasks.
+
+    The rows per key are counted on both sides first. A key whose pairs fill
+    n tasks has its left rows dealt to n parts by ``split_by`` and its right
+    rows, the side that is copied, repeated for each part.
+    """
+    pairs = F.col("_left").cast("double") * F.col("_right")
+    parts = F.least(F.col("_left"), F.ceil(pairs / rows_per_task)).cast("int")
+    counted = left.groupBy(*keys).agg(F.count("*").alias("_left")).join(right.groupBy(*keys).agg(F.count("*").alias("_right")), keys)
+    counted = counted.select(*keys, parts.alias("_parts"))
+    dealt = left.join(counted, keys, "left").withColumn("_part", F.pmod(F.xxhash64(split_by), F.coalesce("_parts", F.lit(1))).cast("int"))
+    copied = right.join(counted, keys).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    return dealt.drop("_parts").join(copied.drop("_parts"), [*keys, "_part"], "left").drop("_part")
+
+
 def ic_pairs(
     lines: DataFrame,
     accounts: DataFrame,
@@ -53,12 +73,15 @@ def ic_pairs(
     tolerance_amount: str = "0.01",
     tolerance_pct: str = "0.001",
     mode: str = "reference",
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Balances of each entity pair on each account and its partner account.
 
     ``reference`` multiplies each side by the other side's line count, which
     is what joining line by line does. ``per_period`` compares plain sums
     within a period. Without ``entities`` all of the budget's entities count.
+    The result has one row per pair of entities that share a link; the pairs
+    of one partner account are dealt to as many tasks as they fill.
     """
     grain = ["fiscal_period_id"] if mode == "per_period" else []
     centres = cost_centers.select("cost_center_id", entity_of(F.col("code")).alias("entity"))
@@ -72,6 +95,7 @@ def ic_pairs(
         .groupBy("gl_account_id", F.coalesce("entity", F.lit("")).alias("entity"), "_known", *grain)
         .agg(F.sum("s").cast(TOTAL).alias("s"), F.sum("n").alias("n"))
     )
+    sums = materialise(sums, "entity-sums")
     own = sums.filter("_known").join(ic_links(accounts), "gl_account_id")
     if entities is not None:
         included = entities.filter("include").select(F.col("entity_code").alias("entity"))
@@ -84,7 +108,7 @@ def ic_pairs(
         F.sum("s").cast(TOTAL).alias("s2"), F.sum("n").alias("n2")
     )
     zero = F.lit(0).cast(TOTAL)
-    joined = own.join(partner, ["partner_account_id", *grain], "left").withColumn("entity2", F.coalesce("entity2", F.lit("")))
+    joined = _spread_join(own, partner, ["partner_account_id", *grain], "entity1", rows_per_task).withColumn("entity2", F.coalesce("entity2", F.lit("")))
     one, other = F.col("s1"), F.coalesce("s2", zero)
     if mode == "reference":
         one = one * F.coalesce("n2", F.lit(1))

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finloom.operators.allocate import allocated_lines, allocation_results, mark_allocated
+from finloom.operators.allocate import allocated_lines, allocation_ledger, allocation_results, mark_allocated
 from finloom.operators.sinks import new_lines
 from finloom.plans.consolidation import consolidate_budget
 from finloom.plans.reconciliation import reconcile_intercompany
@@ -181,8 +181,9 @@ def close_period(
         stored = materialise(results, "allocated")
         # the consolidated lines are not part of the table yet, their ids are taken all the same
         known = lines if budget_lines is lines else lines.unionByName(budget_lines)
-        added = allocated_lines(stored, budget_header_id, budget, known)
-        frames["allocation_results"], frames["allocated_lines"] = stored, added
+        ledger = allocation_ledger(stored, budget_header_id, budget)
+        added = allocated_lines(ledger, budget, known)
+        frames["allocation_results"], frames["allocated_lines"], frames["allocation_ledger"] = stored, added, ledger
         frames["marked_lines"] = mark_allocated(budget, stored)
         # reconciliation also sees the allocated lines
         budget_lines = budget.unionByName(added)

@@ -232,3 +232,22 @@ def allocated_lines(t):
     """Lines an allocation inserts, with the ids they get."""
     run = allocate.allocate_costs(t.budget_line_item, 1, t.allocation_rule, t.cost_center, t.gl_account)
     return run.lines.select("line_id", *LINE_KEY, "original_amount", "final_amount", "allocation_source_line_id", "is_allocated")
+
+
+@query(
+    "allocation_ledger",
+    f"""select r.rule_id, r.source_line_id, r.priority, r.target_cost_center_id, r.fiscal_period_id, r.amount, l.line_id as kept_line_id,
+               case when l.line_id is not null then 'EXISTS' when row_number() over w = 1 then 'INSERT' else 'COLLISION' end as outcome,
+               case when l.line_id is null then first_value(r.source_line_id) over w end as winner_line_id
+          from ({_RESULTS}) r left join (select * from budget_line_item where header_id = 1) l on l.gl_account_id = r.target_gl_account_id
+               and l.cost_center_id = r.target_cost_center_id and l.fiscal_period_id = r.fiscal_period_id
+        window w as (partition by r.target_gl_account_id, r.target_cost_center_id, r.fiscal_period_id order by r.sequence, r.rule_id, r.source_line_id, r.priority)""",
+    inline=True,
+)
+def allocation_ledger(t):
+    """What becomes of every allocated amount: inserted, lost to another one on its key, or kept out by a line that is there."""
+    ledger = allocate.allocation_ledger(_results(t), 1, _budget(t))
+    return ledger.select(
+        "rule_id", F.col("allocation_source_line_id").alias("source_line_id"), "priority", F.col("cost_center_id").alias("target_cost_center_id"),
+        "fiscal_period_id", F.col("original_amount").alias("amount"), "kept_line_id", "outcome", "winner_line_id",
+    )

@@ -177,7 +177,19 @@ def test_run_marks_sources_and_drops_collisions(spark, centres, accounts):
     assert b.collect(run.results, "rule_id", "target_cost_center_id", "amount") == [(1, 2, 50), (1, 3, 50), (2, 2, 4)]
     # rule 2 comes first on centre 2; centre 3 already has a line
     assert b.collect(run.lines, "cost_center_id", "original_amount", "allocation_source_line_id") == [(2, 4, 2)]
+    assert b.collect(run.ledger, "rule_id", "cost_center_id", "outcome", "winner_line_id", "kept_line_id") == [
+        (1, 2, "COLLISION", 2, None), (1, 3, "EXISTS", None, 2), (2, 2, "INSERT", 2, None)]
+    assert b.collect(allocate.ledger_totals(run.ledger)) == [("COLLISION", 1, 50), ("EXISTS", 1, 50), ("INSERT", 1, 4)]
     assert b.collect(run.marked, "line_id", "is_allocated") == [(1, True), (2, True), (3, False)]
     assert b.collect(run.totals) == [(1, 100, 2), (2, 4, 1)]
     again = allocate.allocation_results(run.marked, b.rules(spark, rules), centres, accounts)
     assert again.count() == 0
+
+
+def test_equal_results_are_inserted_once(spark):
+    row = (7, 2, 20, 5, None, 1, 10, 1, 1)
+    schema = "source_line_id long, target_cost_center_id int, target_gl_account_id int, amount decimal(19,4), pct decimal(18,6), rule_id int, sequence int, priority int, fiscal_period_id int"
+    found = spark.createDataFrame([(*row[:3], Decimal(5), *row[4:])] * 400 + [(8, 3, 20, Decimal(5), *row[4:])], schema).repartition(5)
+    ledger = allocate.allocation_ledger(found, 1, b.lines(spark, []))
+    assert b.collect(allocate.ledger_totals(ledger)) == [("COLLISION", 399, 1995), ("INSERT", 2, 10)]
+    assert allocate.allocated_lines(ledger, b.lines(spark, [])).count() == 2

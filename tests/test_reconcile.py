@@ -4,6 +4,7 @@ from decimal import Decimal
 
 import builders as b
 import pytest
+from pyspark.sql import functions as F
 
 from finloom.operators import journals, reconcile
 from finloom.plans.reconciliation import reconcile_intercompany
@@ -192,3 +193,27 @@ def test_targets_without_partner_lines(spark):
     got = reconcile.match_targets(b.lines(spark, [(1, 101, 1, 1, 5), (2, 101, 1, 2, 0)]), accounts)
     assert b.collect(got, "source_line_id", "target_line_id", "pairing") == [(1, None, None), (2, None, None)]
     assert reconcile.match_targets(b.lines(spark, []), accounts).isEmpty()
+
+
+def test_a_hot_link_is_dealt_to_many_tasks(many_pieces):
+    """One link has nearly all pairs; no task holds more than twice the median."""
+    spark = many_pieces
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        n = 400
+        centres = b.cost_centers(spark, [{"cost_center_id": i, "parent_id": None, "code": f"E{i}-1"} for i in range(1, n + 1)])
+        accounts = b.accounts(spark, [{"gl_account_id": g, "intercompany_flag": True, "consolidation_account_id": p} for g, p in [(101, 102), (103, 104)]])
+        rows = [(i * 4 + k, g, i, 1, i + k) for i in range(1, n + 1) for k, g in enumerate((101, 102))] + [(9000, 103, 1, 1, 5), (9001, 104, 2, 1, 7)]
+        lines = b.lines(spark, rows)
+        spread = reconcile.ic_pairs(lines, accounts, centres, rows_per_task=500)
+        whole = reconcile.ic_pairs(lines, accounts, centres)
+        assert sorted(map(str, spread.collect())) == sorted(map(str, whole.collect())) and spread.count() == n * n + 1
+
+        def largest(df):
+            sizes = sorted(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+            return sizes[-1], sizes[len(sizes) // 2]
+
+        most, median = largest(spread)
+        assert most <= 2 * median and largest(whole)[0] >= n * n
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
