@@ -18,11 +18,24 @@ MAX_LENGTHS = {
     "cost_center": {"code": 20, "name": 100},
     "gl_account": {"account_number": 20, "account_name": 150},
     "budget_header": {"budget_code": 30, "budget_name": 100, "budget_type": 20, "scenario_type": 20},
+    "budget_line_item": {"unit_of_measure": 10, "spread_method": 10, "source_system": 30, "source_reference": 100},
     "allocation_rule": {"rule_code": 30, "rule_name": 100, "cc_pattern": 50, "account_pattern": 50, "basis": 30},
     "journal": {"journal_number": 30, "journal_type": 20, "description": 500},
     "journal_line": {"description": 255},
 }
 
+# Columns that must have a value.
+REQUIRED = {
+    "fiscal_period": ["fiscal_year", "fiscal_quarter", "fiscal_month", "period_name", "period_start", "period_end", "is_closed", "is_adjustment"],
+    "cost_center": ["code", "name", "weight", "is_active", "effective_from"],
+    "gl_account": ["account_number", "account_name", "account_type", "is_budgetable", "intercompany_flag"],
+    "budget_header": ["budget_code", "budget_name", "budget_type", "scenario_type", "status_code", "version_number", "fiscal_year"],
+    "budget_line_item": ["header_id", "gl_account_id", "cost_center_id", "fiscal_period_id", "original_amount", "adjusted_amount", "is_allocated"],
+    "allocation_rule": ["rule_code", "rule_name", "rule_type", "allocation_method", "sequence", "effective_from", "is_active"],
+    "journal": ["journal_number", "journal_type", "header_id", "fiscal_period_id", "posting_date", "status_code"],
+    "journal_line": ["gl_account_id", "cost_center_id", "debit_amount", "credit_amount"],
+}
+
 PRIMARY_KEYS = {
     "fiscal_period": ["fiscal_period_id"],
     "cost_center": ["cost_center_id"],
@@ -48,6 +61,7 @@ UNIQUE_KEYS = {
 # child table, child column, parent table, parent column
 FOREIGN_KEYS = [
     ("cost_center", "parent_id", "cost_center", "cost_center_id"),
+    ("gl_account", "parent_account_id", "gl_account", "gl_account_id"),
     ("budget_header", "start_period_id", "fiscal_period", "fiscal_period_id"),
     ("budget_header", "end_period_id", "fiscal_period", "fiscal_period_id"),
     ("budget_header", "base_header_id", "budget_header", "header_id"),
@@ -60,6 +74,9 @@ FOREIGN_KEYS = [
     ("allocation_rule", "depends_on", "allocation_rule", "rule_id"),
     ("journal", "header_id", "budget_header", "header_id"),
     ("journal", "fiscal_period_id", "fiscal_period", "fiscal_period_id"),
+    ("journal", "reversal_period_id", "fiscal_period", "fiscal_period_id"),
+    ("journal", "reversed_from_journal_id", "journal", "journal_id"),
+    ("journal_line", "allocation_rule_id", "allocation_rule", "rule_id"),
     ("journal_line", "journal_id", "journal", "journal_id"),
     ("journal_line", "gl_account_id", "gl_account", "gl_account_id"),
     ("journal_line", "cost_center_id", "cost_center", "cost_center_id"),
@@ -119,6 +136,9 @@ def _row_rules(name: str, df: DataFrame) -> DataFrame:
     for column, longest in MAX_LENGTHS.get(name, {}).items():
         if column in df.columns:
             rules[f"LENGTH_{column.upper()}"] = F.length(column) > longest
+    for column in REQUIRED[name]:
+        if column in df.columns:
+            rules[f"REQUIRED_{column.upper()}"] = F.col(column).isNull()
     names = F.array_compact(F.array(F.lit(None).cast("string"), *[F.when(broken, F.lit(rule)) for rule, broken in rules.items()]))
     return df.select(
         F.lit(name).alias("table_name"), F.explode(names).alias("rule"), _key_text(PRIMARY_KEYS[name]).alias("row_key"),

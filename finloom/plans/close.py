@@ -122,9 +122,14 @@ def close_period(
     journal_id: int = 1,
     elimination_mode: str = "corrected",
     max_depth: int = 10,
+    include_eliminations: bool = True,
+    include_zero: bool = True,
+    rounding: int | None = None,
 ) -> Close:
     """Run the close. Only step counts and the findings come to the driver.
 
+    ``include_eliminations``, ``include_zero`` and ``rounding`` are those of the consolidation.
+
     Cost centres below ``max_depth`` are not consolidated; the frame
     ``left_out_lines`` has the lines of all centres left out, ``marked_lines``
     the lines with the flags that the allocation sets.
@@ -164,7 +169,7 @@ def close_period(
         nonlocal budget_lines, budget_header_id
         result = consolidate_budget(
             lines, headers, accounts, cost_centers, budget_id, new_header_id, run_ts.date(), run_id, run_ts,
-            mode=elimination_mode, max_depth=max_depth,
+            include_eliminations=include_eliminations, mode=elimination_mode, include_zero=include_zero, rounding=rounding, max_depth=max_depth,
         )
         frames["left_out_lines"] = result.left_out
         # stored, as the following steps read the lines several times

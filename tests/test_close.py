@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+from decimal import ROUND_HALF_UP, Decimal
 
 import builders as b
 import pytest
@@ -75,6 +76,21 @@ def test_active_budget(spark):
     assert close.active_budget(b.headers(spark, rows), periods, 4).count() == 0
 
 
+def test_consolidation_options_reach_the_close(spark, world):
+    def amounts(**options):
+        done = close.close_period(**world, fiscal_period_id=2, run_id="r", run_ts=TS, run_allocations=False, run_reconciliation=False, **options)
+        lines = done.frames["consolidated_lines"]
+        known = world["lines"].agg(F.max("line_id")).first()[0]
+        ids = sorted(r["line_id"] for r in lines.collect())
+        assert ids == list(range(known + 1, known + 1 + len(ids)))
+        return sorted(r["original_amount"] for r in lines.collect())
+
+    plain = amounts()
+    assert amounts(rounding=-1) == sorted(x.quantize(Decimal('1E1'), ROUND_HALF_UP) for x in plain)
+    assert amounts(include_zero=False) == [x for x in plain if x != 0]
+    assert len(amounts(include_eliminations=False)) == len(plain)
+
+
 def test_soft_close(spark, world):
     done = close.close_period(**world, fiscal_period_id=2, run_id="run-0001", run_ts=TS)
     assert done.status == "COMPLETED"

@@ -70,3 +70,21 @@ def test_violations(spark):
         ("gl_account", "ACCOUNT_TYPE", "10", 1),
         ("gl_account", "UNIQUE_ACCOUNT_NUMBER", "GL10", 2),
     ]
+
+
+def test_required_values_lengths_and_references(spark):
+    accounts = b.accounts(spark, [{"gl_account_id": 10}]).selectExpr("*", "99 AS parent_account_id")
+    lines = b.lines(spark, [(1, 10, 1, 1, 5)]).selectExpr("* EXCEPT (source_system, adjusted_amount, is_allocated)", "repeat('s', 31) AS source_system", "CAST(NULL AS decimal(19,4)) AS adjusted_amount", "CAST(NULL AS boolean) AS is_allocated")
+    journal = spark.createDataFrame([(1, "J1", "ADJUSTMENT", 1, 1, b.DAY, None, "DRAFT", 7, 8)], "journal_id long, journal_number string, journal_type string, header_id int, fiscal_period_id int, posting_date date, description string, status_code string, reversal_period_id int, reversed_from_journal_id long")
+    tables = {
+        "gl_account": accounts, "budget_line_item": lines, "journal": journal, "cost_center": b.cost_centers(spark, [(1, None)]),
+        "fiscal_period": b.periods(spark, [(1, 2000, 1)]), "budget_header": b.headers(spark, [{"header_id": 1, "end_period_id": 1}]),
+    }
+    assert b.collect(validate_model(tables)) == [
+        ("budget_line_item", "LENGTH_SOURCE_SYSTEM", "1", 1),
+        ("budget_line_item", "REQUIRED_ADJUSTED_AMOUNT", "1", 1),
+        ("budget_line_item", "REQUIRED_IS_ALLOCATED", "1", 1),
+        ("gl_account", "FK_PARENT_ACCOUNT_ID", "99", 1),
+        ("journal", "FK_REVERSAL_PERIOD_ID", "7", 1),
+        ("journal", "FK_REVERSED_FROM_JOURNAL_ID", "8", 1),
+    ]
