@@ -29,7 +29,11 @@ def byte_letters() -> list[str]:
 
 
 class Counter:
-    """Greedy longest-match lengths over ``pieces``; symbols are single characters, a word's last piece may hold END."""
+    """Greedy longest-match lengths over ``pieces``; symbols are single characters.
+
+    A word's last piece may hold END or not: an END that no piece takes along
+    is popped without counting.
+    """
 
     _made: dict[str, Counter] = {}
 
@@ -47,13 +51,21 @@ class Counter:
                     is_piece.append(False)
                 at = self.go[at][c]
             is_piece[at] = at > 0
+        if END not in self.go[0]:
+            self.go[0][END] = len(self.go)
+            self.go.append({})
+            parent.append(0)
+            symbol.append(END)
+            is_piece.append(True)
+        alone = self.go[0][END]
+        is_piece[alone] = True
         self.fail: list[int | None] = [None] * len(self.go)
         self.popped = [0] * len(self.go)
         level = list(self.go[0].values())
         while level:
             for node in level:
                 if is_piece[node]:
-                    self.fail[node], self.popped[node] = 0, 1
+                    self.fail[node], self.popped[node] = 0, int(node != alone)
                     continue
                 link, count = self.fail[parent[node]], self.popped[parent[node]]
                 while link is not None and symbol[node] not in self.go[link]:

@@ -170,7 +170,7 @@ def test_longest_match_counts(docs, empty):
         while at < len(symbols):
             ends = [e for e in range(at + 1, len(symbols) + 1) if tuple(symbols[at:e]) in known]
             if not ends:
-                return 1
+                return n if symbols[at:] == ["</w>"] else 1  # the last piece need not hold the end mark
             n, at = n + 1, ends[-1]
         return n
 
