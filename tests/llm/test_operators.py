@@ -233,3 +233,44 @@ def test_secrets_equal_the_patterns(docs, empty, spark):
     assert [(s.start, s.end) for s in got[1].spans] == want and got[2].spans == []
     assert secrets.mask(secrets.find_secrets(df)).where("doc_id = 1").first().text == "é [assign]' [access] token=short [hex] 0123abc"
     assert secrets.find_secrets(empty).count() == 0 and secrets.find_secrets(docs).count() == docs.count()
+
+
+def test_pieces_of_hostile_texts(spark):
+    lattice = pieces.Lattice.of(pieces.MODEL)
+    long_word = "a" * 100_000
+    texts = [long_word, "x" + " " * 5000 + "y", "1234\n\n\t56", "▁mark", "", " ", "the" * 300, "né 𝄞" * 40]
+    df = spark.createDataFrame([(i, t, "mine") for i, t in enumerate(texts)] * 2, "doc_id long, text string, _coded string")
+    rows = pieces.encode(df, n=3).collect()
+    assert len(rows) == 2 * len(texts) and all(r._coded == "mine" and r.round_trip == ("▁" not in r.text) for r in rows)
+    assert all(a.piece_ids == b.piece_ids and a.scores == b.scores for a in rows for b in rows if a.doc_id == b.doc_id)
+    for r in rows:
+        best = lattice.encode(r.text, 3)
+        assert best[0][1] == r.piece_ids and [s for s, _ in best] == r.scores == sorted(r.scores, reverse=True)
+        assert len({tuple(ids) for _, ids in best}) == len(best) and len({lattice.decode(ids) for _, ids in best}) == 1
+    # ties: of equal scores, the smaller ids from the end
+    word = "▁thethe"
+    arcs = lattice._arcs(word)
+    paths = {0: [(0.0, ())]}
+    for end in range(1, len(word) + 1):
+        paths[end] = [(s + score, ids + piece) for begin, piece, score in arcs[end] for s, ids in paths[begin]]
+    assert lattice.word(word, 1)[0] == min(paths[len(word)], key=lambda p: (-p[0], p[1][::-1]))
+    assert [s for s, _ in lattice.word(word, 40)] == sorted((s for s, _ in paths[len(word)]), reverse=True)[:40]
+
+
+def test_pieces_do_not_depend_on_words_seen_before(monkeypatch):
+    monkeypatch.setattr(pieces, "CACHE", 7)
+    small, whole = pieces.Lattice(pieces.MODEL), pieces.Lattice.of(pieces.MODEL)
+    text = " ".join(f"w{i % 9} the {'ab' * (i % 5)}" for i in range(200))
+    assert small.encode(text, 2) == whole.encode(text, 2) == small.encode(text, 2)
+    assert len(small._caches[2]) <= 7
+
+
+def test_pieces_of_a_text_are_those_of_the_whole_lattice():
+    lattice = pieces.Lattice.of(pieces.MODEL)
+    rng = np.random.default_rng(5)
+    letters = list("aethn é1ï.,***\"'(=\n\t ЖЗи据数取获一个ال─═ß▁𝄞  ")
+    for _ in range(300):
+        text = "".join(rng.choice(letters, rng.integers(1, 25)))
+        whole = lattice.word("▁" + text.replace(" ", "▁"), 3)
+        assert [s for s, _ in lattice.encode(text, 3)] == [s for s, _ in whole], text
+        assert tuple(lattice.encode(text, 1)[0][1]) == whole[0][1], text
