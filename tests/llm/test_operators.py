@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from finloom.llm import decontaminate, jaccard, pieces, pii, pseudo_likelihood, quality, secrets, topk, warc, wordpieces
+from finloom.llm import queries as corpus_queries
 
 SCHEMA = "doc_id long, text string, lang string, spans string, score string"
 LONG = "wide word list " * 4000
@@ -274,3 +275,25 @@ def test_pieces_of_a_text_are_those_of_the_whole_lattice():
         whole = lattice.word("▁" + text.replace(" ", "▁"), 3)
         assert [s for s, _ in lattice.encode(text, 3)] == [s for s, _ in whole], text
         assert tuple(lattice.encode(text, 1)[0][1]) == whole[0][1], text
+
+
+def test_the_piece_queries_give_the_ten_best(spark):
+    lattice = pieces.Lattice.of(pieces.MODEL)
+    texts = ["a", "the tion naïve", "data pipelines", "x 𝄞 y"]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    for rows in (pieces.encode(docs).collect(), corpus_pipeline.encode_pieces(spark, docs, "").collect()):
+        for r in rows:
+            best = lattice.word("▁" + texts[r.doc_id].replace(" ", "▁"), 10)
+            assert r.scores == pytest.approx([s for s, _ in best]) and tuple(r.piece_ids) == best[0][1]
+        assert max(len(r.scores) for r in rows) == 10
+    rows = corpus_queries.QUERIES["op9_sentencepiece"](spark, "/root/testdata/sf0.001").where("n_pieces >= 60").collect()
+    assert rows and all(len(r.scores) == 10 and r.scores == sorted(r.scores, reverse=True) and r.scores[:2] == [r.score, r.second_score] for r in rows)
+
+
+def test_the_first_segmentation_and_what_the_second_loses():
+    lattice = pieces.Lattice.of(pieces.MODEL)
+    for word in ("▁the", "▁thethe", "▁naïve", "▁a𝄞", "▁" + "ab" * 30, "▁", "…"):
+        two = lattice.word(word, 2)
+        score, ids, loss = lattice.first(word)
+        assert (score, np.frombuffer(ids, np.int32).tolist()) == (two[0][0], list(two[0][1]))
+        assert loss == (pytest.approx(two[0][0] - two[1][0]) if len(two) > 1 else pieces.NEVER)
