@@ -45,10 +45,10 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its piece ids."""
+    """Every document with the ids of its best segmentation and the scores of its n best ones."""
     small_batches(spark)
-    coded = pieces.encode(docs, n=1)
-    return coded.select("doc_id", "lang", "source", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", "round_trip")
+    coded = pieces.encode(docs)
+    return coded.select("doc_id", "lang", "source", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", "round_trip", "scores")
 
 
 STAGES = [
