@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from finloom.functions.ordering import lay_out, with_dense_index
 from finloom.schemas import FINAL, MONEY, WEIGHT
-from finloom.session import new_folder
+from finloom.session import bound_tasks, new_folder
 
 FIRST_YEAR = 1995
 FIRST_OPEN_YEAR = 2000
@@ -471,5 +471,11 @@ class PlanningTables:
         return suppliers.unionByName(regions)
 
 
+#: The raw tables that grow.
+FACTS = ("customer", "supplier", "part", "orders", "lineitem")
+
+
 def planning_tables(spark: SparkSession, folder: str) -> PlanningTables:
-    return PlanningTables(spark, folder)
+    tables = PlanningTables(spark, folder)
+    bound_tasks(spark, [f"{tables.folder}/{name}.parquet" for name in FACTS])
+    return tables

@@ -1,6 +1,8 @@
 import pytest
 
-from finloom.session import materialise, working_root
+from finloom import session
+from finloom.session import bound_tasks, materialise, working_root
+from finloom.sources.planning_tables import planning_tables
 
 
 class _Context:
@@ -34,3 +36,32 @@ def test_stored_frame_keeps_rows_and_types(spark):
     frame = spark.sql("select id, cast(id as decimal(20,4)) as d, array(struct(id as i)) as a from range(5)")
     stored = materialise(frame, "t")
     assert stored.schema.simpleString() == frame.schema.simpleString() and sorted(stored.collect()) == sorted(frame.collect())
+
+
+def test_larger_input_is_cut_more_finely(spark, tmp_path, monkeypatch):
+    keys = ["spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    before = {k: spark.conf.get(k) for k in keys}
+    (tmp_path / "t").write_bytes(bytes(9000))
+    try:
+        bound_tasks(spark, [str(tmp_path / "t")])
+        assert {k: spark.conf.get(k) for k in keys} == before
+        monkeypatch.setattr(session, "SHARE", 1000)
+        monkeypatch.setattr(session, "MOST_READ", 4000)
+        bound_tasks(spark, [str(tmp_path / "t")])
+        assert spark.conf.get(keys[0]) == "9" and spark.conf.get(keys[1]) == "4000" and int(spark.conf.get(keys[2])) == session.MOST_SHUFFLED
+        spark.conf.set(keys[2], "1MB")
+        bound_tasks(spark, [str(tmp_path / "t")])
+        assert spark.conf.get(keys[0]) == "9" and int(spark.conf.get(keys[2])) == 1 << 20
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def test_planning_tables_are_read_in_bounded_tasks(spark, monkeypatch):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(session, "SHARE", 10_000)
+    try:
+        planning_tables(spark, "/root/testdata/sf0.001")
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) > int(before)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
