@@ -21,20 +21,24 @@ _SLOT_BITS = 33  # monotonically_increasing_id keeps the row number in its low 3
 _SLOT_MASK = (1 << _SLOT_BITS) - 1
 
 
-def lay_out(df: DataFrame, order: list[str | Column]) -> DataFrame:
-    """Add the piece number and the position inside it, following ``order``.
+def in_order(df: DataFrame, order: list[str | Column]) -> DataFrame:
+    """Sort by range and add the piece number and the position inside it; the numbers hold once the frame is stored.
 
     Rows that tie on ``order`` are told apart by a number, so that even equal
     rows can be split over several pieces.
     """
     placed = df.withColumn("_tie", F.monotonically_increasing_id()).sort(*order, "_tie").drop("_tie")
     placed = placed.withColumn("_mono", F.monotonically_increasing_id())
-    placed = (
+    return (
         placed.withColumn(PIECE, F.shiftright("_mono", _SLOT_BITS).cast("int"))
         .withColumn(SLOT, F.col("_mono").bitwiseAND(F.lit(_SLOT_MASK)))
         .drop("_mono")
     )
-    return materialise(placed, "ordered")
+
+
+def lay_out(df: DataFrame, order: list[str | Column]) -> DataFrame:
+    """``in_order``, stored."""
+    return materialise(in_order(df, order), "ordered")
 
 
 def _in_piece():

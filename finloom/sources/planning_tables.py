@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finloom.functions.ordering import lay_out, with_dense_index
+from finloom.functions.ordering import PIECE, SLOT, in_order, with_dense_index
 from finloom.schemas import FINAL, MONEY, WEIGHT
 from finloom.session import bound_tasks, new_folder
 
@@ -304,44 +304,45 @@ class PlanningTables:
 
     @cached_property
     def import_staging(self) -> DataFrame:
-        return self._store("import_staging", self._import_staging)
+        stored = self._store("import_staging", self._import_staging)
+        names = [c for c in stored.columns if c not in (PIECE, SLOT)]
+        return with_dense_index(stored, "row_id").select("row_id", *names)
 
     def _import_staging(self) -> DataFrame:
-        """Every shipped line as an import row with codes; some codes are bad, some amounts missing."""
+        """Every shipped line as an import row with codes; some codes are bad, some amounts missing.
+
+        Stored in order with piece and position, from which readers get the row
+        id. Rows that agree in all of ``order`` are alike in every column, so
+        the order needs no more columns of the line.
+        """
         centres = (
             self.raw("supplier")
             .join(self.raw("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-            .select(
-                "s_suppkey",
-                F.concat(F.lit("R"), "n_regionkey", F.lit("-N"), "n_nationkey", F.lit("-S"), "s_suppkey").alias(
-                    "cost_center_code"
-                ),
-            )
+            .select("s_suppkey", "n_regionkey", "n_nationkey")
         )
+        order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"]
+        brands = self.raw("part").select("p_partkey", F.substring("p_brand", 7, 10).alias("brand"))
         lines = (
             self.raw("lineitem")
-            .join(self.raw("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+            .join(brands, F.col("l_partkey") == F.col("p_partkey"))
             .join(centres, F.col("l_suppkey") == F.col("s_suppkey"))
+            .select(*order, "brand", "n_regionkey", "n_nationkey")
         )
-        order = [
-            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice",
-            "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
-        ]
-        numbered = with_dense_index(lay_out(lines, order), "row_id")
         bad = F.col("l_orderkey") % 53 == 0
         missing = (F.col("l_linenumber") == 7) & (F.col("l_orderkey") % 11 == 0)
-        return numbered.select(
-            "row_id",
+        return in_order(lines, order).select(
             F.when(bad, F.concat(F.lit("BAD"), "l_partkey"))
-            .otherwise(F.concat(F.lit("GL"), F.lpad(F.substring("p_brand", 7, 10), 3, "0")))
+            .otherwise(F.concat(F.lit("GL"), F.lpad("brand", 3, "0")))
             .alias("account_number"),
-            "cost_center_code",
+            F.concat(F.lit("R"), "n_regionkey", F.lit("-N"), "n_nationkey", F.lit("-S"), "l_suppkey").alias("cost_center_code"),
             F.year("l_shipdate").cast("int").alias("fiscal_year"),
             F.month("l_shipdate").cast("int").alias("fiscal_month"),
             F.when(~missing, F.col("l_extendedprice").cast(MONEY)).alias("original_amount"),
             (-F.col("l_quantity").cast(MONEY)).cast(MONEY).alias("adjusted_amount"),
             F.lit("EVEN").alias("spread_method"),
             F.lit(None).cast("string").alias("notes"),
+            PIECE,
+            SLOT,
         )
 
     @cached_property

@@ -37,3 +37,13 @@ def test_summary_groups_ids_only(spark):
     text = plan(entry_points.queries()["budget_summary"](spark, FOLDER))
     grouping = text.split("HashAggregate(keys=[")[1].split("]")[0]
     assert "account_name" not in grouping and "budget_code" not in grouping
+
+
+def test_staging_orders_only_what_it_needs(spark):
+    tables = planning_tables(spark, FOLDER)
+    text = tables._import_staging()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort [" in text
+    for column in ("l_discount", "l_tax", "l_returnflag", "l_linestatus", "p_name"):
+        assert column not in text.split("Relation ")[0]
+    stored = plan(tables.import_staging.select("cost_center_code"))
+    assert "Sort" not in stored and "Window" not in stored.split("BroadcastExchange")[0]
