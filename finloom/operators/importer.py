@@ -128,7 +128,9 @@ def _tagged(flagged: DataFrame, target: DataFrame, mode: str, duplicates: str) -
     existing = target.groupBy(*LINE_KEY).agg(F.min("line_id").alias("_line_id"))
     keys = flagged.filter(_complete_key()).groupBy(*LINE_KEY).agg(F.min("row_id").alias("first_row_id"), written.alias("_written"))
     joined = flagged.join(keys.join(existing, LINE_KEY, "left"), LINE_KEY, "left")
-    checks = []
+    kind = "array<struct<code:string,message:string,column_name:string,severity:string>>"
+    none = F.array().cast(kind)
+    lists, texts, wrong = [none], [], F.lit(False)
     for code, message, column in CHECKS:
         if code not in rules:
             continue
@@ -139,17 +141,20 @@ def _tagged(flagged: DataFrame, target: DataFrame, mode: str, duplicates: str) -
             F.lit(column).cast("string").alias("column_name"),
             F.lit(severity).alias("severity"),
         )
-        checks.append(F.when(condition, error))
-    errors = F.array_compact(F.array(*checks)).cast("array<struct<code:string,message:string,column_name:string,severity:string>>")
-    text = F.array_join(F.transform("errors", lambda e: F.concat(e["code"], F.lit(": "), e["message"])), "; ")
+        # lists of one or none are joined: a lambda over nine places would run outside generated code
+        lists.append(F.when(condition, F.array(error).cast(kind)).otherwise(none))
+        texts.append(F.when(condition, f"{code}: {message}"))
+        if severity == "ERROR":
+            wrong = wrong | F.coalesce(condition, F.lit(False))
+    errors, text = F.concat(*lists), F.concat_ws("; ", *texts)
     importable = F.col("is_valid") & _complete_key() & F.col("original_amount").isNotNull()
     there = F.col("_line_id").isNotNull()
     chosen = F.col("row_id") == F.col("_written")
     taken = F.when(there, "UPDATE").otherwise("INSERT") if duplicates == "UPDATE" else F.when(~there, "INSERT").otherwise("SKIP")
     return (
         joined.withColumn("errors", errors)
-        .withColumn("is_valid", ~F.exists("errors", lambda e: e["severity"] == "ERROR"))
-        .withColumn("validation_errors", F.when(F.size("errors") > 0, text))
+        .withColumn("is_valid", ~wrong)
+        .withColumn("validation_errors", F.when(text != "", text))
         .withColumn("action", F.when(~importable, "REJECT").when(chosen, taken).otherwise("SKIP"))
         .drop("_budgetable", "_active", "_closed", "first_row_id", "_written")
     )

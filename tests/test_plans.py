@@ -47,3 +47,8 @@ def test_staging_orders_only_what_it_needs(spark):
         assert column not in text.split("Relation ")[0]
     stored = plan(tables.import_staging.select("cost_center_code"))
     assert "Sort" not in stored and "Window" not in stored.split("BroadcastExchange")[0]
+
+
+def test_error_lists_need_no_lambda(spark):
+    for name in ("import_errors", "import_error_summary", "string_agg_ordered", "rejected_sample"):
+        assert "lambda" not in entry_points.queries()[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
