@@ -42,6 +42,15 @@ MEASURES = [
 ]
 
 
+def line_measures() -> dict[str, Column]:
+    """What one line adds to each measure."""
+    amounts = [
+        F.col("original_amount"), F.col("adjusted_amount"), F.col("original_amount") + F.col("adjusted_amount"),
+        F.coalesce("local_currency_amount", F.lit(0)), F.coalesce("reporting_currency_amount", F.lit(0)), F.lit(1),
+    ]
+    return dict(zip(MEASURES, amounts))
+
+
 def line_totals(lines: DataFrame) -> DataFrame:
     """Sums and number of lines per natural key."""
     return lines.groupBy(*NATURAL_KEY).agg(

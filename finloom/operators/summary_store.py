@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finloom.operators.summary import MEASURES, line_totals
+from finloom.operators.summary import MEASURES, line_measures, line_totals
 from finloom.schemas import NATURAL_KEY, TOTAL
 
 MANIFEST = "version long, header_id int, data_version long"
@@ -80,11 +80,12 @@ def _consistent() -> Column:
 
 def merged(stored: DataFrame, removed: DataFrame | None, added: DataFrame | None) -> DataFrame:
     """Stored totals after lines were removed and added; an updated line is removed as it was and added as it is."""
+    # lines and stored totals meet in one aggregate: a line is the total of itself
     parts = stored
     for lines, sign in ((removed, -1), (added, 1)):
         if lines is not None:
-            totals = line_totals(lines)
-            parts = parts.unionByName(totals.select(*NATURAL_KEY, *[(F.col(m) * sign).cast(totals.schema[m].dataType).alias(m) for m in MEASURES]))
+            own = line_measures()
+            parts = parts.unionByName(lines.select(*NATURAL_KEY, *[(own[m] * sign).cast(stored.schema[m].dataType).alias(m) for m in MEASURES]))
     sums = [F.sum(m).cast(stored.schema[m].dataType).alias(m) for m in MEASURES]
     return parts.groupBy(*NATURAL_KEY).agg(*sums).filter(_consistent())
 

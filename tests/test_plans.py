@@ -3,7 +3,9 @@
 import pytest
 
 import __spark_entry__ as entry_points
-from finloom.operators.summary import variance_one_pass
+from finloom.operators.summary import line_totals, variance_one_pass
+from finloom.operators.summary_store import merged
+from finloom.session import materialise
 from finloom.sources.planning_tables import planning_tables
 
 FOLDER = "/root/testdata/sf0.001"
@@ -52,3 +54,10 @@ def test_staging_orders_only_what_it_needs(spark):
 def test_error_lists_need_no_lambda(spark):
     for name in ("import_errors", "import_error_summary", "string_agg_ordered", "rejected_sample"):
         assert "lambda" not in entry_points.queries()[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_changed_lines_meet_stored_totals_in_one_shuffle(spark):
+    lines = planning_tables(spark, FOLDER).budget_line_item
+    totals = materialise(line_totals(lines), "totals")
+    changed = lines.filter("header_id = 2")
+    assert plan(merged(totals, changed, changed)).count("Exchange hashpartitioning") == 1
