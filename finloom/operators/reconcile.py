@@ -49,6 +49,13 @@ def _link_accounts(accounts: DataFrame) -> DataFrame:
 ROWS_PER_TASK = 250_000
 
 
+def linked_lines(lines: DataFrame, accounts: DataFrame) -> DataFrame:
+    """The lines on either side of a link with the columns that pairs and matches need; matches of other lines do not exist."""
+    return lines.join(_link_accounts(accounts), "gl_account_id", "left_semi").select(
+        "line_id", "gl_account_id", "cost_center_id", "fiscal_period_id", "final_amount"
+    )
+
+
 def _spread_join(left: DataFrame, right: DataFrame, keys: list[str], split_by: str, rows_per_task: int) -> DataFrame:
     """``left`` with all rows of ``right`` of the same key, a left join whose hot keys are dealt to several tasks.
 

@@ -13,6 +13,7 @@ from finloom.operators.reconcile import (
     entities_of_budget,
     entity_stats,
     ic_pairs,
+    linked_lines,
     match_amounts,
     match_lines,
     match_targets,
@@ -52,9 +53,11 @@ def reconcile_intercompany(
 ) -> Reconciliation:
     """Pairs with status, match counts, statistics and, on request, target lines and an adjustment journal."""
     budget = lines.filter(F.col("header_id") == header_id)
-    pairs = ic_pairs(budget, accounts, cost_centers, entities, tolerance_amount, tolerance_pct, mode)
+    # read by the pairs, the matches, the targets and the matched lines
+    linked = materialise(linked_lines(budget, accounts), "linked-lines")
+    pairs = ic_pairs(linked, accounts, cost_centers, entities, tolerance_amount, tolerance_pct, mode)
     # read by the status, the match types and the matched lines
-    matches = materialise(match_amounts(budget, accounts, tolerance_amount), "matches")
+    matches = materialise(match_amounts(linked, accounts, tolerance_amount), "matches")
     # read by the statistics, the journal and the report
     status = materialise(recon_status(pairs, matches), "recon-status")
     listed = entities if entities is not None else entities_of_budget(budget, cost_centers)
@@ -62,7 +65,7 @@ def reconcile_intercompany(
     if create_adjustments:
         journal = adjustment_journal(periods, header_id, journal_id, run_id, on)
         journal_lines = adjustment_lines(status, cost_centers, journal_id, tolerance_amount)
-    detail = match_lines(budget, matches, match_targets(budget, accounts) if with_targets else None)
+    detail = match_lines(linked, matches, match_targets(linked, accounts) if with_targets else None)
     return Reconciliation(
         status, matches, detail, match_types(matches), recon_stats(status), entity_stats(status, listed), journal, journal_lines
     )

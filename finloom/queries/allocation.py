@@ -13,7 +13,7 @@ from finloom.sources.documents import rule_targets
 
 
 def _budget(t):
-    return t.budget_line_item.filter("header_id = 1")
+    return t.lines_of(1)
 
 
 @query(

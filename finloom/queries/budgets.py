@@ -199,7 +199,7 @@ _PAIRS_CORRECTED = (
 
 
 def _pairs(t, mode):
-    return elimination_pairs(t.budget_line_item.filter("header_id = 1"), t.gl_account, mode)
+    return elimination_pairs(t.lines_of(1), t.gl_account, mode)
 
 
 @query("eliminate_intercompany", f"select first_line_id, second_line_id, final_amount as amount from ({_PAIRS_CORRECTED}) p")
@@ -214,7 +214,7 @@ def adjacent_pairs(t):
 
 @query("consolidate", _CONSOLIDATED)
 def consolidated(t):
-    return consolidate(t.budget_line_item.filter("header_id = 1"), exploded(t))
+    return consolidate(t.lines_of(1), exploded(t))
 
 
 @query(
@@ -228,7 +228,7 @@ def consolidated(t):
          where c.consolidated_amount <> 0 or coalesce(e.amount, 0) <> 0""",
 )
 def eliminate_reference(t):
-    budget = t.budget_line_item.filter("header_id = 1")
+    budget = t.lines_of(1)
     amounts = apply_eliminations(consolidate(budget, exploded(t)), _pairs(t, "reference"), "reference")
     return final_amounts(amounts).drop("source_count")
 

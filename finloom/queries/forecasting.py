@@ -16,7 +16,7 @@ _FACTOR = "([0.8, 0.9, 1.1, 1.2, 1.0, 0.95, 1.05, 1.3, 0.7, 1.0, 1.15, 0.85])[p.
 
 
 def _history(t):
-    return forecast.history(t.budget_line_item.filter("header_id = 1"), t.fiscal_period, 2000)
+    return forecast.history(t.lines_of(1), t.fiscal_period, 2000)
 
 
 @query(

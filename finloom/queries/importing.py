@@ -22,7 +22,7 @@ def _resolved(t):
 
 
 def _target(t):
-    return t.budget_line_item.filter(F.col("header_id") == HEADER)
+    return t.lines_of(HEADER)
 
 
 def _validated(t, mode="STRICT", duplicates="REJECT"):

@@ -20,7 +20,7 @@ PAIR = "entity1, entity2, gl_account_id, partner_account_id"
 
 
 def _budget(t):
-    return t.budget_line_item.filter("header_id = 1")
+    return t.lines_of(1)
 
 
 def _pairs(t, **options):

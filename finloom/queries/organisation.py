@@ -92,7 +92,7 @@ def entity_of_centre(t):
 def distinct_entities(t):
     from finloom.operators.reconcile import entities_of_budget
 
-    budget = t.budget_line_item.filter("header_id = 1")
+    budget = t.lines_of(1)
     return entities_of_budget(budget, t.cost_center).select(F.col("entity_code").alias("entity"))
 
 
@@ -187,7 +187,7 @@ def ancestor_closure(t):
     """,
 )
 def rollup(t):
-    budget = t.budget_line_item.filter("header_id = 1")
+    budget = t.lines_of(1)
     return hierarchy_rollup(budget, exploded(t)).drop("parent_id")
 
 

@@ -19,6 +19,7 @@ from finloom.schemas import FINAL, MONEY, WEIGHT
 from finloom.session import bound_tasks, new_folder
 
 FIRST_YEAR = 1995
+HEADERS = (1, 2, 3)
 FIRST_OPEN_YEAR = 2000
 CHART_FROM = "1995-01-01"
 
@@ -39,6 +40,9 @@ class PlanningTables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def _is_stored(self, name: str) -> bool:
+        return (self.spark.sparkContext.applicationId, self.folder, name) in _stored
+
     def _store(self, name: str, build, partition_by: str | None = None) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.folder, name)
         if key in _stored:
@@ -215,8 +219,23 @@ class PlanningTables:
 
     @cached_property
     def budget_line_item(self) -> DataFrame:
-        stored = self._store("budget_line_item", self._budget_line_item, partition_by="header_id")
-        return stored.withColumn("header_id", F.col("header_id").cast("int"))
+        """All budgets; what ``lines_of`` has stored of them is not projected again."""
+        alone = [h for h in HEADERS if self._is_stored(f"budget-{h}")]
+        if not alone or self._is_stored("budget_line_item"):
+            return self._lines("budget_line_item", lambda: self._budget_line_item())
+        others = self._lines("other-budgets-" + "-".join(map(str, alone)), lambda: self._budget_line_item().filter(~F.col("header_id").isin(alone)))
+        for header_id in alone:
+            others = others.unionByName(self.lines_of(header_id))
+        return others
+
+    def lines_of(self, header_id: int) -> DataFrame:
+        """The lines of one budget. Only they are projected if the whole table is not there yet."""
+        if self._is_stored("budget_line_item"):
+            return self.budget_line_item.filter(F.col("header_id") == header_id)
+        return self._lines(f"budget-{header_id}", lambda: self._budget_line_item().filter(F.col("header_id") == header_id))
+
+    def _lines(self, name: str, build) -> DataFrame:
+        return self._store(name, build, partition_by="header_id").withColumn("header_id", F.col("header_id").cast("int"))
 
     def _budget_line_item(self) -> DataFrame:
         lines = self._trade_lines().unionByName(self._intercompany_lines()).unionByName(self._overhead_lines())
