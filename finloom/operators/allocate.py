@@ -100,16 +100,16 @@ def open_lines(lines: DataFrame, fiscal_period_id: int | None = None) -> DataFra
 def attach_rules(rows: DataFrame, matches: RuleMatches, cost_centers: DataFrame, accounts: DataFrame) -> DataFrame:
     """Each row with each rule that takes it; rows have an account and a cost centre.
 
-    Equality joins on ids only; what is left of a rule is a row filter.
+    Equality joins on ids only; what is left of a rule is a row filter. The
+    rows are read twice: once by centre, once by account.
     """
-    known = accounts.select("gl_account_id")
+    # no rule keeps a pattern of percent signs alone, so one stands for rules that take every account
+    every = accounts.select(F.lit("%").alias("account_pattern"), "gl_account_id")
+    taken = matches.pattern_accounts.filter("account_pattern <> '%'").unionByName(every)
     centres = cost_centers.select("cost_center_id")
-    at_centre = rows.join(matches.by_centre, "cost_center_id")
     columns = [*rows.columns, "rule_id", "sequence", "depends_on", "basis", "rounding"]
-    any_account = at_centre.filter("account_pattern IS NULL").join(known, "gl_account_id", "left_semi")
-    through_centre = any_account.select(*columns).unionByName(
-        at_centre.join(matches.pattern_accounts, ["account_pattern", "gl_account_id"], "left_semi").select(*columns)
-    )
+    at_centre = rows.join(matches.by_centre, "cost_center_id").withColumn("account_pattern", F.coalesce("account_pattern", F.lit("%")))
+    through_centre = at_centre.join(taken, ["account_pattern", "gl_account_id"], "left_semi").select(*columns)
     through_account = rows.join(matches.by_account, "gl_account_id").join(centres, "cost_center_id", "left_semi")
     return through_centre.unionByName(through_account.select(*columns))
 
@@ -271,9 +271,9 @@ def allocation_results(
     )
     targets = materialise(targets, "rule-targets")
     matches = rule_matches(chosen, cost_centers, accounts)
-    ready = open_lines(lines, fiscal_period_id)
+    # stored, because it is read for the factors and for the amounts
+    taken = materialise(attach_rules(open_lines(lines, fiscal_period_id), matches, cost_centers, accounts), "rule-lines")
     # factors and eligibility depend on rule, cost centre and period, not on the single lines
-    taken = attach_rules(ready.drop("line_id", "final_amount"), matches, cost_centers, accounts)
     used = taken.select("rule_id", F.col("cost_center_id").alias("source_id"), "fiscal_period_id", "basis").distinct()
     used = materialise(used, "rule-use")
     productive = used.select("rule_id").join(targets.select("rule_id"), "rule_id", "left_semi")
@@ -282,8 +282,7 @@ def allocation_results(
     # stored, so that a small table of factors is broadcast and the lines are not shuffled for it
     factors = materialise(allocation_factor(requests, lines, accounts, cost_centers).drop("basis"), "factors")
     factored = (
-        attach_rules(ready, matches, cost_centers, accounts)
-        .withColumnRenamed("cost_center_id", "source_id")
+        taken.withColumnRenamed("cost_center_id", "source_id")
         .join(factors, ["rule_id", "source_id", "fiscal_period_id"])
     )
     amount = F.col("final_amount").cast(MONEY)
