@@ -7,7 +7,8 @@ exact + 2 * deletion segments > H. The excess over H is the slack: a set whose
 light segments (empty; with deletions, at most one shingle) weigh less than the
 slack has a meeting place beside them and gives no key to nothing. Segments,
 deletions and slack of a band follow from a cost estimate. Pairs that share a
-key are verified by their whole sets.
+key, and one of the rarest shingles of either where the key does not join its
+members to one component, are verified by their whole sets.
 """
 
 from __future__ import annotations
@@ -137,6 +138,23 @@ def shingle_sets(df: DataFrame, k: int, percent: int, what: str) -> DataFrame:
     return df.select("id", "text").mapInArrow(compute, schema)
 
 
+def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """id, n, shingle, place: of each set's rarest shingles those that another of the ``sets`` has, too.
+
+    Sets that link share at least ``percent`` of either's shingles. So each has
+    one of the common ones among its rarest 100 - percent of a hundred and one
+    more, in the order of the number of sets that hold a shingle, then of the
+    shingle. A shingle of one set only takes its place but is not returned.
+    """
+    each = sets.select("id", "n", F.explode("tokens").alias("shingle"))
+    held = each.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1")
+    known = each.join(held, "shingle").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("held", "shingle"))).alias("known"))
+    known = known.withColumn("alone", F.expr("n - size(known)"))
+    least = F.expr(f"int(greatest(0, n * (100 - {percent}) div 100 + 1 - alone))")
+    placed = known.select("id", "n", "alone", F.posexplode(F.slice("known", F.lit(1), least)["shingle"]).alias("at", "shingle"))
+    return placed.select("id", "n", "shingle", (F.col("alone") + F.col("at") + 1).alias("place"))
+
+
 def jaccard_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id: components of rows whose shingle sets have 100 * intersection >= percent * union.
 
@@ -177,9 +195,17 @@ def jaccard_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     hubs = labels.select(F.col("id").alias("first"), F.col("component").alias("hub"))
     members = members.join(hubs, "first", "left").withColumn("odd", F.col("label") != F.coalesce("hub", "first"))
     members = materialise(members.select("key", "id", "label", "odd"), "members")
-    odd = members.where("odd").select("key", F.col("id").alias("a"), F.col("label").alias("la"))
-    rest = odd.join(members.select("key", F.col("id").alias("b"), F.col("label").alias("lb"), "odd"), "key")
-    rest = rest.where("la <> lb AND (NOT odd OR a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # members of a key may share no more than a passage of very many texts; two that link share a rare shingle, too
+    open_keys = members.where("odd").select("key").distinct()
+    members = members.join(open_keys, "key", "left_semi")
+    sets = materialise(shingle_sets(reps.join(members.select("id").distinct(), "id", "left_semi"), k, percent, "sets"), "tokens")
+    flags = members.groupBy("id").agg(F.max("odd").alias("odd"), F.first("label").alias("label"))
+    members = materialise(rare_shingles(sets, percent).join(flags, "id"), "members")
+    a, b = (members.select("shingle", *[F.col(c).alias(c + side) for c in ("id", "n", "place", "odd", "label")]) for side in "ab")
+    # left of the first common shingle is what one set has and the other lacks
+    fits = f"(placea + placeb - 2) * (100 + {percent}) <= (na + nb) * (100 - {percent})"
+    rest = a.where("odda").join(b, "shingle").where(f"labela <> labelb AND (NOT oddb OR ida < idb) AND {fits}")
+    rest = rest.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct()
     rest = materialise(rest, "rest")
     found = labels if rest.isEmpty() else components(linked.unionByName(verified(rest, "rest")))
     of_class = classes.join(found, F.col("rep") == F.col("id"), "left").select("c1", "c2", F.coalesce("component", "rep").alias("component_id"))
