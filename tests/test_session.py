@@ -1,7 +1,10 @@
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from finloom import session
-from finloom.session import bound_tasks, materialise, working_root
+from finloom.session import CLEANUP_KEY, bound_tasks, materialise, working_root
 from finloom.sources.planning_tables import planning_tables
 
 
@@ -38,6 +41,23 @@ def test_stored_frame_keeps_rows_and_types(spark):
     assert stored.schema.simpleString() == frame.schema.simpleString() and sorted(stored.collect()) == sorted(frame.collect())
 
 
+def test_shuffle_files_go_when_a_frame_is_stored(spark):
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {x for x in files.split("\n") if "shuffle_" in x}
+
+    before, setting = shuffled(), spark.conf.get(CLEANUP_KEY)
+    counted = spark.range(5000).groupBy((F.col("id") % 1000).alias("k")).count()
+    assert counted.collect() and shuffled() - before
+    before = shuffled()
+    stored = materialise(counted, "t")
+    end = time.time() + 20
+    while shuffled() - before and time.time() < end:  # files are removed in the background
+        time.sleep(0.1)
+    assert not shuffled() - before and spark.conf.get(CLEANUP_KEY) == setting
+    assert stored.count() == counted.count() == 1000
+
+
 def test_larger_input_is_cut_more_finely(spark, tmp_path, monkeypatch):
     keys = ["spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
     before = {k: spark.conf.get(k) for k in keys}
