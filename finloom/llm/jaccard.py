@@ -29,6 +29,8 @@ from finloom.session import materialise
 EMPTY_WEIGHT = 3e5
 #: Cost of a key made of a single shingle, which a common passage may carry into many sets.
 SINGLE_WEIGHT = 8
+#: 64-bit words of a set's marks.
+MARKS = 8
 
 
 def _tail(mean: float, least: int) -> float:
@@ -96,10 +98,16 @@ def _keys(tokens: np.ndarray, band: int, bands: Bands) -> np.ndarray:
     return np.unique(np.concatenate([whole, less]))
 
 
+def _marks(tokens: np.ndarray) -> np.ndarray:
+    """For each of 64 * MARKS cells, whether an odd number of the tokens falls there: two sets differ in at least as many tokens as their marks do in bits."""
+    cells = np.bincount((mix(tokens) % np.uint64(64 * MARKS)).astype(np.int64), minlength=64 * MARKS)
+    return np.packbits((cells & 1).astype(bool)).view(np.int64)
+
+
 def shingle_sets(df: DataFrame, k: int, percent: int, what: str) -> DataFrame:
-    """``what`` = "class": id, n, c1, c2; "keys": id, key; "sets": id, n, tokens. Columns of ``df``: id, text."""
+    """``what`` = "class": id, n, c1, c2; "keys": id, key; "sets": id, n, marks, tokens. Columns of ``df``: id, text."""
     schema = {"class": "id long, n long, c1 long, c2 long", "keys": "id long, key long",
-              "sets": "id long, n long, tokens array<long>"}[what]
+              "sets": "id long, n long, marks array<long>, tokens array<long>"}[what]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
@@ -108,7 +116,7 @@ def shingle_sets(df: DataFrame, k: int, percent: int, what: str) -> DataFrame:
             for chunk in word_chunks(texts):
                 with np.errstate(over="ignore"):
                     values, bounds = chunk.shingles(k)
-                    size, c1, c2, parts, counts = [], [], [], [], []
+                    size, c1, c2, parts, counts, marks = [], [], [], [], [], []
                     for a, b in zip(bounds[:-1], bounds[1:]):
                         tokens = np.unique(values[a:b])
                         size.append(len(tokens))
@@ -120,6 +128,7 @@ def shingle_sets(df: DataFrame, k: int, percent: int, what: str) -> DataFrame:
                             parts.append(np.concatenate(found) if found else np.zeros(0, np.uint64))
                         elif what == "sets":
                             parts.append(tokens)
+                            marks.append(_marks(tokens))
                         if what != "class":
                             counts.append(len(parts[-1]))
                 n = np.array(size, np.int64)
@@ -133,7 +142,8 @@ def shingle_sets(df: DataFrame, k: int, percent: int, what: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([part_ids.take(pa.array(np.repeat(np.arange(len(chunk)), counts))), pa.array(flat)], ["id", "key"])
                 else:
                     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat))
-                    yield pa.RecordBatch.from_arrays([part_ids, pa.array(n), lists], ["id", "n", "tokens"])
+                    cells = pa.ListArray.from_arrays(pa.array(np.arange(len(chunk) + 1) * MARKS, pa.int32()), pa.array(np.concatenate(marks)))
+                    yield pa.RecordBatch.from_arrays([part_ids, pa.array(n), cells, lists], ["id", "n", "marks", "tokens"])
 
     return df.select("id", "text").mapInArrow(compute, schema)
 
@@ -146,10 +156,10 @@ def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
     more, in the order of the number of sets that hold a shingle, then of the
     shingle. A shingle of one set only takes its place but is not returned.
     """
-    each = sets.select("id", "n", F.explode("tokens").alias("shingle"))
-    held = each.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1")
-    known = each.join(held, "shingle").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("held", "shingle"))).alias("known"))
-    known = known.withColumn("alone", F.expr("n - size(known)"))
+    each = sets.select("id", F.explode("tokens").alias("shingle"))
+    held = materialise(each.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1"), "held")
+    known = each.join(held, "shingle").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("held", "shingle"))).alias("known"))
+    known = known.join(sets.select("id", "n"), "id").withColumn("alone", F.expr("n - size(known)"))
     least = F.expr(f"int(greatest(0, n * (100 - {percent}) div 100 + 1 - alone))")
     placed = known.select("id", "n", "alone", F.posexplode(F.slice("known", F.lit(1), least)["shingle"]).alias("at", "shingle"))
     return placed.select("id", "n", "shingle", (F.col("alone") + F.col("at") + 1).alias("place"))
@@ -179,16 +189,20 @@ def jaccard_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
         near = near.join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
         return near.where(f"least(na, nb) * 100 >= {percent} * greatest(na, nb)").select("a", "b").distinct()
 
-    def verified(pairs: DataFrame, label: str) -> DataFrame:
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+    # every set that shares a key, stored once: all candidates are pairs of them
+    sets = materialise(shingle_sets(reps.join(ends(star), "id", "left_semi"), k, percent, "sets").where("n > 0"), "tokens")
+
+    def verified(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
         pairs = materialise(fitting(pairs), label)
-        involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = materialise(shingle_sets(reps.join(involved, "id", "left_semi"), k, percent, "sets").where("n > 0"), "tokens")
         a = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
         b = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
         met = pairs.join(a, "a").join(b, "b").withColumn("both", F.size(F.array_intersect("ta", "tb")))
         return materialise(met.where(f"100L * both >= {percent}L * (na + nb - both)").select("a", "b").distinct(), label)
 
-    linked = verified(star, "star")
+    linked = verified(star, sets, "star")
     # members of a key that the links so far already join need no look at each other
     labels = materialise(components(linked), "labels")
     members = shared.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
@@ -198,16 +212,19 @@ def jaccard_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     # members of a key may share no more than a passage of very many texts; two that link share a rare shingle, too
     open_keys = members.where("odd").select("key").distinct()
     members = members.join(open_keys, "key", "left_semi")
-    sets = materialise(shingle_sets(reps.join(members.select("id").distinct(), "id", "left_semi"), k, percent, "sets"), "tokens")
-    flags = members.groupBy("id").agg(F.max("odd").alias("odd"), F.first("label").alias("label"))
-    members = materialise(rare_shingles(sets, percent).join(flags, "id"), "members")
-    a, b = (members.select("shingle", *[F.col(c).alias(c + side) for c in ("id", "n", "place", "odd", "label")]) for side in "ab")
-    # left of the first common shingle is what one set has and the other lacks
-    fits = f"(placea + placeb - 2) * (100 + {percent}) <= (na + nb) * (100 - {percent})"
+    # stored, so that Spark knows how few they are and leaves the sets where they lie
+    flags = materialise(members.groupBy("id").agg(F.max("odd").alias("odd"), F.first("label").alias("label")), "flags")
+    asked = sets.join(flags.select("id"), "id", "left_semi")
+    members = materialise(rare_shingles(asked, percent).join(flags, "id").join(sets.select("id", "marks"), "id"), "members")
+    a, b = (members.select("shingle", *[F.col(c).alias(c + side) for c in ("id", "n", "place", "odd", "label", "marks")]) for side in "ab")
+    # left of the first common shingle is what one set has and the other lacks; right of it they differ by their sizes, and anywhere by their marks
+    bits = " + ".join(f"bit_count(marksa[{i}] ^ marksb[{i}])" for i in range(MARKS))
+    apart = f"greatest(placea + placeb - 2 + abs((na - placea) - (nb - placeb)), {bits})"
+    fits = f"{apart} * (100 + {percent}) <= (na + nb) * (100 - {percent})"
     rest = a.where("odda").join(b, "shingle").where(f"labela <> labelb AND (NOT oddb OR ida < idb) AND {fits}")
     rest = rest.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct()
     rest = materialise(rest, "rest")
-    found = labels if rest.isEmpty() else components(linked.unionByName(verified(rest, "rest")))
+    found = labels if rest.isEmpty() else components(linked.unionByName(verified(rest, sets.join(ends(rest), "id", "left_semi"), "rest")))
     of_class = classes.join(found, F.col("rep") == F.col("id"), "left").select("c1", "c2", F.coalesce("component", "rep").alias("component_id"))
     out = rows.join(of_class, ["c1", "c2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from finloom.llm import jaccard
@@ -55,3 +56,31 @@ def test_components_of_many_near_copies(spark, k, percent):
             words[rnd.randrange(len(words))] = f"v{rnd.randint(0, 3)}"
         rows.append((d, " ".join(words)))
     assert classes(spark, rows, k, percent) == brute(rows, k, percent)
+
+
+def test_near_copies_just_out_of_reach_form_few_pairs(spark, monkeypatch):
+    rnd, rows = random.Random(8), []
+    for d in range(120):
+        words = [f"w{i}" for i in range(150)]
+        for i in rnd.sample(range(25), 1 if d % 2 else 3):  # three and one changes differ in 24 of 296 shingles, 15 are allowed
+            words[5 + i * 5] = f"d{d}x{i}"
+        rows.append((d, " ".join(words)))
+    made, store = [], jaccard.materialise
+
+    def counted(df, label):
+        stored = store(df, label)
+        made.extend([stored.count()] if label == "rest" else [])
+        return stored
+
+    monkeypatch.setattr(jaccard, "materialise", counted)
+    assert classes(spark, rows, 3, 90) == brute(rows, 3, 90)
+    assert sum(made) <= 240
+
+
+def test_marks_never_differ_in_more_places_than_sets():
+    rng = np.random.default_rng(4)
+    for size in (1, 5, 60, 900):
+        a, b = (np.unique(rng.integers(0, 2 * size, size)).astype(np.uint64) for _ in "ab")
+        with np.errstate(over="ignore"):
+            bits = sum(int(x).bit_count() for x in (jaccard._marks(a) ^ jaccard._marks(b)).view(np.uint64))
+        assert bits <= len(np.setxor1d(a, b)) and (size > 60 or bits or np.array_equal(a, b))
