@@ -4,8 +4,9 @@ Every word is predicted in two levels: its class (a hash bucket) from the
 classes of the words on both sides, then the word itself within its class.
 Each round, every task trains a copy of the class network on all of its own
 words; Spark averages the copies by words seen. The words within a class have
-their counts over the whole corpus, in a Spark table of all words that texts are
-joined with; rare and new words are spelled byte by byte.
+their counts over the whole corpus, in a Spark table of all words. The most
+frequent ones, a bounded number, are broadcast; texts are joined with the table
+for the others. Rare and new words are spelled byte by byte.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ OFFSETS = [j for j in range(-SIDE, SIDE + 1) if j]
 _SHAPES = [(len(OFFSETS), VOCABULARY + 1, SIZE), (SIZE, VOCABULARY), (1, VOCABULARY)]
 _CUTS = np.cumsum([int(np.prod(s)) for s in _SHAPES])
 BATCH = 1024
+#: Most words that are broadcast with their counts, 16 bytes each.
+FREQUENT = 1 << 18
 
 
 class Model:
@@ -123,32 +126,63 @@ def _tokens(chunk: WordChunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tokens, context, owner
 
 
-def _forward(parts: list[np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    hidden = np.tanh(sum(parts[0][j, context[j]] for j in range(len(OFFSETS))))
-    logits = hidden @ parts[1] + parts[2]
-    logits -= logits.max(1, keepdims=True)
-    return hidden, logits - np.log(np.exp(logits).sum(1, keepdims=True))
+class _Layers:
+    """Working copy of the network in single precision; the bias is the last row of ``out``, and the last hidden unit is 1."""
+
+    def __init__(self, flat: np.ndarray):
+        embedding, out, bias = _parts(flat.astype(np.float32))
+        self.embedding, self.out = embedding, np.concatenate([out, bias])
+        self._hidden, self._logits = np.ones((BATCH, SIZE + 1), np.float32), np.empty((BATCH, VOCABULARY), np.float32)
+        self._ones = np.ones(VOCABULARY, np.float32)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.embedding.ravel(), self.out.ravel()]).astype(float)
+
+    def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hidden units and logits of at most BATCH words, until the next call; the logits of a word may be moved by one amount so that none overflows."""
+        hidden, logits = self._hidden[: context.shape[1]], self._logits[: context.shape[1]]
+        total = self.embedding[0, context[0]]
+        for j in range(1, len(OFFSETS)):
+            total += self.embedding[j, context[j]]
+        np.tanh(total, out=hidden[:, :SIZE])
+        np.matmul(hidden, self.out, out=logits)
+        if np.abs(self.out).sum(0).max() > 60:  # no logit is larger, since no hidden unit is larger than 1
+            logits -= logits.max(1, keepdims=True)
+        return hidden, logits
+
+    def exp(self, logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The exponentials, in place of the logits, and their sums."""
+        np.exp(logits, out=logits)
+        return logits, logits @ self._ones
+
+    def log_p(self, context: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """Log-probability of the class of every word between its neighbours."""
+        out = np.empty(len(tokens))
+        for a in range(0, len(tokens), BATCH):
+            t = tokens[a : a + BATCH]
+            logits = self.forward(context[:, a : a + BATCH])[1]
+            own = logits[np.arange(len(t)), t].astype(float)
+            out[a : a + BATCH] = own - np.log(self.exp(logits)[1].astype(float))
+        return out
 
 
 def train_local(flat: np.ndarray, texts: pa.Array, rate: float) -> tuple[np.ndarray, int]:
-    parts, seen = _parts(flat.copy()), 0
+    layers, seen = _Layers(flat), 0
+    step, places = np.float32(rate / BATCH), np.arange(SIZE)
     for tokens, context, _ in map(_tokens, word_chunks(texts)):
         for a in range(0, len(tokens), BATCH):
             t, c = tokens[a : a + BATCH], context[:, a : a + BATCH]
-            hidden, log_p = _forward(parts, c)
-            error = np.exp(log_p)
-            error[np.arange(len(t)), t] -= 1
-            error /= BATCH
-            back = (error @ parts[1].T) * (1 - hidden**2)
-            parts[1] -= rate * hidden.T @ error
-            parts[2] -= rate * error.sum(0)
+            hidden, logits = layers.forward(c)
+            error, total = layers.exp(logits)
+            error *= (step / total)[:, None]
+            error[np.arange(len(t)), t] -= step
+            back = ((error @ layers.out[:SIZE].T) * (1 - hidden[:, :SIZE] ** 2)).ravel()
+            layers.out -= hidden.T @ error
             for j in range(len(OFFSETS)):
-                chosen = np.zeros((VOCABULARY + 1, SIZE))
-                for d in range(SIZE):
-                    chosen[:, d] = np.bincount(c[j], back[:, d], VOCABULARY + 1)
-                parts[0][j] -= rate * chosen
+                cells = (c[j][:, None] * SIZE + places).ravel()
+                layers.embedding[j] -= np.bincount(cells, back, (VOCABULARY + 1) * SIZE).reshape(-1, SIZE)
             seen += len(t)
-    return np.concatenate([p.ravel() for p in parts]), seen
+    return layers.flat(), seen
 
 
 def train(docs: DataFrame, text: str = "text", rounds: int = 2, rate: float = 2.0) -> Model:
@@ -176,6 +210,17 @@ def train(docs: DataFrame, text: str = "text", rounds: int = 2, rate: float = 2.
     return Model(flat, _spelling(counts), words, classes) if counts.any() else model
 
 
+def _frequent(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, and counts of the words above the least bound that leaves at most FREQUENT of them."""
+    level = F.expr("int(8 * log2(n_word))")
+    sizes = words.groupBy(level.alias("level")).count().toPandas().sort_values("level", ascending=False)  # at most 8 * 63 rows
+    levels = sizes["level"][sizes["count"].cumsum() <= FREQUENT]
+    if not len(levels):
+        return np.zeros(0, np.int64), np.zeros(0)
+    chosen = words.where(level >= int(levels.min())).toPandas().sort_values("word")
+    return chosen["word"].to_numpy(np.int64), chosen["n_word"].to_numpy(float)
+
+
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``df`` with ``n_words``, ``log_likelihood`` (sum over words) and ``per_word``; null and empty texts have 0, 0 and null.
 
@@ -183,47 +228,56 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     log((n_word + n_distinct * spelled) / (n_class + n_distinct)). Equal texts
     have equal scores. Columns of these names are replaced.
     """
-    shared = df.sparkSession.sparkContext.broadcast((model.network, model.spelling))
+    known, times = np.zeros(0, np.int64), np.zeros(0)
+    ahead, below = np.zeros(VOCABULARY), np.zeros(VOCABULARY)  # per class: log of its different words; log of all of its counts
+    if model.words is not None:
+        known, times = _frequent(model.words)
+        table = model.classes.toPandas()  # one row per class
+        of, distinct = table["class"].to_numpy(int), table["n_distinct"].to_numpy(float)
+        ahead[of], below[of] = np.log(distinct), np.log(table["n_class"].to_numpy(float) + distinct)
+    shared = df.sparkSession.sparkContext.broadcast((model.network, model.spelling, known, times, ahead, below))
     keyed = df.drop("n_words", "log_likelihood", "per_word").withColumn("_key", F.xxhash64(f"`{text}`"))
     texts = keyed.select("_key", F.col(f"`{text}`").alias("_text")).dropDuplicates(["_key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row per text and different word; the first one of a text carries the log-probability of its classes."""
-        network, spelling = shared.value
-        parts, spelling = _parts(network), spelling.ravel()
+        """One row per text with all that is known here, and one per text and different word that is not among the frequent ones."""
+        network, spelling, known, times, ahead, below = shared.value
+        layers, spelling = _Layers(network), spelling.ravel()
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             for chunk in word_chunks(batch.column(1)):
                 if not len(chunk.hashes):
                     continue
                 tokens, context, owner = _tokens(chunk)
-                log_p = np.concatenate([
-                    _forward(parts, context[:, a : a + 8 * BATCH])[1][np.arange(len(tokens[a : a + 8 * BATCH])), tokens[a : a + 8 * BATCH]]
-                    for a in range(0, len(tokens), 8 * BATCH)
-                ])
-                of_text = np.bincount(owner, log_p, len(chunk))
-                order = np.lexsort((chunk.hashes, owner))
-                new = np.ones(len(order), bool)
-                new[1:] = (owner[order][1:] != owner[order][:-1]) | (chunk.hashes[order][1:] != chunk.hashes[order][:-1])
-                first = order[new]
-                n = np.diff(np.append(np.flatnonzero(new), len(order)))
                 step, end = _steps(chunk)
                 spelled = np.add.reduceat(spelling[np.append(step, 0)], np.stack([chunk.starts, chunk.ends], 1).ravel())[::2] + spelling[end]
-                lead = np.ones(len(first), bool)
-                lead[1:] = owner[first][1:] != owner[first][:-1]
-                yield _columns(keys[chunk.first + owner[first]], chunk.hashes[first].view(np.int64), tokens[first].astype(np.int32), n.astype(np.int32),
-                               spelled[first], np.where(lead, of_text[owner[first]], 0.0), names=["_key", "word", "class", "n", "spelled", "classes"])
+                prior = ahead[tokens] + spelled
+                sure, words = layers.log_p(context, tokens) - below[tokens], chunk.hashes.view(np.int64)
+                if len(known):
+                    place = np.minimum(np.searchsorted(known, words), len(known) - 1)
+                    found = known[place] == words
+                    sure[found] += np.log(times[place[found]] + np.exp(prior[found]))
+                else:
+                    found = np.zeros(len(words), bool)
+                full = np.flatnonzero(np.diff(chunk.bounds))
+                of_text, n_known = np.bincount(owner, sure, len(chunk))[full], np.bincount(owner[found], minlength=len(chunk))[full]
+                text_keys = keys[chunk.first + full]
+                rest = np.flatnonzero(~found)
+                order = rest[np.lexsort((words[rest], owner[rest]))]
+                new = np.ones(len(order), bool)
+                new[1:] = (owner[order][1:] != owner[order][:-1]) | (words[order][1:] != words[order][:-1])
+                first, n = order[new], np.diff(np.append(np.flatnonzero(new), len(order)))
+                yield _columns(text_keys, text_keys, n_known.astype(np.int32), of_text, np.ones(len(full), bool), names=["_key", "word", "n", "x", "whole"])
+                yield _columns(keys[chunk.first + owner[first]], words[first], n.astype(np.int32), prior[first], np.zeros(len(first), bool),
+                               names=["_key", "word", "n", "x", "whole"])
 
-    rows = texts.mapInArrow(run, "_key long, word long, class int, n int, spelled double, classes double")
+    rows = texts.mapInArrow(run, "_key long, word long, n int, x double, whole boolean")
     if model.words is None:
-        rows = rows.withColumn("within", F.col("spelled"))
+        rows = rows.withColumn("n_word", F.lit(None).cast("long"))
     else:
-        rows = rows.join(model.words, "word", "left").join(F.broadcast(model.classes), "class", "left")
-        rows = rows.withColumn("within", F.expr(
-            "CASE WHEN n_class IS NULL THEN spelled WHEN n_word IS NULL THEN ln(n_distinct) + spelled - ln(n_class + n_distinct)"
-            " ELSE ln(n_word + n_distinct * exp(spelled)) - ln(n_class + n_distinct) END"
-        ))
-    sums = rows.groupBy("_key").agg(F.sum("n").alias("n_words"), F.sum(F.expr("n * within + classes")).alias("log_likelihood"))
+        rows = rows.join(model.words, "word", "left")
+    share = F.expr("CASE WHEN whole THEN x WHEN n_word IS NULL THEN n * x ELSE n * ln(n_word + exp(x)) END")
+    sums = rows.groupBy("_key").agg(F.sum("n").alias("n_words"), F.sum(share).alias("log_likelihood"))
     out = keyed.join(sums, "_key", "left").drop("_key")
     out = out.withColumns({"n_words": F.coalesce("n_words", F.lit(0).cast("long")), "log_likelihood": F.coalesce("log_likelihood", F.lit(0.0))})
     return out.withColumn("per_word", F.expr("IF(n_words > 0, log_likelihood / n_words, NULL)"))

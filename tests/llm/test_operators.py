@@ -297,3 +297,31 @@ def test_the_first_segmentation_and_what_the_second_loses():
         score, ids, loss = lattice.first(word)
         assert (score, np.frombuffer(ids, np.int32).tolist()) == (two[0][0], list(two[0][1]))
         assert loss == (pytest.approx(two[0][0] - two[1][0]) if len(two) > 1 else pieces.NEVER)
+
+
+def test_pseudo_likelihood_equals_the_formula_with_and_without_frequent_words(spark, monkeypatch):
+    texts = ["the cat sat on the mat"] * 3 + [f"the k{i} cat and k{i % 7} zq zq" for i in range(40)] + ["", None]
+    corpus = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = pseudo_likelihood.train(corpus, rounds=1)
+    words = {r.word: r.n_word for r in model.words.collect()}
+    classes = {r["class"]: r for r in model.classes.collect()}
+    embedding, out, bias = pseudo_likelihood._parts(model.network)
+
+    def brute(text):
+        total = 0.0
+        for chunk in pseudo_likelihood.word_chunks(pseudo_likelihood.pa.array([text or ""])):
+            if not len(chunk.hashes):
+                continue
+            tokens, context, _ = pseudo_likelihood._tokens(chunk)
+            for i, word in enumerate((text or "").split()):
+                logits = np.tanh(sum(embedding[j, context[j, i]] for j in range(len(context)))) @ out + bias[0]
+                spelled = np.exp(sum(model.spelling[a, b] for a, b in zip(b" " + word.encode(), word.encode() + b" ")))
+                own, n = classes[tokens[i]], words[chunk.hashes.view(np.int64)[i]]
+                total += logits[tokens[i]] - np.log(np.exp(logits).sum()) + np.log((n + own.n_distinct * spelled) / (own.n_class + own.n_distinct))
+        return total
+
+    for most in (1 << 18, 5, 0):
+        monkeypatch.setattr(pseudo_likelihood, "FREQUENT", most)
+        assert len(pseudo_likelihood._frequent(model.words)[0]) <= most
+        for r in pseudo_likelihood.score(corpus, model).collect():
+            assert r.n_words == len((r.text or "").split()) and r.log_likelihood == pytest.approx(brute(r.text), rel=1e-4, abs=1e-9)
