@@ -325,3 +325,24 @@ def test_pseudo_likelihood_equals_the_formula_with_and_without_frequent_words(sp
         assert len(pseudo_likelihood._frequent(model.words)[0]) <= most
         for r in pseudo_likelihood.score(corpus, model).collect():
             assert r.n_words == len((r.text or "").split()) and r.log_likelihood == pytest.approx(brute(r.text), rel=1e-4, abs=1e-9)
+
+
+def test_words_searched_together_equal_those_searched_alone():
+    lattice, rng = pieces.Lattice.of(pieces.MODEL), np.random.default_rng(6)
+    letters = list("aaetthn1ï.,Жи数据─═▁𝄞é\n")
+    words = ["".join(rng.choice(letters, rng.integers(1, 25))) for _ in range(3000)] + ["▁the", "▁thethe", "a", "▁", "ab" * 12]
+    got = lattice.firsts(words)
+    assert sum(x is not None for x in got) > 500 and all(x in (None, lattice.first(w)) for w, x in zip(words, got))
+    assert lattice.firsts(words, False)[-5:] == [lattice.first(w, False) for w in words[-5:]]
+    assert lattice.firsts([]) == [] and lattice.firsts(["𝄞"]) == [None]
+
+
+def test_the_words_of_a_batch_are_searched_together(monkeypatch):
+    lattice, other = pieces.Lattice(pieces.MODEL), pieces.Lattice.of(pieces.MODEL)
+    words = [f"▁th{'e' * (i % 9)}tion{i}" for i in range(500)]
+    alone = [other.first(w) for w in words]
+    known = lattice._known(10)
+    known.learn(words)
+    monkeypatch.setattr(lattice, "first", None)  # no word is left to be searched alone
+    assert [known[w] for w in words] == alone
+    assert [len(x) for x in pieces._portions(["a" * pieces.LETTERS_AT_ONCE, None, "b"])] == [1, 2]
