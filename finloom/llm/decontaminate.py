@@ -36,6 +36,14 @@ def _buckets(hashes: np.ndarray) -> np.ndarray:
     return (mix(hashes) % np.uint64(DIMENSIONS)).astype(np.int64)
 
 
+def _different(x: np.ndarray) -> np.ndarray:
+    """The different values of a fresh array, which is put in order."""
+    x.sort()
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
 def _grid(bounds: np.ndarray, size: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(begin, end, text) of windows of ``size`` every ``step`` places of each text, up to its end; a shorter text is one window."""
     n = np.diff(bounds)
@@ -87,7 +95,7 @@ def latent_space(docs: DataFrame, text: str = "text", seed: int = 11) -> tuple[n
     def frequencies(columns):
         total = np.zeros((DIMENSIONS, 2))
         for buckets, passage, n in _cut(columns):
-            total[:, 0] += np.bincount(np.unique(passage * DIMENSIONS + buckets) % DIMENSIONS, minlength=DIMENSIONS)
+            total[:, 0] += np.bincount(_different(passage * DIMENSIONS + buckets) % DIMENSIONS, minlength=DIMENSIONS)
             total[0, 1] += n
         return total
 
@@ -102,7 +110,8 @@ def latent_space(docs: DataFrame, text: str = "text", seed: int = 11) -> tuple[n
                 some = slice(*np.searchsorted(passage, [a, a + 1024]))
                 rows = min(1024, n - a)
                 counts = np.bincount((passage[some] - a) * DIMENSIONS + buckets[some], minlength=rows * DIMENSIONS).reshape(rows, DIMENSIONS).astype(np.float32)
-                total += counts.T @ (counts @ right)
+                images = np.add.reduceat(right[buckets[some]], np.searchsorted(passage[some], np.arange(a, a + rows)))  # counts @ right
+                total += counts.T @ images
         return total * idf[:, None]
 
     return idf, np.linalg.qr(_sum_rows(texts, products))[0]
@@ -114,8 +123,8 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     for i, x in enumerate(a.tolist()):
         where[x] = where.get(x, 0) | 1 << i
     full, row = (1 << len(a)) - 1, (1 << len(a)) - 1
-    for x in b.tolist():
-        hit = row & where.get(x, 0)
+    for places in filter(None, map(where.get, b.tolist())):
+        hit = row & places
         row = ((row + hit) | (row - hit)) & full
     return len(a) - row.bit_count()
 
@@ -162,7 +171,9 @@ class _Peers:
 
         ``at``, ``text`` and ``word`` are the places of words of the vocabulary.
         """
-        step = 4 * (self.longest + UNIT)
+        step, width = 4 * (self.longest + UNIT), len(self.bounds) - 1
+        mine = self.bounds[word + 1] > self.bounds[word]  # words of these items
+        at, text, word = at[mine], text[mine], word[mine]
         begin, end, of_text = _grid(bounds, 2 * step, step)
         if not len(begin):
             return begin, end, begin
@@ -170,15 +181,14 @@ class _Peers:
         newest = first[text] + (at - bounds[text]) // step
         here, before = newest <= last[text], newest > first[text]
         block = np.concatenate([newest[here], newest[before] - 1])
-        pairs = np.unique(block * (len(self.bounds) - 1) + np.concatenate([word[here], word[before]]))
-        block, word = pairs // (len(self.bounds) - 1), pairs % (len(self.bounds) - 1)
+        block, word = np.divmod(_different(block * width + np.concatenate([word[here], word[before]])), width)
         size, n = np.diff(self.bounds)[word], len(self.numbers)
         covered, done = np.zeros(len(begin) * n), np.cumsum(size)
         for a in range(0, int(done[-1]) if len(done) else 0, POSTINGS_AT_ONCE):
             some = slice(*np.searchsorted(done, [a, a + POSTINGS_AT_ONCE], "right"))
             k = size[some]
             entry = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(self.bounds[word[some]], k)
-            np.add.at(covered, np.repeat(block[some] * n, k) + self.items[entry], self.times[entry])
+            covered += np.bincount(np.repeat(block[some] * n, k) + self.items[entry], self.times[entry], len(covered))
         chosen, item = np.nonzero(covered.reshape(-1, n) >= self.needed)
         return begin[chosen], end[chosen], item
 

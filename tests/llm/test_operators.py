@@ -346,3 +346,21 @@ def test_the_words_of_a_batch_are_searched_together(monkeypatch):
     monkeypatch.setattr(lattice, "first", None)  # no word is left to be searched alone
     assert [known[w] for w in words] == alone
     assert [len(x) for x in pieces._portions(["a" * pieces.LETTERS_AT_ONCE, None, "b"])] == [1, 2]
+
+
+def test_blocks_with_enough_words_equal_a_plain_count():
+    rng = np.random.default_rng(9)
+    words = [rng.integers(0, 60, k).astype(np.uint64) for k in (8, 9, 11, 30, 31)]
+    vocabulary, needed = np.unique(np.concatenate(words)), np.array([4.0, 5.0, 6.0, 15.0, 16.0])
+    hashes = rng.integers(0, 120, 900).astype(np.uint64)
+    bounds = np.array([0, 0, 40, 45, 700, 900])
+    place = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
+    at = np.flatnonzero(vocabulary[place] == hashes)
+    text = np.searchsorted(bounds, at, "right") - 1
+    for numbers in (np.array([0, 1, 2]), np.array([3, 4])):
+        peers = decontaminate._Peers(numbers, words, np.zeros((5, 2)), needed, vocabulary)
+        step = 4 * (peers.longest + decontaminate.UNIT)
+        blocks = list(zip(*decontaminate._grid(bounds, 2 * step, step)[:2]))
+        want = {(a, b, i) for a, b in blocks for i, k in enumerate(numbers) if np.isin(words[k], hashes[a:b]).sum() >= needed[k]}
+        assert want and {tuple(map(int, x)) for x in zip(*peers.enough(bounds, at, text, place[at]))} == want
+    assert decontaminate._different(np.array([3, 1, 3, 0])).tolist() == [0, 1, 3] and not len(decontaminate._different(np.zeros(0, int)))
