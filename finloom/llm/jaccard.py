@@ -29,7 +29,7 @@ from finloom.session import materialise
 EMPTY_WEIGHT = 3e5
 #: Cost of a key made of a single shingle, which a common passage may carry into many sets.
 SINGLE_WEIGHT = 8
-#: 64-bit words of a set's marks.
+#: 64-bit words of a set's marks, the fewest of them where they grow with the set.
 MARKS = 8
 
 
@@ -98,15 +98,20 @@ def _keys(tokens: np.ndarray, band: int, bands: Bands) -> np.ndarray:
     return np.unique(np.concatenate([whole, less]))
 
 
-def _marks(tokens: np.ndarray) -> np.ndarray:
-    """For each of 64 * MARKS cells, whether an odd number of the tokens falls there: two sets differ in at least as many tokens as their marks do in bits."""
-    cells = np.bincount((mix(tokens) % np.uint64(64 * MARKS)).astype(np.int64), minlength=64 * MARKS)
+def _marks(tokens: np.ndarray, words: int = MARKS) -> np.ndarray:
+    """For each of 64 * ``words`` cells, whether an odd number of the tokens falls there: two sets differ in at least as many tokens as their marks do in bits."""
+    cells = np.bincount((mix(tokens) % np.uint64(64 * words)).astype(np.int64), minlength=64 * words)
     return np.packbits((cells & 1).astype(bool)).view(np.int64)
 
 
+def _long_marks(tokens: np.ndarray) -> np.ndarray:
+    """Marks with at least a cell for every token; folded in halves, they are those of fewer cells."""
+    return _marks(tokens, MARKS << max(0, (len(tokens) - 1).bit_length() - (64 * MARKS - 1).bit_length()))
+
+
 def shingle_sets(df: DataFrame, k: int, percent: int, what: str) -> DataFrame:
-    """``what`` = "class": id, n, c1, c2; "keys": id, key; "sets": id, n, marks, tokens. Columns of ``df``: id, text."""
-    schema = {"class": "id long, n long, c1 long, c2 long", "keys": "id long, key long",
+    """``what`` = "class": id, n, c1, c2, long marks; "keys": id, key; "sets": id, n, marks, tokens. Columns of ``df``: id, text."""
+    schema = {"class": "id long, n long, c1 long, c2 long, marks array<long>", "keys": "id long, key long",
               "sets": "id long, n long, marks array<long>, tokens array<long>"}[what]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,19 +134,20 @@ def shingle_sets(df: DataFrame, k: int, percent: int, what: str) -> DataFrame:
                         elif what == "sets":
                             parts.append(tokens)
                             marks.append(_marks(tokens))
-                        if what != "class":
-                            counts.append(len(parts[-1]))
+                        else:
+                            parts.append(_long_marks(tokens))
+                        counts.append(len(parts[-1]))
                 n = np.array(size, np.int64)
                 c1, c2 = np.array(c1, np.uint64).view(np.int64), np.array(c2, np.uint64).view(np.int64)
                 part_ids = ids.slice(chunk.first, len(chunk))
-                if what == "class":
-                    yield pa.RecordBatch.from_arrays([part_ids, pa.array(n), pa.array(c1), pa.array(c2)], ["id", "n", "c1", "c2"])
-                    continue
                 flat = np.concatenate(parts).view(np.int64)
                 if what == "keys":
                     yield pa.RecordBatch.from_arrays([part_ids.take(pa.array(np.repeat(np.arange(len(chunk)), counts))), pa.array(flat)], ["id", "key"])
+                    continue
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat))
+                if what == "class":
+                    yield pa.RecordBatch.from_arrays([part_ids, pa.array(n), pa.array(c1), pa.array(c2), lists], ["id", "n", "c1", "c2", "marks"])
                 else:
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat))
                     cells = pa.ListArray.from_arrays(pa.array(np.arange(len(chunk) + 1) * MARKS, pa.int32()), pa.array(np.concatenate(marks)))
                     yield pa.RecordBatch.from_arrays([part_ids, pa.array(n), cells, lists], ["id", "n", "marks", "tokens"])
 
@@ -178,44 +184,49 @@ def jaccard_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     reps = docs.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
 
     # a window, not a join of the keys with themselves: that would compute and shuffle all of them twice
-    keys = shingle_sets(reps, k, percent, "keys").withColumn("first", F.min("id").over(Window.partitionBy("key")))
-    shared = materialise(keys.where("id <> first").select("key", "id", "first"), "keys")
+    of_key = Window.partitionBy("key")
+    keys = shingle_sets(reps, k, percent, "keys").withColumns({"first": F.min("id").over(of_key), "held": F.count("*").over(of_key)})
+    shared = materialise(keys.where("id <> first").select("key", "id", "first", (F.col("held") > 2).alias("more")), "keys")
     star = materialise(shared.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
 
-    sizes = classes.select(F.col("rep").alias("id"), "n")
-
-    def fitting(pairs: DataFrame) -> DataFrame:
-        near = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a")
-        near = near.join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-        return near.where(f"least(na, nb) * 100 >= {percent} * greatest(na, nb)").select("a", "b").distinct()
+    def near(pairs: DataFrame) -> DataFrame:
+        """Those whose sizes and marks, folded to as many, let them link."""
+        sizes = rows.where("n > 0").select("id", "n", "marks")
+        met = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("marks").alias("ma")), "a")
+        met = met.join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("marks").alias("mb")), "b")
+        fold = "aggregate(sequence(i, size({0}) - 1, least(size(ma), size(mb))), 0L, (x, j) -> x ^ {0}[j])"
+        bits = f"aggregate(sequence(0, least(size(ma), size(mb)) - 1), 0, (x, i) -> x + bit_count({fold.format('ma')} ^ {fold.format('mb')}))"
+        met = met.where(f"least(na, nb) * 100 >= {percent} * greatest(na, nb)")
+        return met.where(f"{bits} * (100 + {percent}) <= (na + nb) * (100 - {percent})").select("a", "b").distinct()
 
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
-    # every set that shares a key, stored once: all candidates are pairs of them
-    sets = materialise(shingle_sets(reps.join(ends(star), "id", "left_semi"), k, percent, "sets").where("n > 0"), "tokens")
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return materialise(shingle_sets(reps.join(ids, "id", "left_semi"), k, percent, "sets").where("n > 0"), "tokens")
 
     def verified(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
-        pairs = materialise(fitting(pairs), label)
         a = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
         b = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
         met = pairs.join(a, "a").join(b, "b").withColumn("both", F.size(F.array_intersect("ta", "tb")))
         return materialise(met.where(f"100L * both >= {percent}L * (na + nb - both)").select("a", "b").distinct(), label)
 
-    linked = verified(star, sets, "star")
-    # members of a key that the links so far already join need no look at each other
+    # most pairs share one key by chance; their whole sets are not looked at
+    star = materialise(near(star), "star")
+    linked = verified(star, sets_of(ends(star)), "star")
+    # members of a key that the links so far already join need no look at each other, nor has the only one beside the first
     labels = materialise(components(linked), "labels")
-    members = shared.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+    members = shared.where("more").join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
     hubs = labels.select(F.col("id").alias("first"), F.col("component").alias("hub"))
     members = members.join(hubs, "first", "left").withColumn("odd", F.col("label") != F.coalesce("hub", "first"))
     members = materialise(members.select("key", "id", "label", "odd"), "members")
     # members of a key may share no more than a passage of very many texts; two that link share a rare shingle, too
-    open_keys = members.where("odd").select("key").distinct()
+    open_keys = members.groupBy("key").agg((F.min("label") < F.max("label")).alias("open")).where("open").select("key")
     members = members.join(open_keys, "key", "left_semi")
     # stored, so that Spark knows how few they are and leaves the sets where they lie
     flags = materialise(members.groupBy("id").agg(F.max("odd").alias("odd"), F.first("label").alias("label")), "flags")
-    asked = sets.join(flags.select("id"), "id", "left_semi")
-    members = materialise(rare_shingles(asked, percent).join(flags, "id").join(sets.select("id", "marks"), "id"), "members")
+    asked = sets_of(flags.select("id"))
+    members = materialise(rare_shingles(asked, percent).join(flags, "id").join(asked.select("id", "marks"), "id"), "members")
     a, b = (members.select("shingle", *[F.col(c).alias(c + side) for c in ("id", "n", "place", "odd", "label", "marks")]) for side in "ab")
     # left of the first common shingle is what one set has and the other lacks; right of it they differ by their sizes, and anywhere by their marks
     bits = " + ".join(f"bit_count(marksa[{i}] ^ marksb[{i}])" for i in range(MARKS))
@@ -224,7 +235,7 @@ def jaccard_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     rest = a.where("odda").join(b, "shingle").where(f"labela <> labelb AND (NOT oddb OR ida < idb) AND {fits}")
     rest = rest.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct()
     rest = materialise(rest, "rest")
-    found = labels if rest.isEmpty() else components(linked.unionByName(verified(rest, sets.join(ends(rest), "id", "left_semi"), "rest")))
+    found = labels if rest.isEmpty() else components(linked.unionByName(verified(rest, asked.join(ends(rest), "id", "left_semi"), "rest")))
     of_class = classes.join(found, F.col("rep") == F.col("id"), "left").select("c1", "c2", F.coalesce("component", "rep").alias("component_id"))
     out = rows.join(of_class, ["c1", "c2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))

@@ -84,3 +84,30 @@ def test_marks_never_differ_in_more_places_than_sets():
         with np.errstate(over="ignore"):
             bits = sum(int(x).bit_count() for x in (jaccard._marks(a) ^ jaccard._marks(b)).view(np.uint64))
         assert bits <= len(np.setxor1d(a, b)) and (size > 60 or bits or np.array_equal(a, b))
+
+
+def test_folded_marks_are_those_of_fewer_cells():
+    tokens = np.arange(3000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15 | 1)
+    with np.errstate(over="ignore"):
+        long, short = jaccard._long_marks(tokens), jaccard._marks(tokens)
+    assert len(long) == 64 and np.array_equal(np.bitwise_xor.reduce(long.reshape(-1, jaccard.MARKS)), short)
+    assert len(jaccard._long_marks(tokens[:512])) == len(jaccard._long_marks(tokens[:0])) == jaccard.MARKS
+
+
+def test_whole_sets_are_kept_only_of_texts_that_may_link(spark, monkeypatch):
+    rnd, rows = random.Random(2), []
+    for d in range(40):  # pairs that share one passage, and a pair of near copies of another length of marks
+        passage = [f"p{d // 2}_{i}" for i in range(30)]
+        rows.append((d, " ".join(passage + [f"d{d}x{i}" for i in range(10)])))
+    words = [f"w{i}" for i in range(520)]
+    rows += [(50, " ".join(words[:500])), (51, " ".join(words)), (52, " ".join(f"z{rnd.random()}" for _ in range(600)))]
+    made, store = [], jaccard.materialise
+
+    def counted(df, label):
+        stored = store(df, label)
+        made.extend([stored.count()] if label == "tokens" else [])
+        return stored
+
+    monkeypatch.setattr(jaccard, "materialise", counted)
+    assert classes(spark, rows, 3, 90) == brute(rows, 3, 90)
+    assert sum(made) <= 2
