@@ -364,3 +364,17 @@ def test_blocks_with_enough_words_equal_a_plain_count():
         want = {(a, b, i) for a, b in blocks for i, k in enumerate(numbers) if np.isin(words[k], hashes[a:b]).sum() >= needed[k]}
         assert want and {tuple(map(int, x)) for x in zip(*peers.enough(bounds, at, text, place[at]))} == want
     assert decontaminate._different(np.array([3, 1, 3, 0])).tolist() == [0, 1, 3] and not len(decontaminate._different(np.zeros(0, int)))
+
+
+def test_texts_of_a_batch_are_encoded_as_each_alone():
+    lattice, rng = pieces.Lattice.of(pieces.MODEL), np.random.default_rng(9)
+    letters = list("aaeetthhn é1ï.,***\"'(=\n\t ЖЗи据数取获一个ال─═ß▁𝄞   ")
+    texts = ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(400)] + [None, "", " ", "a ", " a", "▁", "the" * 40]
+    words, bounds = lattice.split_all(texts)
+    words = words.to_pylist()
+    assert [words[a:b] for a, b in zip(bounds[:-1], bounds[1:])] == [lattice.split(t) for t in texts]
+    for n in (1, 2, 10):
+        for text, got in zip(texts, lattice.encode_all(texts, n).to_pylist()):
+            ids, lists, _, _ = lattice.encode_best(text, n)
+            assert got == {"piece_ids": ids.tolist(), "scores": [s for s, _ in lists], "round_trip": "▁" not in (text or "")}, text
+    assert [len(lattice.encode_all(some, 3)) for some in ([], [None], ["", ""])] == [0, 1, 2]
