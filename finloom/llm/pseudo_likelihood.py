@@ -85,28 +85,26 @@ def _count(texts: DataFrame) -> tuple[np.ndarray, DataFrame, DataFrame]:
     """Counts of byte pairs, and the tables of words and classes of a corpus."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words of a class, and at the end, as class -1, places of byte pairs."""
+        total = np.zeros(256 * 256, np.int64)
         for batch in batches:
             for chunk in word_chunks(batch.column(0)):
                 word, n = np.unique(chunk.hashes, return_counts=True)
                 yield _columns(word.view(np.int64), _classes(word), n, names=["word", "class", "n"])
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256 * 256, np.int64)
-        for batch in batches:
-            for chunk in word_chunks(batch.column(0)):
                 if len(chunk.starts):
                     step, end = _steps(chunk)
                     total += np.bincount(step[_inside(chunk)], minlength=len(total)) + np.bincount(end, minlength=len(total))
         place = np.flatnonzero(total)
-        yield _columns(place, total[place], names=["place", "n"])
+        yield _columns(place, np.full(len(place), -1), total[place], names=["word", "class", "n"])
 
-    counted = texts.mapInArrow(words, "word long, class long, n long").groupBy("word", "class").agg(F.sum("n").alias("n_word"))
-    counted = materialise(counted, "lm-words")
+    both = texts.mapInArrow(words, "word long, class long, n long").groupBy("word", "class").agg(F.sum("n").alias("n_word"))
+    both = materialise(both, "lm-words")
+    counted = both.where("class >= 0")
     classes = materialise(counted.groupBy("class").agg(F.sum("n_word").alias("n_class"), F.count("*").alias("n_distinct")), "lm-classes")
     # at most one row per pair of bytes, whatever the corpus
-    spelled = texts.mapInArrow(pairs, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    spelled = both.where("class < 0").toPandas()
     counts = np.zeros(256 * 256)
-    counts[spelled["place"].to_numpy(int)] = spelled["n"].to_numpy(float)
+    counts[spelled["word"].to_numpy(int)] = spelled["n_word"].to_numpy(float)
     return counts.reshape(256, 256), counted.select("word", "n_word"), classes
 
 
@@ -132,6 +130,7 @@ class _Layers:
     def __init__(self, flat: np.ndarray):
         embedding, out, bias = _parts(flat.astype(np.float32))
         self.embedding, self.out = embedding, np.concatenate([out, bias])
+        self.rows = embedding.reshape(-1, SIZE)  # the same numbers, one row for each offset and class
         self._hidden, self._logits = np.ones((BATCH, SIZE + 1), np.float32), np.empty((BATCH, VOCABULARY), np.float32)
         self._ones = np.ones(VOCABULARY, np.float32)
 
@@ -141,9 +140,9 @@ class _Layers:
     def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hidden units and logits of at most BATCH words, until the next call; the logits of a word may be moved by one amount so that none overflows."""
         hidden, logits = self._hidden[: context.shape[1]], self._logits[: context.shape[1]]
-        total = self.embedding[0, context[0]]
+        total = self.embedding[0].take(context[0], 0)
         for j in range(1, len(OFFSETS)):
-            total += self.embedding[j, context[j]]
+            total += self.embedding[j].take(context[j], 0)
         np.tanh(total, out=hidden[:, :SIZE])
         np.matmul(hidden, self.out, out=logits)
         if np.abs(self.out).sum(0).max() > 60:  # no logit is larger, since no hidden unit is larger than 1
@@ -168,19 +167,23 @@ class _Layers:
 
 def train_local(flat: np.ndarray, texts: pa.Array, rate: float) -> tuple[np.ndarray, int]:
     layers, seen = _Layers(flat), 0
-    step, places = np.float32(rate / BATCH), np.arange(SIZE)
+    step, first = np.float32(rate / BATCH), np.arange(len(OFFSETS))[:, None] * (VOCABULARY + 1)
+    back_to = np.ones((VOCABULARY, SIZE + 1), np.float32)  # the last column adds up the exponentials
     for tokens, context, _ in map(_tokens, word_chunks(texts)):
         for a in range(0, len(tokens), BATCH):
             t, c = tokens[a : a + BATCH], context[:, a : a + BATCH]
             hidden, logits = layers.forward(c)
-            error, total = layers.exp(logits)
-            error *= (step / total)[:, None]
-            error[np.arange(len(t)), t] -= step
-            back = ((error @ layers.out[:SIZE].T) * (1 - hidden[:, :SIZE] ** 2)).ravel()
-            layers.out -= hidden.T @ error
-            for j in range(len(OFFSETS)):
-                cells = (c[j][:, None] * SIZE + places).ravel()
-                layers.embedding[j] -= np.bincount(cells, back, (VOCABULARY + 1) * SIZE).reshape(-1, SIZE)
+            # the error of a word's class is step * (exponential / total), less step for its own class
+            error = np.exp(logits, out=logits)
+            back_to[:, :SIZE] = layers.out[:SIZE].T
+            back = error @ back_to
+            total = back[:, SIZE].copy()
+            scale = (step / total)[:, None]
+            back = (back[:, :SIZE] - total[:, None] * back_to[:, :SIZE].take(t, 0)) * (scale * (1 - hidden[:, :SIZE] ** 2))
+            error[np.arange(len(t)), t] -= total
+            layers.out -= (error.T @ (hidden * scale)).T
+            cells, units = (c + first).ravel(), np.tile(back.T.astype(float), len(OFFSETS))
+            layers.rows -= np.stack([np.bincount(cells, unit, len(layers.rows)) for unit in units], 1)
             seen += len(t)
     return layers.flat(), seen
 

@@ -378,3 +378,32 @@ def test_texts_of_a_batch_are_encoded_as_each_alone():
             ids, lists, _, _ = lattice.encode_best(text, n)
             assert got == {"piece_ids": ids.tolist(), "scores": [s for s, _ in lists], "round_trip": "▁" not in (text or "")}, text
     assert [len(lattice.encode_all(some, 3)) for some in ([], [None], ["", ""])] == [0, 1, 2]
+
+
+def test_training_follows_the_gradient_of_every_word():
+    texts = pseudo_likelihood.pa.array([" ".join(f"k{(i * j) % 37}" for i in range(400)) for j in range(1, 9)])
+    flat = pseudo_likelihood.train_local(pseudo_likelihood.fresh().network, texts, 2.0)[0]  # so that no part is zero
+    got, seen = pseudo_likelihood.train_local(flat, texts, 2.0)
+    want = flat.copy()
+    for tokens, context, _ in map(pseudo_likelihood._tokens, pseudo_likelihood.word_chunks(texts)):
+        for a in range(0, len(tokens), pseudo_likelihood.BATCH):
+            t, c = tokens[a : a + pseudo_likelihood.BATCH], context[:, a : a + pseudo_likelihood.BATCH]
+            embedding, out, bias = pseudo_likelihood._parts(want)
+            hidden = np.tanh(sum(embedding[j, c[j]] for j in range(len(c))))
+            p = np.exp(hidden @ out + bias[0])
+            error = (p / p.sum(1, keepdims=True) - np.eye(p.shape[1])[t]) * 2.0 / pseudo_likelihood.BATCH
+            back = error @ out.T * (1 - hidden**2)
+            new = [embedding.copy(), out - hidden.T @ error, bias - error.sum(0)]
+            for j in range(len(c)):
+                np.subtract.at(new[0][j], c[j], back)
+            want = np.concatenate([x.ravel() for x in new])
+    assert seen == 3200 and np.abs(got - want).max() < 1e-5 < np.abs(flat - want).max()
+
+
+def test_words_and_byte_pairs_are_counted_in_one_pass(spark, monkeypatch):
+    texts, scans = spark.createDataFrame([("ab ab b",), (None,)], "text string"), []
+    to_arrow = type(texts).mapInArrow
+    monkeypatch.setattr(type(texts), "mapInArrow", lambda self, f, schema: scans.append(schema) or to_arrow(self, f, schema))
+    counts, words, classes = pseudo_likelihood._count(texts)
+    assert len(scans) == 1 and counts.sum() == 8 and counts[32, 97] == counts[97, 98] == 2 and counts[98, 32] == 3
+    assert sorted(r.n_word for r in words.collect()) == [1, 2] and classes.agg(F.sum("n_class")).first()[0] == 3
