@@ -108,10 +108,11 @@ def latent_space(docs: DataFrame, text: str = "text", seed: int = 11) -> tuple[n
         for buckets, passage, n in _cut(columns):
             for a in range(0, n, 1024):
                 some = slice(*np.searchsorted(passage, [a, a + 1024]))
-                rows = min(1024, n - a)
-                counts = np.bincount((passage[some] - a) * DIMENSIONS + buckets[some], minlength=rows * DIMENSIONS).reshape(rows, DIMENSIONS).astype(np.float32)
-                images = np.add.reduceat(right[buckets[some]], np.searchsorted(passage[some], np.arange(a, a + rows)))  # counts @ right
-                total += counts.T @ images
+                bucket, row = buckets[some], passage[some] - a
+                images = np.add.reduceat(right.take(bucket, 0), np.searchsorted(row, np.arange(min(1024, n - a))))  # counts @ right
+                order = np.argsort(bucket.astype(np.uint16), kind="stable")
+                used, first = np.unique(bucket[order], return_index=True)
+                total[used] += np.add.reduceat(images.take(row[order], 0), first)  # counts.T @ images
         return total * idf[:, None]
 
     return idf, np.linalg.qr(_sum_rows(texts, products))[0]

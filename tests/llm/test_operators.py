@@ -1,6 +1,8 @@
 """Literal cases, brute force and edge cases of the corpus operators."""
 
 import re
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -407,3 +409,25 @@ def test_words_and_byte_pairs_are_counted_in_one_pass(spark, monkeypatch):
     counts, words, classes = pseudo_likelihood._count(texts)
     assert len(scans) == 1 and counts.sum() == 8 and counts[32, 97] == counts[97, 98] == 2 and counts[98, 32] == 3
     assert sorted(r.n_word for r in words.collect()) == [1, 2] and classes.agg(F.sum("n_class")).first()[0] == 3
+
+
+def test_the_range_finder_makes_no_matrix_of_passages_and_buckets(spark, monkeypatch):
+    rng, sums, peak = np.random.default_rng(12), [], []
+    texts = pseudo_likelihood.pa.array([" ".join(f"k{x}" for x in rng.zipf(1.4, 64 * 1100))])
+
+    def local(df, per_partition):
+        tracemalloc.start()
+        sums.append(per_partition([texts]))
+        peak.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        return sums[-1]
+
+    monkeypatch.setattr(decontaminate, "_sum_rows", local)
+    monkeypatch.setattr(decontaminate, "word_chunks", lambda c, whole=list(decontaminate.word_chunks(texts)): whole)
+    idf, _ = decontaminate.latent_space(SimpleNamespace(select=lambda *a: None))
+    counts = np.zeros((1100, decontaminate.DIMENSIONS))
+    for buckets, passage, _ in decontaminate._cut([texts]):
+        np.add.at(counts, (passage, buckets), 1)
+    start = np.random.default_rng(11).normal(size=(decontaminate.DIMENSIONS, decontaminate.RANK))
+    want = (counts.T @ (counts @ (start * idf[:, None]))) * idf[:, None]
+    assert np.allclose(sums[1], want, rtol=1e-4, atol=1e-4 * np.abs(want).max()) and peak[1] < 32e6
