@@ -13,6 +13,7 @@ members to one component, are verified by their whole sets.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -33,6 +34,12 @@ SINGLE_WEIGHT = 8
 MARKS = 8
 
 
+#: Members of a key, beside the first, that are compared with each other by their marks; those of larger keys meet by rare shingles.
+SMALL_KEY = 1024
+#: Pairs of members that are compared at once.
+PAIRS_AT_ONCE = 1 << 17
+
+
 def _tail(mean: float, least: int) -> float:
     """Chance that a Poisson count reaches ``least``."""
     term, below = math.exp(-mean), 0.0
@@ -154,6 +161,61 @@ def shingle_sets(df: DataFrame, k: int, percent: int, what: str) -> DataFrame:
     return df.select("id", "text").mapInArrow(compute, schema)
 
 
+def _fitting(key: np.ndarray, label: np.ndarray, n: np.ndarray, bounds: np.ndarray, marks: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs of one key that have different labels and whose sizes and marks, folded to as many, let them link; rows lie by key."""
+    words, heads = np.diff(bounds), np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    size = np.diff(np.append(heads, len(key)))
+    fewest, ends = np.repeat(np.minimum.reduceat(words, heads), size), np.repeat(heads + size, size)
+    for width in np.unique(fewest).tolist():
+        rows = np.flatnonzero(fewest == width)  # whole keys, so partners lie side by side
+        cells = np.empty((len(rows), width), np.uint64)
+        for long in np.unique(words[rows]).tolist():
+            some = np.flatnonzero(words[rows] == long)
+            whole = marks[bounds[rows[some]][:, None] + np.arange(long)]
+            cells[some] = np.bitwise_xor.reduce(whole.reshape(len(some), long // width, width), 1)
+        partners = ends[rows] - rows - 1
+        done = np.cumsum(partners)
+        first = 0
+        while first < len(rows):
+            last = max(first + 1, int(np.searchsorted(done, done[first] + PAIRS_AT_ONCE, "right")))
+            k = partners[first:last]
+            a = np.repeat(np.arange(first, last), k)
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k)
+            i, j = rows[a], rows[b]
+            reach = (n[i] + n[j]) * (100 - percent)
+            on = (label[i] != label[j]) & (np.abs(n[i] - n[j]) * (100 + percent) <= reach)
+            a, b, i, j, reach = a[on], b[on], i[on], j[on], reach[on]
+            on = np.bitwise_count(cells[a] ^ cells[b]).sum(1, dtype=np.int64) * (100 + percent) <= reach
+            yield i[on], j[on]
+            first = last
+
+
+def close_members(members: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs of ``_fitting`` within each key. Columns of ``members``: key, id, label, n, marks."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+        for batch in itertools.chain(batches, [None]):
+            rows = [x for x in (left, batch) if x is not None and x.num_rows]
+            if not rows:
+                continue
+            table = pa.Table.from_batches(rows).combine_chunks()
+            key = table["key"].to_numpy()
+            cut = len(key) if batch is None else int(np.flatnonzero(key == key[-1])[0])  # the last key may go on
+            left = None if batch is None else table.slice(cut).combine_chunks().to_batches()[0]
+            if not cut:
+                continue
+            table = table.slice(0, cut).combine_chunks()
+            ids, label, n = (table[c].to_numpy() for c in ("id", "label", "n"))
+            lists = table["marks"].chunk(0)
+            bounds, marks = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy().view(np.uint64)
+            for i, j in _fitting(key[:cut], label, n, bounds, marks, percent):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], ["a", "b"])
+
+    placed = members.select("key", "id", "label", "n", "marks").repartition("key").sortWithinPartitions("key")
+    return placed.mapInArrow(compute, "a long, b long").where("a <> b").distinct()
+
+
 def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
     """id, n, shingle, place: of each set's rarest shingles those that another of the ``sets`` has, too.
 
@@ -220,9 +282,12 @@ def jaccard_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     hubs = labels.select(F.col("id").alias("first"), F.col("component").alias("hub"))
     members = members.join(hubs, "first", "left").withColumn("odd", F.col("label") != F.coalesce("hub", "first"))
     members = materialise(members.select("key", "id", "label", "odd"), "members")
-    # members of a key may share no more than a passage of very many texts; two that link share a rare shingle, too
-    open_keys = members.groupBy("key").agg((F.min("label") < F.max("label")).alias("open")).where("open").select("key")
-    members = members.join(open_keys, "key", "left_semi")
+    open_keys = members.groupBy("key").agg((F.min("label") < F.max("label")).alias("open"), F.count("*").alias("held"))
+    members = materialise(members.join(open_keys.where("open").select("key", "held"), "key"), "members")
+    small = members.where(f"held <= {SMALL_KEY}").join(rows.where("n > 0").select("id", "n", "marks"), "id")
+    close = materialise(close_members(small, percent), "close")
+    # members of a large key may share no more than a passage of very many texts; two that link share a rare shingle, too
+    members = members.where(f"held > {SMALL_KEY}")
     # stored, so that Spark knows how few they are and leaves the sets where they lie
     flags = materialise(members.groupBy("id").agg(F.max("odd").alias("odd"), F.first("label").alias("label")), "flags")
     asked = sets_of(flags.select("id"))
@@ -234,8 +299,8 @@ def jaccard_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     fits = f"{apart} * (100 + {percent}) <= (na + nb) * (100 - {percent})"
     rest = a.where("odda").join(b, "shingle").where(f"labela <> labelb AND (NOT oddb OR ida < idb) AND {fits}")
     rest = rest.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct()
-    rest = materialise(rest, "rest")
-    found = labels if rest.isEmpty() else components(linked.unionByName(verified(rest, asked.join(ends(rest), "id", "left_semi"), "rest")))
+    rest = materialise(rest.unionByName(close).distinct(), "rest")
+    found = labels if rest.isEmpty() else components(linked.unionByName(verified(rest, sets_of(ends(rest)), "rest")))
     of_class = classes.join(found, F.col("rep") == F.col("id"), "left").select("c1", "c2", F.coalesce("component", "rep").alias("component_id"))
     out = rows.join(of_class, ["c1", "c2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
