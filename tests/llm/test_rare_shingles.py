@@ -111,3 +111,22 @@ def test_whole_sets_are_kept_only_of_texts_that_may_link(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "materialise", counted)
     assert classes(spark, rows, 3, 90) == brute(rows, 3, 90)
     assert sum(made) <= 2
+
+
+@pytest.mark.parametrize("small", [0, 2])
+def test_members_of_larger_keys_meet_by_rare_shingles(spark, monkeypatch, small):
+    monkeypatch.setattr(jaccard, "SMALL_KEY", small)
+    test_components_of_many_near_copies(spark, 3, 90)
+
+
+def test_members_of_a_key_are_compared_by_sizes_and_marks(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 700).astype(np.uint64)
+    sets = [base[: 700 - 40 * (i % 6)] for i in range(30)] + [rng.integers(0, 2**63, 500).astype(np.uint64) for _ in range(10)]
+    with np.errstate(over="ignore"):
+        rows = [(i % 3, i, i if i % 5 else 0, len(s), jaccard._long_marks(s).tolist()) for i, s in enumerate(sets)]
+    members = spark.createDataFrame(rows, "key long, id long, label long, n long, marks array<long>")
+    got = {(r.a, r.b) for r in jaccard.close_members(members, 80).collect()}
+    pairs = [(x, y) for x in rows for y in rows if x[1] < y[1] and x[0] == y[0] and x[2] != y[2]]
+    apart = {(x[1], y[1]): len(np.setxor1d(sets[x[1]], sets[y[1]])) * 180 - (x[3] + y[3]) * 20 for x, y in pairs}
+    assert got == {p for p, more in apart.items() if more <= 0} and 0 < len(got) < len(apart)
